@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, telephony, token_files
+from tessella.llm import bpe, license_scan, packing, pii, telephony, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1,
         "op2_byte_bpe": bpe.op2,
+        "op4_best_fit_packing": packing.op4,
+        "op6_toxicity": toxicity.op6,
         "op7_telephony_media": telephony.op7,
         "op8_token_files": token_files.op8,
+        "op10_personal_data": pii.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle()}
