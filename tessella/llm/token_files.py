@@ -22,6 +22,7 @@ columns may carry any name.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,6 +42,8 @@ CACHED_WORDS = 400_000
 #: Stands between words that are encoded together; its byte occurs in no other character.
 SENTINEL = "\x01"
 NULL_ID = -(1 << 63)
+#: Latin letters that lower-casing maps one to one, then ASCII punctuation that begins no contraction.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:-@\[-`{-~]*)")
 
 FILES = T.StructType([
     T.StructField("stem", T.StringType()), T.StructField("first_id", T.LongType()),
@@ -62,23 +65,37 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.plain = PLAIN.fullmatch
+        self.merges = self.tokenizer.model.tokenize
+        self.bytewise = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.stop = self._ids(SENTINEL)
         if len(self.stop) != 1:
             raise ValueError("the tokenizer has no single id for the separating character")
+        probe = ["a", "the", "straße", "ñandú", "éleveur", "antidisestablishment"]
+        if any(self._stem(w) + self._ids("..").tobytes() != self._ids(f"{w.capitalize()}..").tobytes() for w in probe):
+            raise ValueError("the tokenizer keeps case or joins letters with punctuation")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if SENTINEL not in w]
-        for i in range(0, len(plain), 5_000):
-            part = plain[i : i + 5_000]
-            ids = self._ids(f" {SENTINEL} ".join([*part, ""]))
+    def _stem(self, word: str) -> bytes:
+        """Ids of lower-case letters, which no rule of the tokenizer parts, from its merges alone."""
+        if not word.isascii():
+            word = "".join(piece for piece, _ in self.bytewise(word))
+        return np.array([t.id for t in self.merges(word)], dtype=self.dtype).tobytes()
+
+    def _encode(self, words: list[str]) -> None:
+        """Encode words together, parted by the separating character."""
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            (found,) = self.tokenizer.encode_batch_fast([f" {SENTINEL} ".join([*part, ""])], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.dtype)
             ends = np.flatnonzero(ids == self.stop[0])
             if len(ends) != len(part):
                 raise ValueError("words and separators do not match")
@@ -86,9 +103,31 @@ class WordEncoder:
             for word, end in zip(part, (ends * size).tolist(), strict=True):
                 self.known[word] = raw[start:end]
                 start = end + size
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of new words.
+
+        Case is dropped and letters never join punctuation, so a word of plain
+        letters with punctuation after it has the ids of its two parts.
+        """
+        known, whole, plain = self.known, set(), []
         for word in words:
-            if SENTINEL in word:
-                self.known[word] = self._ids(word).tobytes()
+            found = self.plain(word)
+            if found:
+                tail = found[2]
+                plain.append((word, found[1].lower(), tail))
+                if tail not in known:
+                    whole.add(tail)
+            elif SENTINEL in word:
+                known[word] = self._ids(word).tobytes()
+            else:
+                whole.add(word)
+        self._encode(list(whole))
+        for word, stem, tail in plain:
+            ids = known.get(stem)
+            if ids is None:
+                ids = known[stem] = self._stem(stem)
+            known[word] = ids + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # Only ASCII white space is a boundary here; the tokenizer sees to the rest.
@@ -99,7 +138,7 @@ class WordEncoder:
                 self.known = {"": b""}
             fresh = set().union(*split).difference(self.known)
             if fresh:
-                self._learn(list(fresh))
+                self._learn(fresh)
             out += [b"".join(map(self.known.__getitem__, words)) for words in split]
         return out
 
