@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, license_scan, packing, pii, telephony, token_files, toxicity
+from tessella.llm import bpe, hyperminhash, license_scan, packing, pii, telephony, token_files, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,12 +14,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": license_scan.op1,
         "op2_byte_bpe": bpe.op2,
         "op4_best_fit_packing": packing.op4,
+        "op5_hyperminhash": hyperminhash.op5,
         "op6_toxicity": toxicity.op6,
         "op7_telephony_media": telephony.op7,
         "op8_token_files": token_files.op8,
+        "op9_exact_top_k": topk.op9,
         "op10_personal_data": pii.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op9_exact_top_k": topk.ORACLE}
