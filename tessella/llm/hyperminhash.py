@@ -187,9 +187,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with its columns as they were."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """One document of each component, with its columns as they were; rows without an id stay."""
+    lost = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_lost_id"))
+    return docs.join(lost, docs["doc_id"] == lost["_lost_id"], "left_anti")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, hyperminhash, license_scan, packing, pii, telephony, token_files, topk, toxicity
+from tessella.llm import bpe, hyperminhash, license_scan, packing, pii, suffix_dedup, telephony, token_files, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": license_scan.op1,
         "op2_byte_bpe": bpe.op2,
+        "op3_suffix_dedup": suffix_dedup.op3,
         "op4_best_fit_packing": packing.op4,
         "op5_hyperminhash": hyperminhash.op5,
         "op6_toxicity": toxicity.op6,
