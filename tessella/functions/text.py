@@ -78,7 +78,10 @@ def filter_artifacts(text: Column) -> Column:
 
 def artifact_log(text: Column) -> Column:
     """Array of (kind, sample) of what ``filter_artifacts`` takes out."""
-    found = [F.transform(F.regexp_extract_all(now, F.lit(pattern), F.lit(0)), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), F.substring(F.regexp_replace(m, rf"^{SPACE}+|{SPACE}+$", ""), 1, 40).alias("sample"))) for kind, pattern, now in artifact_steps(text)[:-1]]
+    def sample(kind: str):
+        return lambda m: F.struct(F.lit(kind).alias("kind"), F.substring(F.regexp_replace(m, rf"^{SPACE}+|{SPACE}+$", ""), 1, 40).alias("sample"))
+
+    found = [F.transform(F.regexp_extract_all(now, F.lit(pattern), F.lit(0)), sample(kind)) for kind, pattern, now in artifact_steps(text)[:-1]]
     return F.filter(F.concat(*found), lambda m: m["sample"] != "")
 
 
