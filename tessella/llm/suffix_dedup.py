@@ -42,8 +42,8 @@ from tessella.llm.repeats_kernel import DIGIT, anchors, window_hashes
 THRESHOLD = 100
 #: Different rows of one first digit beyond which its windows are dealt out one by one.
 MANY = 2_000
-#: Bytes of texts that a task works on at a time.
-TOGETHER = 8 << 20
+#: Bytes of texts that a task hashes at a time, and whose rows it keeps until it deals them out.
+TOGETHER, DEALT = 1 << 20, 16 << 20
 NULL_ID = -(1 << 63)
 ROW = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("count", "u1")])
 DONE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
@@ -101,8 +101,8 @@ def first_digits(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
     """(p, rows, done): anchors dealt by their first digit, and windows that a task has settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def deal(held: list[bytes], ids: list[int]) -> pa.RecordBatch | None:
-            rows, _, seg = _ordered(_rows(held, np.array(ids, dtype=np.int64), threshold))
+        def deal(parts_: list[np.ndarray]) -> pa.RecordBatch | None:
+            rows, _, seg = _ordered(np.concatenate(parts_))
             if not len(rows):
                 return None
             done, rows = _settled(rows[~seg]), rows[seg]
@@ -113,7 +113,7 @@ def first_digits(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
             kept = [k for k in range(parts) if cuts[k] < cuts[k + 1] or share[k] < share[k + 1]]
             return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([_packed(rows[order[cuts[k] : cuts[k + 1]]]) for k in kept], pa.binary()), pa.array([_packed(done[share[k] : share[k + 1]]) for k in kept], pa.binary())], names=["p", "rows", "done"])
 
-        held, ids, size = [], [], 0
+        made, held, ids, size, total = [], [], [], 0, 0
         for batch in batches:
             for i, t in zip(batch.column("i").to_pylist(), batch.column("t"), strict=True):
                 data = t.as_buffer()
@@ -123,10 +123,16 @@ def first_digits(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
                 ids.append(i)
                 size += len(data)
                 if size >= TOGETHER:
-                    if out := deal(held, ids):
-                        yield out
+                    made.append(_rows(held, np.array(ids, dtype=np.int64), threshold))
+                    total += size
                     held, ids, size = [], [], 0
-        if held and (out := deal(held, ids)):
+                    if total >= DEALT:
+                        if out := deal(made):
+                            yield out
+                        made, total = [], 0
+        if held:
+            made.append(_rows(held, np.array(ids, dtype=np.int64), threshold))
+        if made and (out := deal(made)):
             yield out
 
     return texts.mapInArrow(run, "p int, rows binary, done binary")
