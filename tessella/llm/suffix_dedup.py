@@ -343,8 +343,8 @@ def without_repeats(text: Column, spans: Column, threshold: int = THRESHOLD) ->
     """A text without its removed runs; bytes of a character that is cut are dropped with it."""
 
     @F.udf("string", useArrow=True)
-    def cut(t: str, s: list[int]) -> str:
-        return kept_bytes(t.encode(), s, threshold)[1].decode(errors="ignore")
+    def cut(t: str | None, s: list[int] | None) -> str | None:
+        return None if t is None else kept_bytes(t.encode(), s, threshold)[1].decode(errors="ignore")
 
     return F.when(spans.isNull(), text).otherwise(cut(text, spans))
 
