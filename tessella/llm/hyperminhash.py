@@ -170,7 +170,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
     families = components(compare_groups(members, ["registers", "size"], similar_sketches(percent)))
     sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     known = families.join(sizes, "component").select("id", F.col("component").alias("g"), "n")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).join(known, "id")
+    # Merged at every size: one plan for small and large inputs.
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).hint("merge").join(known, "id")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
