@@ -73,7 +73,7 @@ def registers(least: np.ndarray) -> np.ndarray:
     """Leading zeros (6 bits) and mantissa (10 bits) of 64-bit minima."""
     zeros = np.clip(64 - np.frexp(least.astype(np.float64))[1], 0, 63).astype(np.uint64)
     with np.errstate(over="ignore"):
-        mantissa = (least << np.minimum(zeros + np.uint64(1), np.uint64(63))) >> np.uint64(64 - MANTISSA)
+        mantissa = (least << zeros << np.uint64(1)) >> np.uint64(64 - MANTISSA)
     return (zeros << np.uint64(MANTISSA) | mantissa).astype("<u2")
 
 
