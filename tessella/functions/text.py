@@ -17,6 +17,11 @@ from tessella.functions.rules import AVOID, EXPLICIT, LATIN_TARGETS, RTL, SCRIPT
 SPACE = r"[ \t\n\r\f\x0B]"
 
 
+def once(value: Column, step) -> Column:
+    """``step(value)``, with the value made once however often the step names it (as an array of one)."""
+    return F.transform(F.array(value), step)[0]
+
+
 def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
@@ -322,10 +327,12 @@ def dictionary_to_prose(text: Column) -> Column:
 
 def post_process(text: Column, lang: Column, locked: Column, market: str = "standard", compat: bool = False) -> Column:
     """A reply on its way to a chunk: restore, unfold, strip, filter, normalise, mark."""
-    out = strip_meta(dictionary_to_prose(restore_terms(text, locked)), lang)
-    out = F.regexp_replace(out, rf"(?i)^{SPACE}*(?:translation|translated text){SPACE}*:{SPACE}*", "")
-    out = format_thought(cultural_filter(normalize_punctuation(filter_artifacts(out), lang), lang, market, compat), lang)
-    return trim_all(F.when(lang.isin(RTL) & ~out.startswith("‏"), F.concat(F.lit("‏"), out)).otherwise(out))
+    out = once(restore_terms(text, locked), dictionary_to_prose)
+    out = once(out, lambda t: strip_meta(t, lang))
+    out = once(F.regexp_replace(out, rf"(?i)^{SPACE}*(?:translation|translated text){SPACE}*:{SPACE}*", ""), filter_artifacts)
+    out = once(out, lambda t: cultural_filter(normalize_punctuation(t, lang), lang, market, compat))
+    out = once(out, lambda t: format_thought(t, lang))
+    return once(out, lambda t: trim_all(F.when(lang.isin(RTL) & ~t.startswith("‏"), F.concat(F.lit("‏"), t)).otherwise(t)))
 
 
 def prompt(lang: Column, text: Column, context: Column, strict: bool = False) -> Column:

@@ -236,6 +236,15 @@ def retry_due(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where((F.col("status") == "retry_wait") & (F.coalesce("next_retry_at", F.lit(0)) <= now))
 
 
+def watchdog_counters(jobs: DataFrame, now: Column) -> DataFrame:
+    """What one sweep would do: leases reclaimed, retries promoted, jobs open, projects seen."""
+    beat = F.col("heartbeat_at")
+    return jobs.agg(
+        F.count_if((F.col("status") == "claimed") & (beat.isNull() | (now - beat >= TTL_MS))).alias("reclaimed"), F.count_if((F.col("status") == "retry_wait") & (F.coalesce("next_retry_at", F.lit(0)) <= now)).alias("promoted"),
+        F.count_if(F.col("status").isin("pending", "claimed", "retry_wait", "needs_review")).alias("open"), F.count_distinct("project_id").alias("projects"),
+    )
+
+
 def lease_action(status: Column, paused_until: Column, day: Column, today: Column, lease_at: Column, now: Column, ttl_ms: int = 2 * TTL_MS) -> Column:
     """What to do about a project's dispatcher lease, first match wins."""
     return (

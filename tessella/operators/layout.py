@@ -105,22 +105,26 @@ def items_to_blocks(items: DataFrame) -> DataFrame:
 
 def _deal(paragraphs: Column, targets: Column, slack: float) -> Column:
     """Paragraphs dealt to boxes in order: each takes what keeps it within its target (plus slack); the last takes the rest."""
-    words = F.transform(paragraphs, word_count)
-    n, last = F.size(paragraphs), F.size(targets) - 1
-    state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.lit(0).alias("at"))
-
-    def step(acc: Column, box: Column) -> Column:
-        at = acc["at"]
-        # Words before each paragraph after `at`, as running totals.
-        ahead = F.slice(words, at + 1, F.greatest(n - at, F.lit(0)))
-        totals = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ahead), F.lit(1))), lambda k: F.aggregate(F.slice(ahead, F.lit(1), k), F.lit(0), lambda a, b: a + b))
-        # A box stops before the paragraph that overfills it, and after the one that fills it.
-        over = F.get(F.filter(F.transform(totals, lambda t, k: F.when(t > box["target"] + slack, k)), lambda k: k.isNotNull()), F.lit(0))
-        full = F.get(F.filter(F.transform(totals, lambda t, k: F.when(t >= box["target"], k + 1)), lambda k: k.isNotNull()), F.lit(0))
-        taken = F.when(box["k"] == last, n - at).otherwise(F.least(F.coalesce(over, n - at), F.coalesce(full, n - at), n - at))
-        return F.struct(F.array_append(acc["done"], F.slice(paragraphs, at + 1, taken)).alias("done"), (at + taken).alias("at"))
-
-    return F.aggregate(F.transform(targets, lambda t, k: F.struct(t.alias("target"), k.alias("k"))), state, step)["done"]
+    sums = F.aggregate(F.transform(paragraphs, word_count), F.array(F.lit(0)), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + w))
+
+    def dealt(m: Column) -> Column:
+        n, last = F.size(m["p"]), F.size(m["t"]) - 1
+        state = F.struct(F.array().cast("array<array<string>>").alias("done"), F.lit(0).alias("at"))
+
+        def step(acc: Column, box: Column) -> Column:
+            at = acc["at"]
+            places = F.sequence(F.least(at + 1, n), n)
+            words = lambda j: F.get(m["sums"], j) - F.get(m["sums"], at)
+            # A box stops before the paragraph that overfills it, and after the one that fills it.
+            over = F.array_min(F.filter(places, lambda j: words(j) > box["target"] + slack)) - 1
+            full = F.array_min(F.filter(places, lambda j: words(j) >= box["target"]))
+            stop = F.when(box["k"] == last, n).otherwise(F.greatest(at, F.least(F.coalesce(over, n), F.coalesce(full, n), n)))
+            return F.struct(F.array_append(acc["done"], F.slice(m["p"], at + 1, stop - at)).alias("done"), stop.alias("at"))
+
+        return F.aggregate(F.transform(m["t"], lambda t, k: F.struct(t.alias("target"), k.alias("k"))), state, step)["done"]
+
+    # An array of one keeps the sums from being made again for each use.
+    return F.transform(F.array(F.struct(paragraphs.alias("p"), targets.alias("t"), sums.alias("sums"))), dealt)[0]
 
 
 def map_paragraphs(paragraphs: Column, blocks: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.functions.text import (
-    SPACE, artifact_log, detect_explicit, latin_words, looks_like_echo, profanities, qa_word_count, regexp_total, round_half_up, trim_all, word_count,
+    SPACE, artifact_log, detect_explicit, latin_words, looks_like_echo, once, profanities, qa_word_count, regexp_total, round_half_up, trim_all, word_count,
 )
 
 
@@ -143,7 +143,10 @@ def qa_rollup(checks: DataFrame) -> DataFrame:
 
 def language_qa(lang: Column, source: Column, output: Column, least_script: float = 0.5, most_english: float = 0.25) -> Column:
     """(failures, score, script_ratio, length_ratio): the names of failed checks, in order."""
-    t = F.regexp_replace(output, r"[‎‏]", "")
+    return once(F.regexp_replace(output, r"[‎‏]", ""), lambda t: _language_checks(lang, source, t, least_script, most_english))
+
+
+def _language_checks(lang: Column, source: Column, t: Column, least_script: float, most_english: float) -> Column:
     total = F.greatest(F.length(t), F.lit(1))
     empty = trim_all(t) == ""
     script = rules.per_language(lang, lambda r: regexp_total(t, f"[{r[6]}]") / total)

@@ -175,3 +175,29 @@ def server_job_status(projects: DataFrame, jobs: DataFrame, now: Column) -> Data
     counts, langs = status_counts(jobs), current_language(language_progress(jobs))
     out = projects.join(counts, "project_id", "left").join(langs, "project_id", "left")
     return out.withColumn("alive", alive(F.col("dispatcher_at"), F.col("watchdog_at"), F.col("activity_at"), now=now))
+
+
+def stale_uploads(staging: DataFrame, uploads: DataFrame, now: Column, after_ms: int = 86_400_000) -> DataFrame:
+    """Staging rows older than a day, and uploads whose heartbeat is."""
+    return staging.where(now - F.col("created_at") > after_ms).unionByName(uploads.where(now - F.col("heartbeat_at") > after_ms))
+
+
+def idle_dispatchers(projects: DataFrame, jobs: DataFrame, now: Column, ttl_ms: int = 360_000, quiet_ms: int = 600_000) -> DataFrame:
+    """Projects with open jobs whose dispatcher or activity has been silent for too long."""
+    silent = (now - F.coalesce("dispatcher_at", F.lit(0)) > ttl_ms) | (now - F.coalesce("activity_at", F.lit(0)) > quiet_ms)
+    return open_projects(projects.where(silent), jobs)
+
+
+def measured_rate(jobs: DataFrame, minutes: int = 10) -> DataFrame:
+    return jobs.groupBy("project_id").agg(F.round(F.count_if(F.col("status") == "done") / minutes, 2).alias("rate"))
+
+
+def key_check(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(n, keys): rows, and distinct keys; equal if the key is one."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*key).alias("keys"))
+
+
+def open_languages(jobs: DataFrame) -> DataFrame:
+    """Languages with jobs not done, but for those with failed ones."""
+    pair = ["project_id", "lang"]
+    return jobs.where("status <> 'done'").select(*pair).subtract(jobs.where("status = 'failed'").select(*pair))

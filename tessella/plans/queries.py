@@ -621,6 +621,211 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", documents.text_check(F.col("text")).alias("fault"))
 
 
+# More reports, sources and set operations.
+
+
+@query("owned_projects", f"WITH {B.PROJECTS} SELECT project_id FROM projects WHERE name = 'Customer#000000007' OR status = 'complete'")
+def _(spark, d):
+    return B.projects(spark, d).where((F.col("name") == "Customer#000000007") | (F.col("status") == "complete")).select("project_id")
+
+
+@query("swept_uploads", f"WITH {B.JOBS} SELECT chunk_index FROM jobs WHERE status = 'pending' AND 883612800000 - created_at > 86400000 UNION ALL SELECT chunk_index FROM jobs WHERE status = 'claimed' AND 883612800000 - heartbeat_at > 86400000")
+def _(spark, d):
+    j, now = B.jobs(spark, d), F.lit(883_612_800_000)
+    return reports.stale_uploads(j.where("status = 'pending'"), j.where("status = 'claimed'"), now).select("chunk_index")
+
+
+@query("idle_dispatchers", f"WITH {B.JOBS}, {B.PROJECTS} SELECT project_id FROM projects WHERE project_id % 3 <> 0 AND project_id IN (SELECT project_id FROM jobs WHERE status IN ('pending', 'claimed', 'retry_wait', 'needs_review'))")
+def _(spark, d):
+    p = B.projects(spark, d).withColumn("dispatcher_at", F.when(F.col("project_id") % 3 == 0, B.NOW).otherwise(0)).withColumn("activity_at", F.lit(B.NOW))
+    return reports.idle_dispatchers(p, B.jobs(spark, d), F.lit(B.NOW)).select("project_id")
+
+
+@query("page_search", "SELECT page_id FROM pages WHERE contains(lower(html), 'the') AND contains(lower(url), '1')")
+def _(spark, d):
+    return documents.load(spark, d, "pages").where(F.contains(F.lower("html"), F.lit("the")) & F.contains(F.lower("url"), F.lit("1"))).select("page_id")
+
+
+@query("truncations", "SELECT doc_id, substr(text, 1, 500) AS a, substr(text, 1, 200) AS b, substr(text, 1, 300) AS c FROM documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.substring("text", 1, 500).alias("a"), F.substring("text", 1, 200).alias("b"), F.substring("text", 1, 300).alias("c"))
+
+
+@query("import_edges", "SELECT 'src/p' || page_id || '.ts' AS path, 'src/p' || (page_id + 1) || '.ts' AS target FROM pages WHERE page_id + 1 IN (SELECT page_id FROM pages)")
+def _(spark, d):
+    i = F.col("page_id")
+    files = documents.load(spark, d, "pages").select(F.concat(F.lit("src/p"), i.cast("string"), F.lit(".ts")).alias("path"), F.array(F.concat(F.lit("./p"), (i + 1).cast("string")), F.lit("react")).alias("imports"))
+    return reports.import_edges(files)
+
+
+@query("token_usage", f"WITH {B.JOBS} SELECT lang, CAST(sum(chunk_index % 100) AS BIGINT) AS prompt, CAST(sum(CASE WHEN chunk_index % 2 = 0 THEN chunk_index % 50 ELSE 0 END) AS BIGINT) AS completion, CAST(sum(chunk_index % 150) AS BIGINT) AS total FROM jobs GROUP BY lang")
+def _(spark, d):
+    k = F.col("chunk_index")
+    snake = F.to_json(F.struct((k % 100).alias("prompt_tokens"), (k % 50).alias("completion_tokens"), (k % 150).alias("total_tokens")))
+    camel = F.to_json(F.struct((k % 100).alias("promptTokens"), (k % 150).alias("totalTokens")))
+    return reports.token_usage(B.jobs(spark, d).select("lang", F.when(k % 2 == 0, snake).otherwise(camel).alias("usage")))
+
+
+@query("baseline_suite", f"""
+WITH {B.JOBS}, s AS (SELECT chunk_index, greatest(0, chunk_index % 101 - 8 * (chunk_index % 3) - 5 * (chunk_index % 2)) AS s, CASE WHEN chunk_index % 101 > 90 THEN 'pass' ELSE 'warn' END AS o FROM jobs), v AS (SELECT s, CASE WHEN s < 60 THEN 'fail' ELSE o END AS o FROM s)
+SELECT count(*) AS total, count(*) FILTER (o = 'pass') AS passed, count(*) FILTER (o = 'warn') AS warned, count(*) FILTER (o = 'fail') AS failed, CAST(floor(avg(s) + 0.5) AS INTEGER) AS average FROM v""")
+def _(spark, d):
+    k = F.col("chunk_index")
+    j = B.jobs(spark, d)
+    rolled = j.select(k.alias("unit_id"), (k % 101).alias("score"), F.when(k % 101 > 90, "pass").otherwise("warn").alias("overall"))
+    return quality.baseline_suite(rolled, j.select(k.alias("unit_id"), (k % 3).alias("missing_names"), (k % 2).alias("script_issues")))
+
+
+@query("measured_rate", f"WITH {B.JOBS} SELECT project_id, round(count(*) FILTER (status = 'done') / 10.0, 2) AS rate FROM jobs GROUP BY project_id")
+def _(spark, d):
+    return reports.measured_rate(B.jobs(spark, d))
+
+
+@query("distinct_keys", f"WITH {B.JOBS} SELECT count(*) AS n, count(DISTINCT project_id || ':' || lang || ':' || chunk_index) AS keys FROM jobs")
+def _(spark, d):
+    return reports.key_check(B.jobs(spark, d), reports.KEY)
+
+
+@query("watchdog_counters", f"WITH {B.JOBS} SELECT count(*) FILTER (status = 'claimed' AND (heartbeat_at IS NULL OR {B.NOW} - heartbeat_at >= 180000)) AS reclaimed, count(*) FILTER (status = 'retry_wait' AND coalesce(next_retry_at, 0) <= {B.NOW}) AS promoted, count(*) FILTER (status IN ('pending', 'claimed', 'retry_wait', 'needs_review')) AS open, count(DISTINCT project_id) AS projects FROM jobs")
+def _(spark, d):
+    return jobs.watchdog_counters(B.jobs(spark, d), F.lit(B.NOW))
+
+
+@query("ms_to_pacific_midnight", "WITH l AS (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS t FROM events) SELECT event_id, CAST(greatest(86400000 - (hour(t) * 3600 + minute(t) * 60 + second(t)) * 1000, 60000) AS BIGINT) AS ms FROM l")
+def _(spark, d):
+    return documents.load(spark, d, "events").select("event_id", jobs.ms_to_pacific_midnight(F.col("ts")).alias("ms"))
+
+
+@query("rolling_hash")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", jobs.djb2_xor(F.col("text")).alias("h"))
+
+
+@query("modal_gap")
+def _(spark, d):
+    return layout.modal_gaps(layout.merge_lines(documents.page_items(documents.load(spark, d, "pages"))))
+
+
+@query("document_text", "SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, CAST(count(*) AS INTEGER) AS pages FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def _(spark, d):
+    return documents.document_text(documents.load(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
+
+
+@query("zip_manifest", "SELECT source AS project_id, string_agg('doc' || doc_id || '.txt  ' || n_chars, chr(10) ORDER BY 'doc' || doc_id || '.txt') AS manifest FROM documents GROUP BY source")
+def _(spark, d):
+    return exports.zip_manifest(_docs(spark, d).select(F.col("source").alias("project_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("n_chars").alias("size")))
+
+
+@query("valid_tokens", f"WITH {B.JOBS} SELECT chunk_index FROM jobs WHERE created_at + 600000 >= 883612800000")
+def _(spark, d):
+    return exports.valid_tokens(B.jobs(spark, d).withColumn("expires_at", F.col("created_at") + 600_000), F.lit(883_612_800_000)).select("chunk_index")
+
+
+@query("offloaded_values")
+def _(spark, d):
+    return documents.offloaded(documents.load(spark, d, "pages"), "html").groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("captions", "WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text || ' Figure 12 and map 3', '(?i)\\b(map|figure|table)[ \\t]+([0-9]+)')) AS name FROM documents) SELECT doc_id, lower(regexp_extract(name, '^([A-Za-z]+)', 1)) AS kind, name FROM c")
+def _(spark, d):
+    return documents.extracted_names(_docs(spark, d).withColumn("text", F.concat("text", F.lit(" Figure 12 and map 3"))))
+
+
+@query("source_checks", f"""
+SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'error: type' WHEN n_chars * 2000 > 52428800 THEN 'error: too large' WHEN n_chars < 500 THEN 'error: too small' WHEN 0 + doc_id % 8 > 5 AND doc_id % 2 < 0.3 * (doc_id % 8) THEN 'warning: sparse'
+  WHEN {WORDS.format('text')} < 50 THEN 'warning: few words' WHEN doc_id % 2 < 0.5 * (doc_id % 8) THEN 'warning: images' END AS fault FROM documents""")
+def _(spark, d):
+    i = F.col("doc_id")
+    size = F.when(F.col("n_chars") * 2000 > documents.TOO_LARGE, F.col("n_chars") * 2000).otherwise(F.col("n_chars"))
+    return _docs(spark, d).select("doc_id", documents.source_check(F.when(i % 10 == 3, "a.exe").otherwise("a.PDF"), size, F.col("text"), i % 8, i % 2).alias("fault"))
+
+
+@query("speaker_lines", "SELECT doc_id, 'Anna' AS name, CASE WHEN doc_id % 2 = 0 THEN 'Go!' ELSE 'Where?' END AS line, CASE WHEN doc_id % 2 = 0 THEN 'excited' ELSE 'curious' END AS mood FROM documents")
+def _(spark, d):
+    line = F.when(F.col("doc_id") % 2 == 0, 'Anna: "Go!"').otherwise("Anna: «Where?»")
+    return _docs(spark, d).select("doc_id", T.speaker_line(line).alias("s")).select("doc_id", "s.*")
+
+
+@query("glossary_swap", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\bthe\\b', 'der', 'gi'), '\\band\\b', 'und', 'gi')) AS digest FROM documents WHERE lang = 'en'")
+def _(spark, d):
+    return _docs(spark, d).where("lang = 'en'").select("doc_id", F.md5(T.glossary_swap(F.col("text"), [("the", "der"), ("and", "und")]).cast("binary")).alias("digest"))
+
+
+@query("characters", "SELECT doc_id, array_to_string(list_filter(['Anna', 'the', 'und', 'los'], lambda n: contains(text, n)), ',') AS found FROM documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(T.detect_characters(F.col("text"), ["Anna", "the", "und", "los"]), ",").alias("found"))
+
+
+@query("list_order", f"WITH {B.JOBS} SELECT lang, count(*) AS n FROM jobs GROUP BY lang")
+def _(spark, d):
+    counts = B.jobs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return reports.in_list_order(counts, reports.order_dimension(spark, ["ru", "fr", "de"], "lang"), "lang")
+
+
+@query("open_languages", f"WITH {B.JOBS} SELECT DISTINCT project_id, lang FROM jobs WHERE status <> 'done' EXCEPT SELECT project_id, lang FROM jobs WHERE status = 'failed'")
+def _(spark, d):
+    return reports.open_languages(B.jobs(spark, d))
+
+
+@query("missing_terms", "SELECT doc_id, array_to_string(list_filter(['river', 'and'], lambda t: NOT contains(lower(text), CASE t WHEN 'river' THEN 'fluss' ELSE 'und' END)), ',') AS missing FROM documents")
+def _(spark, d):
+    locked = F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in (("river", "Fluss"), ("and", "und"))))
+    return _docs(spark, d).select("doc_id", F.array_join(quality.missing_terms(F.col("text"), locked), ",").alias("missing"))
+
+
+@query("wrong_language", "SELECT doc_id, length(regexp_replace(text, '[\\s\\d\\p{P}\\p{S}]', '', 'g')) >= 12 AS ru, false AS fr FROM documents")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", quality.wrong_language(F.col("text"), F.lit("ru")).alias("ru"), quality.wrong_language(F.col("text"), F.lit("fr")).alias("fr"))
+
+
+@query("pair_verdicts")
+def _(spark, d):
+    p = B.pairs(spark, d)
+    item = lambda k, c: F.struct(F.lit(k).alias("chunkIndex"), c.alias("translation"))
+    items = F.array(item(1, F.col("output")), item(2, F.upper("source")))
+    return p.select("unit_id", quality.validate_pair(items, F.array(F.lit(1), F.when(F.col("unit_id") % 5 == 0, 3).otherwise(2)), F.array("source", "source"), F.col("lang")).alias("verdict"))
+
+
+@query("reject_reasons")
+def _(spark, d):
+    p = B.pairs(spark, d)
+    rolled = quality.qa_rollup(quality.phase_checks(p, _terms(spark)))
+    return p.join(rolled, "unit_id").select("unit_id", quality.reject_reason(F.col("lang"), F.col("source"), F.col("output"), F.col("overall")).alias("reason"))
+
+
+@query("fitted_blocks")
+def _(spark, d):
+    fitted = layout.fit_blocks(layout.items_to_blocks(documents.page_items(documents.load(spark, d, "pages"))))
+    return fitted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.min("size").alias("min_size"), F.sum("dropped").alias("dropped"))
+
+
+@query("page_shares")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(layout.page_distribution(F.split("text", "\n"), F.array(*map(F.lit, [30, 50, 20])))).alias("page", "p")).select("doc_id", "page", F.size("p").alias("paragraphs"))
+
+
+@query("overflow_audit", "SELECT doc_id, count(*) AS overflows FROM documents WHERE n_chars % 7 IN (5, 6) GROUP BY doc_id")
+def _(spark, d):
+    k = F.col("n_chars") % 7
+    placed = _docs(spark, d).select("doc_id", F.lit(50).alias("x"), F.lit(10).alias("y"), (F.lit(98) + k).alias("width"), F.lit(50).alias("box_x"), F.lit(10).alias("box_y"), F.lit(100).alias("box_width"))
+    return layout.overflow_audit(placed)
+
+
+@query("server_job_status", f"WITH {B.JOBS}, {B.PROJECTS}, c AS (SELECT project_id, count(*) AS total, count(*) FILTER (status = 'done') AS done FROM jobs GROUP BY project_id) SELECT p.project_id, coalesce(done, 0) AS done, coalesce(total, 0) AS total, p.project_id % 2 = 0 AS alive FROM projects p LEFT JOIN c ON c.project_id = p.project_id")
+def _(spark, d):
+    p = B.projects(spark, d).withColumn("dispatcher_at", F.when(F.col("project_id") % 2 == 0, B.NOW - 1)).withColumn("watchdog_at", F.lit(0)).withColumn("activity_at", F.lit(None).cast("long"))
+    out = reports.server_job_status(p, B.jobs(spark, d), F.lit(B.NOW))
+    return out.select("project_id", F.coalesce("done", F.lit(0)).cast("long").alias("done"), F.coalesce("total", F.lit(0)).cast("long").alias("total"), "alive")
+
+
+@query("localized_texts")
+def _(spark, d):
+    from tessella.plans.translate import localize
+
+    checked, _ = localize(_docs(spark, d).select("doc_id", "text"), ["fr", "ru"], most=200, separator="\n")
+    return checked.groupBy("lang", "status").agg(F.count(F.lit(1)).alias("chunks"), F.sum("qa.score").alias("score"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _ALL.items()}
 
