@@ -35,13 +35,30 @@ def whole_word(text: Column, word: Column, ignore_case: bool = True) -> Column:
     return F.contains(F.lower(text), F.lower(word)) & F.rlike(text, F.concat(F.lit(r"(?i)\b\Q" if ignore_case else r"\b\Q"), word, F.lit(r"\E\b")))
 
 
-def term_hits(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(unit_id, present, matched, status) of each pair: glossary terms in the source, and those whose form the output has.
+#: Rows of a glossary up to which it is sent to every executor.
+SMALL_GLOSSARY = 10_000
+TOKEN = r"[\p{L}\p{N}_]+"
+
+
+def with_terms(texts: DataFrame, terms: DataFrame, column: str) -> DataFrame:
+    """``texts`` joined with the terms (lang, term, form) that occur in ``column`` as whole words.
 
-    ``terms`` (lang, source, target) is a glossary of a few thousand rows at
-    most; it is joined on the language, with the word test as a filter.
+    A glossary that is counted and found small is broadcast and tested by
+    language.  A larger one meets the texts' words instead: both sides are
+    dealt by language and the term's first word, so no text meets every term.
     """
-    hits = pairs.join(F.broadcast(terms.withColumnsRenamed({"source": "term", "target": "form"})), "lang").where(whole_word(F.col("source"), F.col("term")))
+    if terms.limit(SMALL_GLOSSARY + 1).count() <= SMALL_GLOSSARY:
+        met = texts.join(F.broadcast(terms), "lang")
+    else:
+        first = F.regexp_extract(F.lower("term"), TOKEN, 0)
+        words = texts.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0)))))
+        met = words.join(terms.withColumn("_word", first), ["lang", "_word"]).drop("_word")
+    return met.where(whole_word(F.col(column), F.col("term")))
+
+
+def term_hits(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(unit_id, present, matched, status) of each pair: glossary terms (lang, source, target) in the source, and those whose form the output has."""
+    hits = with_terms(pairs, terms.select("lang", F.col("source").alias("term"), F.col("target").alias("form")), "source")
     counts = hits.groupBy("unit_id").agg(F.count(F.lit(1)).alias("present"), F.count_if(fuzzy_hit(F.col("output"), F.col("form"))).alias("matched"))
     out = pairs.select("unit_id").join(counts, "unit_id", "left").select("unit_id", F.coalesce("present", F.lit(0)).cast("long").alias("present"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
     return out.withColumn("status", ratio_status(F.col("matched"), F.col("present")))
@@ -286,9 +303,10 @@ def memory_of(hits: DataFrame) -> DataFrame:
 
 
 def locked_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """Terms of the glossary (bounded) that occur in texts and whose form differs, once a language and lower-cased source; the last wins."""
-    hits = docs.select(F.col(text_col).alias("_text"), "lang").join(F.broadcast(terms), "lang").where(whole_word(F.col("_text"), F.col("source")) & (F.col("source") != F.col("target")))
-    return hits.groupBy("lang", F.lower("source").alias("key")).agg(F.max(F.struct("target", "source")).alias("t"), F.count(F.lit(1)).alias("texts")).select("lang", F.col("t.source").alias("source"), F.col("t.target").alias("target"), "texts")
+    """Terms of the glossary that occur in texts and whose form differs, once a language and lower-cased source; the last wins."""
+    changed = terms.where(F.col("source") != F.col("target")).select("lang", F.col("source").alias("term"), F.col("target").alias("form"))
+    hits = with_terms(docs.select("lang", F.col(text_col).alias("_text")), changed, "_text")
+    return hits.groupBy("lang", F.lower("term").alias("key")).agg(F.max(F.struct("form", "term")).alias("t"), F.count(F.lit(1)).alias("texts")).select("lang", F.col("t.term").alias("source"), F.col("t.form").alias("target"), "texts")
 
 
 def translate(fallbacks: Sequence[Column], names: Sequence[str]) -> Column:

@@ -269,6 +269,13 @@ def _(spark, d):
     return quality.term_hits(p, _terms(spark))
 
 
+@query("locked_terms", f"""
+WITH t(lang, term, form) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in rules.TERMS)}), h AS (SELECT lang, term, form FROM documents JOIN t USING (lang) WHERE regexp_matches(lower(text || ' A river by the Market.'), '\\b' || term || '\\b'))
+SELECT lang, term AS source, max(form) AS target, count(*) AS texts FROM h GROUP BY lang, term""")
+def _(spark, d):
+    return quality.locked_terms(_docs(spark, d).withColumn("text", F.concat("text", F.lit(" A river by the Market."))), _terms(spark))
+
+
 @query("literal_bridge", f"""
 WITH {B.PAIRS}, w AS (SELECT unit_id, list_transform(regexp_extract_all(source, '[A-Za-z]+(?:[''’-][A-Za-z]+)*'), lambda x: lower(x)) AS s, list_transform(regexp_extract_all(output, '[A-Za-z]+(?:[''’-][A-Za-z]+)*'), lambda x: lower(x)) AS o FROM pairs)
 SELECT unit_id, round(CASE WHEN len(o) = 0 THEN 0 ELSE len(list_filter(o, lambda x: list_contains(s, x))) / len(o) END, 9) AS share FROM w""")

@@ -160,3 +160,11 @@ def test_windows_pages_and_ranges(spark):
 def test_assembly_keeps_words(spark, parts):
     out = value(spark, T.complete_boundaries(F.col("p")), p=parts)
     assert out.split() == " ".join(parts).split()
+
+
+def test_large_glossary_takes_the_join_by_words(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, "fr", "The River and the old harbor.", "le fleuve"), (2, "fr", "Riverside.", ""), (3, "de", "a river, old", "der Fluss")], "unit_id int, lang string, source string, output string")
+    terms = spark.createDataFrame([("fr", "river", "fleuve"), ("fr", "old harbor", "vieux port"), ("de", "river", "Fluss"), ("de", "old harbor", "Hafen")], "lang string, source string, target string")
+    small = sorted(map(tuple, quality.term_hits(pairs, terms).collect()))
+    monkeypatch.setattr(quality, "SMALL_GLOSSARY", 0)
+    assert sorted(map(tuple, quality.term_hits(pairs, terms).collect())) == small == [(1, 2, 1, "warn"), (2, 0, 0, "pass"), (3, 1, 1, "pass")]
