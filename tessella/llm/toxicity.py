@@ -57,7 +57,7 @@ def tokens_of(word: str) -> list[str]:
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     scale: float = 1.0
-    #: Of the logistic curve over (1, best, passages).
+    #: Of the logistic curve over (1, log(1 + best), passages).
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     base: float = 0.0
 
@@ -65,18 +65,18 @@ class Model:
         return _Words(self.weights)
 
     def features(self, known: "_Words", text: str) -> tuple[float, float]:
-        """Calibrated score of the best passage, and log(1 + number of significant ones)."""
+        """Calibrated score of the best passage, and the log of the number of significant ones (0 for one or none)."""
         words = text.lower().split()
         found = segments(known.hits(words))
         log_n = math.log(len(words) + 1)
         levels = [self.scale * s - log_n for _, _, s in found]
-        return max([x for x in levels if x > 0], default=0.0), math.log1p(sum(x > 0 for x in levels))
+        return max([x for x in levels if x > 0], default=0.0), math.log(max(1, sum(x > 0 for x in levels)))
 
     def score(self, best: float, passages: float) -> float:
         if not self.weights:
             return self.base
         a, b, c = self.curve
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * min(best, 20.0) + c * passages))))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(best) + c * passages))))
 
 
 class _Words(dict):
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_LABELLED, max
             yield pa.RecordBatch.from_pydict({"best": [a for a, _ in pairs], "passages": [b for _, b in pairs], "toxic": batch.column("toxic").to_pylist()})
 
     seen = rows.select("text", F.col("toxic").cast("double").alias("toxic")).mapInArrow(features, "best double, passages double, toxic double").toPandas()
-    x = np.column_stack([np.ones(len(seen)), np.minimum(seen.best, 20.0), seen.passages])
+    x = np.column_stack([np.ones(len(seen)), np.log1p(seen.best), seen.passages])
     model.curve = _logistic(x, (seen.toxic.to_numpy() > 0).astype(float))
     return model
 
