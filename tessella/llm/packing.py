@@ -3,10 +3,11 @@
 Documents become pieces of at most the longest permitted length.  Pieces are
 dealt into shards of bounded size, whatever their keys; each shard is packed on
 its own: pieces in descending order of size go to the open bin that they fill
-best.  Where none has room, the bin size is opened whose cost per token it will
-hold is least, counting what smaller pieces are still to come; bins of all
-permitted lengths take part together.  At the end each bin is downsized to the
-shortest permitted length that holds its contents.
+best.  Where none has room, every permitted length is filled on trial from the
+sizes still to come, and the one is opened whose cost per token held is least;
+bins of all permitted lengths take part together.  Pieces that a trial counted on
+may fit another bin better, so at the end each bin is downsized to the shortest
+permitted length that holds its contents.
 
 Edge cases: null, empty and wordless texts get one row with no bin; pieces of
 equal size go in the order of document and piece; repeated rows are packed
@@ -37,18 +38,47 @@ def cost(capacity: int) -> float:
     return capacity * (1 + capacity / ATTENTION)
 
 
+def trial(room: int, counts: Sequence[int], present: int) -> int:
+    """Tokens that fill ``room`` from the sizes still to come, the largest that fits first.
+
+    ``counts`` holds how many pieces of a size there are, ``present`` has a bit for each size with any.
+    """
+    held = 0
+    while fitting := present & ((2 << room) - 1):
+        size = fitting.bit_length() - 1
+        taken = min(counts[size], room // size) * size
+        held += taken
+        room -= taken
+        present = fitting ^ (1 << size)
+    return held
+
+
+def opened(size: int, lengths: Sequence[int], counts: Sequence[int], present: int) -> int:
+    """The length to open for a piece: least cost per token of what a trial fill leaves in it."""
+    best, best_price = 0, 0.0
+    for c in lengths:
+        if c >= size:
+            held = size + trial(c - size, counts, present)
+            price = cost(next(x for x in lengths if x >= held)) / held
+            if not best or price < best_price:
+                best, best_price = c, price
+    return best
+
+
 def pack(sizes: np.ndarray, capacities: Sequence[int] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin, final capacity of it and offset in it, for sizes in descending order."""
     lengths = sorted(capacities)
-    prices = [cost(c) for c in lengths]
     room: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # bins by what is left in them
     open_rooms = 0  # bit r: some bin has r left
     filled: list[int] = []
     capacity_of: list[int] = []
-    to_come = int(sizes.sum())
+    counts = np.bincount(sizes, minlength=lengths[-1] + 1).tolist()  # pieces still to come, by size
+    present = sum(1 << s for s, n in enumerate(counts) if n)  # bit s: some piece of size s is still to come
     bins, offsets = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int32)
     for k, size in enumerate(sizes.tolist()):
-        to_come -= size
+        counts[size] -= 1
+        if not counts[size]:
+            present ^= 1 << size
         fitting = open_rooms >> size
         if fitting:
             left = size + (fitting & -fitting).bit_length() - 1
@@ -57,7 +87,7 @@ def pack(sizes: np.ndarray, capacities: Sequence[int] = CAPACITIES) -> tuple[np.
                 open_rooms ^= 1 << left
         else:
             own = len(filled)
-            _, left = min((price / min(c, size + to_come), c) for c, price in zip(lengths, prices, strict=True) if c >= size)
+            left = opened(size, lengths, counts, present)
             filled.append(0)
             capacity_of.append(left)
         bins[k], offsets[k] = own, filled[own]

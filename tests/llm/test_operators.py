@@ -152,6 +152,17 @@ def test_packing(spark, docs, none):
     assert packing.pack(np.array([10]), (16, 64))[1].tolist() == [16]
 
 
+def test_packing_opens_larger_bins_and_downsizes(monkeypatch):
+    # Three pieces leave most of a short bin empty each, and fill one of twice the length.
+    made, final, offset = packing.pack(np.array([300, 300, 300]), (512, 1024))
+    assert made.tolist() == [0, 0, 0] and final.tolist() == [1024] * 3 and offset.tolist() == [0, 300, 600]
+    # 15 is opened for 13 and 3 to come, which then fit other bins better.
+    lengths, choose = [], packing.opened
+    monkeypatch.setattr(packing, "opened", lambda *a: lengths.append(choose(*a)) or lengths[-1])
+    made, final, _ = packing.pack(np.array([29, 18, 15, 13, 3]), (8, 16, 32))
+    assert lengths == [32, 32, 32] and made.tolist() == [0, 1, 2, 1, 0] and final.tolist() == [32, 32, 16, 32, 32]
+
+
 def plain_components(texts):
     sets = {}
     for i, t in texts:
