@@ -71,6 +71,7 @@ class Codec:
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pretoken = regex.compile(pattern)
         self.fixed = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])|(?<=\p{{L}})(?=\P{{L}})|(?<=\p{{N}})(?=\P{{N}})")
+        self.run = re.compile(rf"[{SPACE}]{{2}}").search
         top = max(ranks.values()) + 1
         self.bytes_of = [b""] * top
         for token, rank in ranks.items():
@@ -90,13 +91,14 @@ class Codec:
     def ids(self, text: str) -> list[int]:
         """Ids of a text that begins and ends at pre-token boundaries.
 
-        A single space always belongs to the pre-token after it, so a text
-        without two spaces in a row may be cut before each space, and the
-        pieces repeat.
+        A space with no white space beside it always belongs to the pre-token
+        after it, so a text without two white-space characters in a row may be
+        cut before each space, and the pieces repeat.  A run of them may be one
+        pre-token, whatever they are, so other texts are encoded whole.
         """
         if not text:
             return []
-        if "  " in text:
+        if self.run(text):
             return self.encode(text)
         words = text.split(" ")
         return list(chain(self.first[words[0]], chain.from_iterable(map(self.after.__getitem__, words[1:]))))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -89,6 +90,20 @@ def test_bpe(docs, none, chunk, overlap):
     assert bpe.bpe_round_trip(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_bpe_of_mixed_white_space(spark):
+    code = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert code.encode("x \u00a0 \u00a0 y") == code.ids("x \u00a0 \u00a0 y") == [87, 11504, 331]
+    spaces = [" ", "\u00a0", "\u3000", "\n", "\t", "\x1c", "\x85"]
+    runs = ["".join(r) for n in range(1, 5) for r in itertools.product(spaces, repeat=n)]
+    texts = [f"{a}{r}{b}" for r in runs for a, b in (("x", "y"), ("", "'s"), ("1 a", "!"), ("x", ""))]
+    assert [t for t in texts if code.ids(t) != code.encode(t)] == []
+    mixed = [(k, f"x{r}y the" * 30) for k, r in enumerate(["\u00a0 ", " \u00a0 \u00a0 ", "\u3000 \u3000", " \n \u3000 "])]
+    for chunk, overlap in ((60_000, 1_000), (50, 20)):
+        got = by_id(bpe.bpe_round_trip(spark.createDataFrame(mixed, "doc_id long, text string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, chunk=chunk, overlap=overlap))
+        for k, t in mixed:
+            assert got[k].ids_sha256 == hashlib.sha256(" ".join(map(str, code.encode(t))).encode()).hexdigest()
+
+
 def plain_repeats(texts, width=100):
     seen, out = set(), {}
     for i, t in texts:
