@@ -60,7 +60,8 @@ class WordEncoder:
     """Ids of texts by a tokenizer that drops white space.
 
     Such a tokenizer never looks across white space, so the ids of a text are
-    those of its words; words repeat, and each is encoded once.
+    those of its words; words repeat, and each is encoded once.  Words that hold
+    the text of an added token, such as an end mark, go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,7 +69,11 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() or c == SENTINEL for text in added for c in text):
+            raise ValueError("an added token holds white space or the separating character")
+        # In any case: a tokenizer may look for them after it has dropped case.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
         self.plain = PLAIN.fullmatch
@@ -113,13 +118,13 @@ class WordEncoder:
         known, whole, plain = self.known, set(), []
         for word in words:
             found = self.plain(word)
-            if found:
+            if SENTINEL in word or self.added(word):
+                known[word] = self._ids(word).tobytes()
+            elif found:
                 tail = found[2]
                 plain.append((word, found[1].lower(), tail))
                 if tail not in known:
                     whole.add(tail)
-            elif SENTINEL in word:
-                known[word] = self._ids(word).tobytes()
             else:
                 whole.add(word)
         self._encode(list(whole))

@@ -318,6 +318,21 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(coder.encode([text])[0], coder.dtype).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_are_the_tokenizers_own(spark):
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(10)
+    own = Tokenizer.from_file(path)
+    assert own.encode("end <|endoftext|> of", add_special_tokens=False).ids == [806, 49407, 539]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "Ab", "É", "ΑΣ", "'s", "..", "1", " ", "\n", "\x01", "\u00a0", "e\u0301"]
+    texts = ["end <|endoftext|> of", "end<|endoftext|>of", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(300))]
+    got, start = by_id(token_files.token_file_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)), 0
+    for k, t in enumerate(texts):
+        ids = [*own.encode(t, add_special_tokens=False).ids, 1]
+        assert tuple(got[k]) == (k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(t)
+        start += len(ids)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(400, 16)) * rng.gamma(2, size=(400, 1))
