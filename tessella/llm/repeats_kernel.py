@@ -9,7 +9,8 @@ from tessella.llm._shared import mix64
 #: Bytes of a digit: the stretch whose hash chooses a window's anchor.
 DIGIT = 24
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: What the bytes start from, in each family of hashes.
+_BYTES = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -22,13 +23,14 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
-def window_hashes(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+def window_hashes(data: np.ndarray, sizes: tuple[int, ...], family: int = 0) -> list[np.ndarray]:
     """For each size, the hash of the window of that many bytes at every place where one begins.
 
     Stretches of doubling lengths are built from halves; a size that is no
-    power of two is covered by two overlapping stretches.
+    power of two is covered by two overlapping stretches.  Hashes of the two
+    families are independent.
     """
-    out, level, h = {}, 1, _BYTE[data]
+    out, level, h = {}, 1, _BYTES[family][data]
     for size in sorted(sizes):
         while level * 2 <= size:
             h = _join(h[: max(0, len(h) - level)], h[level:])

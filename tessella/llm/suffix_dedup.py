@@ -17,13 +17,23 @@ but the first lose their bytes.  Groups of one leave after each pass.
 Hot passages: each task keeps of equal rows only the first and settles the
 others itself, so what meets in one place grows with tasks, not with rows.
 Where a first digit still has many different rows, its windows are dealt out by
-their own hash.  Hashes have 64 bits; windows count as equal only when digits
-of together 128 bits agree.
+their own hash; the result is the same.
+
+Equality: the second pass compares 64 bits of the stretch at the anchor and 64
+bits of all covered bytes; the third pass compares two independent 64-bit hashes
+of the whole window.  Within one first digit, n different rows are taken for
+equal by mistake with a chance below n^2 / 2^65.
+
+A document is an id with a text: ``(doc_id, hash of the text)`` names it
+everywhere, and documents are ordered by it.
 
 Edge cases: null, empty and short texts lose nothing; matches never cross
-documents; equal texts of at least ``threshold`` bytes lose everything but
-the first; rows that repeat a document id are one text's twins, in no particular order; an empty
-table gives no rows; a null id counts as the smallest; other columns are not read.
+documents; equal texts of at least ``threshold`` bytes under different ids lose
+everything but the first; rows of one id with different texts are different
+documents, ordered by their texts' hashes (``xxhash64``); rows that repeat both id
+and text are one document, read several times: no row is earlier than the other,
+none loses anything to the other, and all get the same result; an empty table
+gives no rows; a null id counts as the smallest; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,8 +55,9 @@ MANY = 2_000
 #: Bytes of texts that a task hashes at a time, and whose rows it keeps until it deals them out.
 TOGETHER, DEALT = 1 << 20, 16 << 20
 NULL_ID = -(1 << 63)
-ROW = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("count", "u1")])
-DONE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("count", "u1")])
+WINDOW = np.dtype([("a", "<i8"), ("b", "<i8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<i8")])
+ROW = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("at", "<u4"), ("before", "u1"), ("count", "u1")])
+DONE = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("count", "u1")])
 
 
 def _packed(rows: np.ndarray) -> bytes:
@@ -64,17 +75,17 @@ def _unpacked(data: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def _rows(texts: list[bytes], ids: np.ndarray, threshold: int) -> np.ndarray:
+def _rows(texts: list[bytes], names: list[tuple[int, int]], threshold: int) -> np.ndarray:
     """Every anchor of some texts with the windows that it stands for."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     digit, window = window_hashes(data, (DIGIT, threshold))
     parts, at = [], 0
-    for text, i in zip(texts, ids, strict=True):
+    for text, (i, tie) in zip(texts, names, strict=True):
         n = len(text)
         if n >= threshold:
             place, first, last = anchors(digit[at : at + n - DIGIT + 1], threshold)
             own = np.empty(len(place), dtype=ROW)
-            own["key"], own["doc"], own["at"] = digit[at + place], i, place
+            own["key"], own["doc"], own["tie"], own["at"] = digit[at + place], i, tie, place
             own["before"], own["count"] = place - first, last - first + 1
             shape = own["before"].astype(np.uint64) << np.uint64(8) | own["count"].astype(np.uint64)
             own["seg"] = mix64(window[at + first] + mix64(window[at + last] ^ shape))
@@ -84,8 +95,11 @@ def _rows(texts: list[bytes], ids: np.ndarray, threshold: int) -> np.ndarray:
 
 
 def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by digits, then place; where a new key begins; where a new (key, seg) begins."""
-    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["seg"], rows["key"]))]
+    """Distinct rows by digits, then place; where a new key begins; where a new (key, seg) begins."""
+    rows = rows[np.lexsort((rows["at"], rows["tie"], rows["doc"], rows["seg"], rows["key"]))]
+    if len(rows):
+        # The same place read twice, from rows that repeat id and text, is one window.
+        rows = rows[np.concatenate([[True], np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("at", "tie", "doc", "seg", "key")])])]
     key = np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.empty(0, bool)
     seg = key | np.concatenate([[True], rows["seg"][1:] != rows["seg"][:-1]]) if len(rows) else key
     return rows, key, seg
@@ -93,7 +107,7 @@ def _ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _settled(rows: np.ndarray) -> np.ndarray:
     out = np.empty(len(rows), dtype=DONE)
-    out["doc"], out["start"], out["count"] = rows["doc"], rows["at"] - rows["before"], rows["count"]
+    out["doc"], out["tie"], out["start"], out["count"] = rows["doc"], rows["tie"], rows["at"] - rows["before"], rows["count"]
     return out
 
 
@@ -113,25 +127,25 @@ def first_digits(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
             kept = [k for k in range(parts) if cuts[k] < cuts[k + 1] or share[k] < share[k + 1]]
             return pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array([_packed(rows[order[cuts[k] : cuts[k + 1]]]) for k in kept], pa.binary()), pa.array([_packed(done[share[k] : share[k + 1]]) for k in kept], pa.binary())], names=["p", "rows", "done"])
 
-        made, held, ids, size, total = [], [], [], 0, 0
+        made, held, names, size, total = [], [], [], 0, 0
         for batch in batches:
-            for i, t in zip(batch.column("i").to_pylist(), batch.column("t"), strict=True):
+            for i, tie, t in zip(batch.column("i").to_pylist(), batch.column("tie").to_pylist(), batch.column("t"), strict=True):
                 data = t.as_buffer()
                 if len(data) < threshold:
                     continue
                 held.append(data.to_pybytes())
-                ids.append(i)
+                names.append((i, tie))
                 size += len(data)
                 if size >= TOGETHER:
-                    made.append(_rows(held, np.array(ids, dtype=np.int64), threshold))
+                    made.append(_rows(held, names, threshold))
                     total += size
-                    held, ids, size = [], [], 0
+                    held, names, size = [], [], 0
                     if total >= DEALT:
                         if out := deal(made):
                             yield out
                         made, total = [], 0
         if held:
-            made.append(_rows(held, np.array(ids, dtype=np.int64), threshold))
+            made.append(_rows(held, names, threshold))
         if made and (out := deal(made)):
             yield out
 
@@ -139,7 +153,8 @@ def first_digits(texts: DataFrame, threshold: int, parts: int) -> DataFrame:
 
 
 #: span packs a first window start and a count of windows: start * 256 + count; key, at and many are null for settled windows.
-SECOND = "doc long, span long, key long, at long, many boolean"
+SECOND = "doc long, tie long, span long, key long, at long, many boolean"
+SPANS = "doc long, tie long, span long"
 
 
 def second_digits(dealt: DataFrame, parts: int) -> DataFrame:
@@ -157,14 +172,14 @@ def second_digits(dealt: DataFrame, parts: int) -> DataFrame:
                 left, many = own[open_], different[open_] > MANY
             else:
                 left, many = own, np.empty(0, bool)
-            flat = np.concatenate(settled)
+            flat, names = np.concatenate(settled), ["doc", "tie", "span", "key", "at", "many"]
             rest = _settled(left)
             for a in range(0, len(flat), 500_000):
                 x = flat[a : a + 500_000]
                 nothing = pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["start"].astype(np.int64) << 8 | x["count"]), nothing, nothing, pa.nulls(len(x), pa.bool_())], names=["doc", "span", "key", "at", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["tie"]), pa.array(x["start"].astype(np.int64) << 8 | x["count"]), nothing, nothing, pa.nulls(len(x), pa.bool_())], names=names)
             if len(left):
-                yield pa.RecordBatch.from_arrays([pa.array(rest["doc"]), pa.array(rest["start"].astype(np.int64) << 8 | rest["count"]), pa.array(left["key"].view(np.int64)), pa.array(left["at"].astype(np.int64)), pa.array(many)], names=["doc", "span", "key", "at", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(rest["doc"]), pa.array(rest["tie"]), pa.array(rest["start"].astype(np.int64) << 8 | rest["count"]), pa.array(left["key"].view(np.int64)), pa.array(left["at"].astype(np.int64)), pa.array(many)], names=names)
 
         p, rows, done = None, [], []
         for batch in batches:
@@ -182,67 +197,72 @@ def second_digits(dealt: DataFrame, parts: int) -> DataFrame:
 
 
 def contexts(texts: DataFrame, left: DataFrame, threshold: int) -> DataFrame:
-    """(key, many, doc, start, gap, bytes): the bytes under the windows of rows that are still open."""
-    lists = left.groupBy("doc").agg(F.collect_list(F.struct("span", "key", "at", "many")).alias("open"))
+    """(key, many, doc, tie, start, gap, bytes): the bytes under the windows of rows that are still open."""
+    lists = left.groupBy(F.col("doc").alias("i"), "tie").agg(F.collect_list(F.struct("span", "key", "at", "many")).alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("key", "many", "doc", "start", "gap", "bytes")}
-            for doc, text, rows in zip(batch.column("doc").to_pylist(), batch.column("t"), batch.column("open").to_pylist(), strict=True):
-                data = memoryview(text.as_buffer())
+            out: dict[str, list] = {n: [] for n in ("key", "many", "doc", "tie", "start", "gap", "bytes")}
+            for doc, tie, text, rows in zip(batch.column("i").to_pylist(), batch.column("tie").to_pylist(), batch.column("t"), batch.column("open").to_pylist(), strict=True):
+                # Rows that repeat a document stand side by side after the join; what still repeats, the third pass drops.
+                if (doc, tie) == before:
+                    continue
+                before, data = (doc, tie), memoryview(text.as_buffer())
                 for r in rows:
                     start, count = r["span"] >> 8, r["span"] & 255
-                    for name, value in zip(out, (r["key"], r["many"], doc, start, r["at"] - start, bytes(data[start : start + count + threshold - 1])), strict=True):
+                    for name, value in zip(out, (r["key"], r["many"], doc, tie, start, r["at"] - start, bytes(data[start : start + count + threshold - 1])), strict=True):
                         out[name].append(value)
-            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    joined = texts.join(lists.withColumnRenamed("doc", "i"), "i").select(F.col("i").alias("doc"), "t", "open")
-    return joined.mapInArrow(run, "key long, many boolean, doc long, start long, gap long, bytes binary")
+    return texts.join(lists, ["i", "tie"]).select("i", "tie", "t", "open").mapInArrow(run, "key long, many boolean, doc long, tie long, start long, gap long, bytes binary")
 
 
-def _windows(batch: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, document and start of every window under a batch of contexts."""
-    data = b"".join(batch.column("bytes").to_pylist())
+def _windows(batch: pa.RecordBatch, threshold: int) -> np.ndarray:
+    """Two digests, document and start of every window under a batch of contexts."""
+    data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), dtype=np.uint8)
     sizes = np.array([len(b.as_buffer()) for b in batch.column("bytes")], dtype=np.int64)
-    (hashes,) = window_hashes(np.frombuffer(data, dtype=np.uint8), (threshold,))
     counts = np.maximum(sizes - threshold + 1, 0)
     row = np.repeat(np.arange(len(sizes)), counts)
     step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    gap = np.asarray(batch.column("gap"))[row] - step
-    key = np.asarray(batch.column("key")).view(np.uint64)[row]
-    digest = mix64(hashes[(np.cumsum(sizes) - sizes)[row] + step] + mix64(key ^ mix64(gap.astype(np.uint64))))
-    return digest, np.asarray(batch.column("doc"))[row], np.asarray(batch.column("start"))[row] + step
+    place = (np.cumsum(sizes) - sizes)[row] + step
+    out = np.empty(len(row), dtype=WINDOW)
+    for name, family in (("a", 0), ("b", 1)):
+        (hashes,) = window_hashes(data, (threshold,), family)
+        out[name] = hashes[place].view(np.int64)
+    out["doc"], out["tie"], out["start"] = np.asarray(batch.column("doc"))[row], np.asarray(batch.column("tie"))[row], np.asarray(batch.column("start"))[row] + step
+    return out
 
 
-def _repeats(digest: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the windows by digest and place, and which of them are not the first of their digest."""
-    order = np.lexsort((start, doc, digest))
-    d = digest[order]
-    return order, np.concatenate([[False], d[1:] == d[:-1]]) if len(d) else np.empty(0, bool)
+def _repeats(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows by digest and place, each place once, and which of them are not the first of their digest."""
+    w = windows[np.lexsort((windows["start"], windows["tie"], windows["doc"], windows["b"], windows["a"]))]
+    if len(w):
+        w = w[np.concatenate([[True], w[1:] != w[:-1]])]
+    return w, np.concatenate([[False], (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])]) if len(w) else np.empty(0, bool)
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Windows as runs (doc, span) of neighbouring starts."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.empty(0, bool)
+def _spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Windows as runs (doc, tie, span) of neighbouring starts."""
+    order = np.lexsort((start, tie, doc))
+    doc, tie, start = doc[order], tie[order], start[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.empty(0, bool)
     # A run is cut where its count would not fit the packing.
     at = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0)) if len(doc) else np.empty(0, np.int64)
     first = np.flatnonzero(new | (at % 255 == 0))
     counts = np.diff(np.append(first, len(doc)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first] << 8 | counts)], names=["doc", "span"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tie[first]), pa.array(start[first] << 8 | counts)], names=["doc", "tie", "span"])
 
 
 def third_digits(open_rows: DataFrame, threshold: int) -> DataFrame:
-    """(doc, span) of repeated windows, where a first digit has few different rows."""
+    """(doc, tie, span) of repeated windows, where a first digit has few different rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(parts).combine_chunks()
-            digest, doc, start = _windows(table.to_batches()[0], threshold)
-            order, again = _repeats(digest, doc, start)
-            return _spans(doc[order][again], start[order][again])
+            w, again = _repeats(_windows(table.to_batches()[0], threshold))
+            return _spans(w["doc"][again], w["tie"][again], w["start"][again])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -255,11 +275,11 @@ def third_digits(open_rows: DataFrame, threshold: int) -> DataFrame:
         if held and sum(h.num_rows for h in held):
             yield flush(held)
 
-    return open_rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, span long")
+    return open_rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPANS)
 
 
 def dealt_windows(open_rows: DataFrame, threshold: int) -> DataFrame:
-    """(doc, span) of repeated windows, where a first digit has many different rows.
+    """(doc, tie, span) of repeated windows, where a first digit has many different rows.
 
     A task settles what repeats inside it and sends on only the first of each window.
     """
@@ -267,32 +287,38 @@ def dealt_windows(open_rows: DataFrame, threshold: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 5_000):
-                digest, doc, start = _windows(batch.slice(a, 5_000), threshold)
-                order, again = _repeats(digest, doc, start)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[order].view(np.int64)), pa.array(doc[order]), pa.array(start[order]), pa.array(again)], names=["digest", "doc", "start", "again"])
+                w, again = _repeats(_windows(batch.slice(a, 5_000), threshold))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(w[c])) for c in WINDOW.names), pa.array(again)], names=[*WINDOW.names, "again"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            digest, doc, start = (np.asarray(batch.column(c)) for c in ("digest", "doc", "start"))
-            again = np.concatenate([[digest[0] == last], digest[1:] == digest[:-1]]) | np.asarray(batch.column("again").to_numpy(zero_copy_only=False))
-            last = digest[-1]
-            yield _spans(doc[again], start[again])
-
-    rows = open_rows.mapInArrow(emit, "digest long, doc long, start long, again boolean")
+            x, y, doc, tie, start = (np.asarray(batch.column(c)) for c in WINDOW.names)
+            first = last is not None and (x[0], y[0]) == last[:2] and (doc[0], tie[0], start[0]) != last[2:]
+            other = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1])
+            again = np.concatenate([[first], (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & other]) | np.asarray(batch.column("again").to_numpy(zero_copy_only=False))
+            last = (x[-1], y[-1], doc[-1], tie[-1], start[-1])
+            yield _spans(doc[again], tie[again], start[again])
+
+    rows = open_rows.mapInArrow(emit, "a long, b long, doc long, tie long, start long, again boolean")
     # What is settled already needs no meeting: its own place serves as key.
-    dealt = rows.withColumn("k", F.when(F.col("again"), F.xxhash64("doc", "start")).otherwise(F.xxhash64("digest")))
-    return dealt.repartition("k").sortWithinPartitions("digest", "doc", "start").mapInArrow(settle, "doc long, span long")
+    dealt = rows.withColumn("k", F.when(F.col("again"), F.xxhash64("doc", "tie", "start")).otherwise(F.xxhash64("a", "b")))
+    return dealt.repartition("k").sortWithinPartitions("a", "b", "doc", "tie", "start").mapInArrow(settle, SPANS)
+
+
+def text_tie(text_col: str) -> Column:
+    """What tells documents of one id apart, and orders them."""
+    return F.xxhash64(text_or_empty(text_col))
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("i"), text_or_empty(text_col).alias("t"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("i"), text_tie(text_col).alias("tie"), text_or_empty(text_col).alias("t"))
 
 
 def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, spans) of documents with windows that also start earlier; a span is start * 256 + count."""
+    """(i, tie, spans) of documents with windows that also start earlier; a span is start * 256 + count."""
     if not DIGIT <= threshold <= DIGIT + 254:
         raise ValueError(f"the threshold must be from {DIGIT} to {DIGIT + 254} bytes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -301,8 +327,8 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD, *, id_col: str
     open_rows = contexts(texts, seen.where("key is not null"), threshold)
     few = third_digits(open_rows.where("not many").drop("many"), threshold)
     many = dealt_windows(contexts(texts, seen.where("key is not null and many"), threshold).drop("many"), threshold)
-    found = seen.where("key is null").select("doc", "span").unionByName(few).unionByName(many)
-    return found.groupBy(F.col("doc").alias("i")).agg(F.collect_list("span").alias("spans"))
+    found = seen.where("key is null").select("doc", "tie", "span").unionByName(few).unionByName(many)
+    return found.groupBy(F.col("doc").alias("i"), "tie").agg(F.collect_set("span").alias("spans"))
 
 
 def kept_bytes(data: bytes, spans: list[int] | None, threshold: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -324,7 +350,7 @@ def kept_bytes(data: bytes, spans: list[int] | None, threshold: int) -> tuple[li
 
 def dedup_report(docs: DataFrame, threshold: int = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, of every document."""
-    joined = texts_of(docs, id_col, text_col).join(repeated_windows(docs, threshold, id_col=id_col, text_col=text_col), "i", "left")
+    joined = texts_of(docs, id_col, text_col).join(repeated_windows(docs, threshold, id_col=id_col, text_col=text_col), ["i", "tie"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,9 +376,13 @@ def without_repeats(text: Column, spans: Column, threshold: int = THRESHOLD) ->
 
 
 def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with shortened texts and its other columns as they were."""
-    spans = repeated_windows(docs, threshold, id_col=id_col, text_col=text_col).select(F.col("i").alias("_repeat_id"), F.col("spans").alias("_repeat_spans"))
-    joined = docs.join(spans, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == spans["_repeat_id"], "left")
+    """``docs`` with shortened texts and its other columns as they were.
+
+    Every row stays; rows that repeat both id and text stay alike, each with what the first of its passages keeps.
+    """
+    spans = repeated_windows(docs, threshold, id_col=id_col, text_col=text_col).select(F.col("i").alias("_repeat_id"), F.col("tie").alias("_repeat_tie"), F.col("spans").alias("_repeat_spans"))
+    same = (F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == spans["_repeat_id"]) & (text_tie(text_col) == spans["_repeat_tie"])
+    joined = docs.join(spans, same, "left")
     return joined.select(*(without_repeats(F.col(c), F.col("_repeat_spans"), threshold).alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
