@@ -1,37 +1,45 @@
 """Best-fit packing into sequences of several permitted lengths (operator 4).
 
-Documents become pieces of at most the longest permitted length.  Pieces are
-dealt into shards of bounded size, whatever their keys; each shard is packed on
+Texts become token ids, by the ranks of a byte-level BPE file, and then pieces
+of at most the longest permitted length.  Pieces are dealt into shards by their
+own number, so that a shard holds about ``SHARD`` of them whatever their keys,
+and never more ids than that times the longest length.  Each shard is packed on
 its own: pieces in descending order of size go to the open bin that they fill
 best.  Where none has room, every permitted length is filled on trial from the
 sizes still to come, and the one is opened whose cost per token held is least;
 bins of all permitted lengths take part together.  Pieces that a trial counted on
 may fit another bin better, so at the end each bin is downsized to the shortest
-permitted length that holds its contents.
+permitted length that holds its contents.  The result is the sequences: their
+ids, and whose they are.
 
-Edge cases: null, empty and wordless texts get one row with no bin; pieces of
-equal size go in the order of document and piece; repeated rows are packed
-each; an empty table gives no rows; only the named columns are read.
+Edge cases: null and empty texts have no tokens and get one row with no bin;
+pieces of equal size go in the order of document, piece and row; repeated rows
+are packed each; very long texts are cut into as many pieces as they need; an
+empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import text_or_empty
+from tessella.llm._shared import text_or_empty, written
+from tessella.llm.bpe import CACHED_WORDS, Codec, codec
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Pieces of a shard on average: bounds a task's memory; the loss at a shard's end is a few bins.
-SHARD = 50_000
+#: Pieces of a shard on average: bounds a task's memory (82 MB of ids at most); the loss at a shard's end is a few bins.
+SHARD = 10_000
 #: A bin costs its length times (1 + length / ATTENTION): attention grows with the square of it.
 ATTENTION = 65_536
-WORD = r"[^\x20\x09-\x0D]+"
-PACKED = "doc_id long, piece int, first_token long, n_tokens long, bin_id long, bin_capacity int, bin_offset int"
+PIECES = "doc_id long, piece int, first_token long, n_tokens int, ids binary"
+#: Lists hold one entry a piece, in the order in which the pieces stand in the bin.
+SEQUENCES = "bin_id long, bin_capacity int, n_tokens int, doc_ids array<long>, pieces array<int>, first_tokens array<long>, lengths array<int>, ids array<int>"
 
 
 def cost(capacity: int) -> float:
@@ -100,35 +108,93 @@ def pack(sizes: np.ndarray, capacities: Sequence[int] = CAPACITIES) -> tuple[np.
     return bins, final[bins] if len(final) else np.empty(0, np.int32), offsets
 
 
-def pieces(docs: DataFrame, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, first_token, n_tokens; tokens are words."""
-    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("n"))
-    cut = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / longest) - 1).cast("int"))).alias("piece"))
-    first = F.col("piece").cast("long") * longest
-    return cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.col("n") - first, F.lit(longest)).alias("n_tokens"))
+class _Raw(dict):
+    """Ids of words as little-endian bytes; what is missing is encoded."""
 
+    def __init__(self, code: Codec, before: str, dtype: np.dtype) -> None:
+        self.encode, self.before, self.dtype = code.encode, before, dtype
 
-def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, *, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece with its bin, the bin's final capacity and its place in the bin."""
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        found = self[word] = np.array(self.encode(self.before + word), dtype=self.dtype).tobytes()
+        return found
+
+
+def id_type(code: Codec) -> np.dtype:
+    return np.dtype("<u2") if len(code.bytes_of) <= 1 << 16 else np.dtype("<u4")
+
+
+def pieces(docs: DataFrame, longest: int, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, first_token, n_tokens, ids; one row without ids for a text without tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codec(ranks_path, pattern)
+        dtype = id_type(code)
+        first, after, step = _Raw(code, "", dtype), _Raw(code, " ", dtype), longest * dtype.itemsize
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if code.run(text):
+                    ids = np.array(code.encode(text), dtype=dtype).tobytes()
+                else:
+                    words = text.split(" ")
+                    ids = b"".join(chain((first[words[0]],), map(after.__getitem__, words[1:]))) if text else b""
+                for k, at in enumerate(range(0, max(1, len(ids)), step)):
+                    own = ids[at : at + step]
+                    rows.append((i, k, k * longest, len(own) // dtype.itemsize, own))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "piece", "first_token", "n_tokens", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, PIECES)
+
+
+def sequences(rows: pd.DataFrame, shard: int, lengths: Sequence[int], dtype: np.dtype) -> pd.DataFrame:
+    """One row a bin from the pieces of a shard, and one a piece without tokens."""
+    full = rows[rows.n_tokens > 0].sort_values(["n_tokens", "doc_id", "piece", "number"], ascending=[False, True, True, True])
+    bins, final, _ = pack(full.n_tokens.to_numpy(), lengths)
+    order = np.argsort(bins, kind="stable")  # pieces keep their order inside a bin
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(bins[order]) > 0, [True]])) if len(bins) else np.zeros(1, dtype=int)
+    columns = {c: full[c].to_numpy()[order] for c in ("doc_id", "piece", "first_token", "n_tokens", "ids")}
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = {c: v[a:b] for c, v in columns.items()}
+        out.append(((shard << 32) + int(bins[order[a]]), int(final[order[a]]), int(own["n_tokens"].sum()), _longs(own["doc_id"]), own["piece"].tolist(), own["first_token"].tolist(), own["n_tokens"].tolist(), np.frombuffer(b"".join(own["ids"]), dtype=dtype).astype(np.int32)))
+    for i in _longs(rows[rows.n_tokens == 0].doc_id.to_numpy()):
+        out.append((None, None, 0, [i], [0], [0], [0], np.empty(0, dtype=np.int32)))
+    made = pd.DataFrame(out, columns=["bin_id", "bin_capacity", "n_tokens", "doc_ids", "pieces", "first_tokens", "lengths", "ids"])
+    return made.astype({"bin_id": "Int64", "bin_capacity": "Int32"})
+
+
+def _longs(ids: np.ndarray) -> list[int | None]:
+    return [None if pd.isna(i) else int(i) for i in ids]
+
+
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacities: Sequence[int] = CAPACITIES, *, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a sequence: its bin, capacity and ids, and document, piece, first token and length of each of its pieces."""
     lengths = sorted(set(capacities))
     if not lengths or lengths[0] < 1:
         raise ValueError("capacities must be positive")
-    rows = pieces(docs, lengths[-1], id_col, text_col)
-    # Pieces are at least one a row; long texts add at most one per longest length.
-    shards = max(1, -(-docs.count() // shard))
-    # A row's own number is part of the key, so that repeated ids do not meet in one shard.
-    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
+    dtype = id_type(codec(ranks_path, pattern))
+    # A piece's number is written with it, so that a task that is run again deals alike.
+    rows = written(pieces(docs, lengths[-1], ranks_path, pattern, id_col, text_col).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    shards = max(1, -(-rows.count() // shard))
+    keyed = rows.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards)))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = rows[rows.n_tokens == 0]
-        own = rows[rows.n_tokens > 0].sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True])
-        bins, final, offsets = pack(own.n_tokens.to_numpy(), lengths)
-        own = own.assign(bin_id=pd.array((int(key[0]) << 32) + bins, dtype="Int64"), bin_capacity=pd.array(final, dtype="Int32"), bin_offset=pd.array(offsets, dtype="Int32"))
-        empty = empty.assign(bin_id=pd.array([None] * len(empty), dtype="Int64"), bin_capacity=pd.array([None] * len(empty), dtype="Int32"), bin_offset=pd.array([None] * len(empty), dtype="Int32"))
-        return pd.concat([own, empty], ignore_index=True)[["doc_id", "piece", "first_token", "n_tokens", "bin_id", "bin_capacity", "bin_offset"]]
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        return sequences(own, int(key[0]), lengths, dtype)
 
-    return keyed.groupBy("shard").applyInPandas(run, PACKED)
+    return keyed.groupBy("shard").applyInPandas(run, SEQUENCES)
+
+
+def placements(packed: DataFrame) -> DataFrame:
+    """One row a piece: doc_id, piece, first_token, n_tokens, bin_id, bin_capacity, bin_offset."""
+    before = F.transform("lengths", lambda _, k: F.aggregate(F.slice("lengths", F.lit(1), k), F.lit(0), lambda a, n: a + n))
+    zipped = packed.select("bin_id", "bin_capacity", F.explode(F.arrays_zip("doc_ids", "pieces", "first_tokens", "lengths", before.alias("before"))).alias("p"))
+    return zipped.select(F.col("p.doc_ids").alias("doc_id"), F.col("p.pieces").alias("piece"), F.col("p.first_tokens").alias("first_token"), F.col("p.lengths").alias("n_tokens"), "bin_id", "bin_capacity", F.when(F.col("bin_id").isNotNull(), F.col("p.before")).alias("bin_offset"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    import public_tokenizers
+
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -170,26 +170,97 @@ def test_anchors_are_leftmost_least(letters):
     assert len(set(window.tolist())) == len({data[s : s + 100].tobytes() for s in range(601)})
 
 
+BPE = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def plain_pack(sizes, capacities):
+    """The same rules in loops over all bins, all lengths and all sizes to come."""
+    bins = []  # [length, filled, when it last changed]
+    placed, lengths = [], sorted(capacities)
+    for k, size in enumerate(sizes):
+        open_ = [b for b in bins if b[0] - b[1] >= size]
+        if open_:
+            own = min(open_, key=lambda b: (b[0] - b[1], -b[2]))
+        else:
+            best = None
+            for c in lengths:
+                if c >= size:
+                    room, held = c - size, size
+                    for later in sorted(sizes[k + 1 :], reverse=True):
+                        if later <= room:
+                            room, held = room - later, held + later
+                    end = min(x for x in lengths if x >= held)
+                    price = end * (1 + end / packing.ATTENTION) / held
+                    if best is None or price < best[0]:
+                        best = (price, c)
+            own = [best[1], 0, 0]
+            bins.append(own)
+        placed.append((next(n for n, b in enumerate(bins) if b is own), own[1]))
+        own[1], own[2] = own[1] + size, k + 1
+    return placed, [min(c for c in lengths if c >= b[1]) for b in bins], [b[0] for b in bins]
+
+
+def least_cost(sizes, capacities):
+    """Over all ways to put the sizes into bins."""
+    best = [float("inf")]
+
+    def put(k, bins):
+        if k == len(sizes):
+            best[0] = min(best[0], sum(packing.cost(min(c for c in capacities if c >= b)) for b in bins))
+            return
+        for n in range(len(bins)):
+            if bins[n] + sizes[k] <= max(capacities):
+                put(k + 1, [*bins[:n], bins[n] + sizes[k], *bins[n + 1 :]])
+        put(k + 1, [*bins, sizes[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_equals_a_plain_version():
+    rng, longer, downsized, ratios = random.Random(7), 0, 0, []
+    for n in range(400):
+        sizes = sorted((rng.choice([rng.randint(1, 32), rng.randint(1, 12)]) for _ in range(rng.randint(1, 40 if n % 2 else 6))), reverse=True)
+        made, final, offset = packing.pack(np.array(sizes), (8, 16, 32))
+        placed, wanted, opened = plain_pack(sizes, (8, 16, 32))
+        assert list(zip(made.tolist(), offset.tolist(), strict=True)) == placed and final.tolist() == [wanted[b] for b, _ in placed]
+        first = {}
+        for (b, _), size in zip(placed, sizes, strict=True):
+            first.setdefault(b, size)
+        longer += sum(opened[b] > min(c for c in (8, 16, 32) if c >= size) for b, size in first.items())
+        downsized += sum(o > w for o, w in zip(opened, wanted, strict=True))
+        if len(sizes) <= 6:
+            ratios.append(sum(map(packing.cost, wanted)) / least_cost(sizes, (8, 16, 32)))
+    print(f"{longer} longer, {downsized} downsized, cost {sum(ratios) / len(ratios):.3f} times the least, {max(ratios):.2f} at most")
+    assert longer > 50 and downsized > 0 and sum(ratios) / len(ratios) < 1.1 and max(ratios) < 2
+
+
 def test_packing(spark, docs, none):
-    rows = packing.pack_documents(docs, (16, 32, 64), shard=20).collect()
-    words = {k * 10: len(re.findall(packing.WORD, plain(t))) for k, t in enumerate(TEXTS)}
-    total, bins = collections.Counter(), collections.defaultdict(list)
+    code, lengths = bpe.codec(*BPE), (16, 32, 64)
+    made = packing.pack_documents(docs, *BPE, lengths, shard=20)
+    rows, ids = made.collect(), {k * 10: code.encode(plain(t)) for k, t in enumerate(TEXTS)}
+    back = collections.defaultdict(dict)
     for r in rows:
-        total[r.doc_id] += r.n_tokens
-        if r.n_tokens:
-            bins[r.bin_id].append(r)
-        else:
-            assert r.bin_id is None
-    assert dict(total) == words
-    for own in bins.values():
-        own.sort(key=lambda r: r.bin_offset)
-        ends = 0
-        for r in own:
-            assert r.bin_offset == ends
-            ends += r.n_tokens
-        assert own[0].bin_capacity == min(c for c in (16, 32, 64) if c >= ends)
-    assert sum(words.values()) / sum(own[0].bin_capacity for own in bins.values()) > 0.85
-    assert packing.pack_documents(none).count() == 0
+        assert len(r.ids) == r.n_tokens == sum(r.lengths)
+        at = 0
+        for i, piece, first, n in zip(r.doc_ids, r.pieces, r.first_tokens, r.lengths, strict=True):
+            assert first == piece * 64 and piece not in back[i]
+            back[i][piece] = r.ids[at : at + n]
+            at += n
+        assert (r.bin_id is None) == (r.n_tokens == 0) and r.bin_capacity == (min(c for c in lengths if c >= at) if at else None)
+    assert {i: [x for k in sorted(p) for x in p[k]] for i, p in back.items()} == ids
+    assert sum(map(len, ids.values())) / sum(r.bin_capacity or 0 for r in rows) > 0.85
+    # Shards are bounded in pieces, also where one text makes most of them.
+    long = spark.createDataFrame([(1, "a b c d e f " * 4_000), (1, "a"), (None, None)], "doc_id long, text string")
+    own = packing.pack_documents(long, *BPE, (4, 8), shard=100)
+    sizes = [r.n for r in own.groupBy(F.shiftright("bin_id", 32)).agg(F.sum(F.size("pieces")).alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 200
+    spots = packing.placements(own)
+    assert spots.where("n_tokens > 0").groupBy("bin_id", "bin_offset").count().where("count > 1").count() == 0
+    assert spots.where("bin_id is null").collect()[0][:4] == (None, 0, 0, 0)
+    assert packing.pack_documents(none, *BPE).count() == 0
+    # Repeated rows are packed each.
+    assert sum(r.n_tokens for r in packing.pack_documents(docs.union(docs), *BPE).collect()) == 2 * sum(map(len, ids.values()))
     # Best fit: 5 goes where exactly 5 are left, not where 7 are.
     made, final, offset = packing.pack(np.array([11, 9, 5, 4]), (16,))
     assert made.tolist() == [0, 1, 0, 1] and final.tolist() == [16] * 4 and offset.tolist() == [0, 0, 11, 9]

@@ -27,10 +27,12 @@ def test_stages_take_effect(spark, folder):
     assert not any(k % 5 == 0 for k in kept["toxicity"] if k < 200) and len(kept["toxicity"]) == 165
     assert not {300, 301} & kept["near_duplicates"].keys() and {302, 303, 1, 2} <= kept["near_duplicates"].keys()
     assert "[EMAIL]" in kept["personal_data"].get(304, "[EMAIL]")
-    packed = {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()}
+    packed = {i for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect() for i in r.doc_ids}
     assert packed == kept["personal_data"].keys()
 
 
 def test_run_and_names(spark, folder):
-    assert corpus_pipeline.run(spark, folder).count() >= 100
+    packed = corpus_pipeline.run(spark, folder)
+    assert packed.selectExpr("explode(doc_ids) AS i").distinct().count() >= 100
+    assert packed.where("bin_id IS NOT NULL AND n_tokens > bin_capacity").count() == 0
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
