@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._shared import text_or_empty, written
-from tessella.llm.bpe import CACHED_WORDS, Codec, codec
+from tessella.llm.bpe import Codec, codec
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: Pieces of a shard on average: bounds a task's memory (82 MB of ids at most); the loss at a shard's end is a few bins.
-SHARD = 10_000
+#: Pieces of a shard on average: bounds a task's memory (33 MB of ids at most); the loss at a shard's end is a few bins.
+SHARD = 4_000
+#: Words whose ids a worker remembers, of each kind, before it forgets them.
+KEPT_WORDS = 100_000
 #: A bin costs its length times (1 + length / ATTENTION): attention grows with the square of it.
 ATTENTION = 65_536
 PIECES = "doc_id long, piece int, first_token long, n_tokens int, ids binary"
@@ -115,7 +117,7 @@ class _Raw(dict):
         self.encode, self.before, self.dtype = code.encode, before, dtype
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHED_WORDS:
+        if len(self) > KEPT_WORDS:
             self.clear()
         found = self[word] = np.array(self.encode(self.before + word), dtype=self.dtype).tobytes()
         return found
@@ -177,7 +179,7 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacities: S
         raise ValueError("capacities must be positive")
     dtype = id_type(codec(ranks_path, pattern))
     # A piece's number is written with it, so that a task that is run again deals alike.
-    rows = written(pieces(docs, lengths[-1], ranks_path, pattern, id_col, text_col).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    rows = written(pieces(docs, lengths[-1], ranks_path, pattern, id_col, text_col).withColumn("number", F.monotonically_increasing_id()), "pieces", **{"parquet.block.size": str(16 << 20)})
     shards = max(1, -(-rows.count() // shard))
     keyed = rows.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards)))
 
