@@ -144,7 +144,7 @@ def _literal(text: str) -> str:
 
 
 def oracle() -> str:
-    """The same over all pairs of segments and templates, without pruning."""
+    """The same over all pairs of templates and segments that hold a word every template has one of; no pruning by size or anchors."""
     rows = ", ".join(f"({_literal(name)}, {_literal(' '.join(normalised(text)))})" for name, text in sorted(TEMPLATES.items()))
     return f"""
 WITH lines AS (

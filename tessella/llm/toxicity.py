@@ -5,20 +5,27 @@ token occurs; tokens are words and their first letters.  A token's weight is
 its log-odds between the classes under Dirichlet priors; tokens whose weight is
 many standard deviations above zero form the lexicon, all other words weigh a
 little below zero.  A text is then a sequence of weights, and one linear scan
-finds all its maximal scoring segments, the passages.  Under the words of clean
-texts the best segment of n words follows an extreme-value law: lambda * S -
-ln(n) is comparable between short and long texts.  A logistic curve over that
-and over the number of significant passages, fitted on the training texts,
-gives the score.
+finds all its maximal scoring segments, the passages.
+
+Calibration: labelled texts are dealt into folds, and those of a fold are
+scanned with a lexicon from the others.  The best segments of their clean texts
+fix lambda and K by maximum likelihood: among n clean words the best segment
+exceeds S with a chance of 1 - exp(-K * n * exp(-lambda * S)), an extreme-value
+law.  (Words of real texts come in clumps, so lambda is fitted, not derived from
+the shares of single words.)  The level lambda * S - ln(K * n) makes short and long
+texts alike; a passage above level 0 is significant.  A logistic curve over the
+best passage's level and the number of significant ones, fitted on the same
+out-of-fold scans, gives the score.
 
 The fit uses at most about ``MAX_LABELLED`` labelled rows, drawn by a hash of
-their ids; everything else reads all rows.
+their ids and written once; everything else reads all rows.
 
 Edge cases: null, empty and wordless texts get the score of a text without
-passages; rows of equal text have equal scores; labels that are null are left
-out, and of several labels of one document the highest counts; without labels
-of both classes every score is the share of toxic labels (0 without labels); an
-empty table gives no rows.
+passages; rows of equal text, also repeated rows, have equal scores; labels that
+are null are left out, and of several labels of one document the highest counts;
+without labels of both classes every score is the share of toxic labels (0
+without labels); an empty table gives no rows; only the named columns of
+documents and doc_id and toxic of labels are read, others may carry any name.
 """
 
 from __future__ import annotations
@@ -35,10 +42,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import text_or_empty
+from tessella.llm._shared import text_or_empty, written
 
-#: Bound on labelled rows of a fit (met on average: rows are drawn by hash), and on the lexicon.
-MAX_LABELLED, MAX_TOKENS = 30_000, 20_000
+#: Bound on labelled rows of a fit, met on average: rows are drawn by hash.
+MAX_LABELLED = 30_000
+#: Parts of the labelled texts; each is scanned with a lexicon from the others.
+FOLDS = 8
 #: Pseudo-count of a token in each class, and how many standard deviations a weight must lie above zero.
 PRIOR, LEAST_Z, LEAST_WEIGHT = 0.5, 2.8, 1.5
 #: Weight of words outside the lexicon, and lengths of prefixes that are tokens too.
@@ -56,7 +65,9 @@ def tokens_of(word: str) -> list[str]:
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
+    #: lambda and ln K of the extreme-value law of clean texts.
     scale: float = 1.0
+    log_k: float = 0.0
     #: Of the logistic curve over (1, log(1 + best), passages).
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     base: float = 0.0
@@ -64,17 +75,19 @@ class Model:
     def words(self) -> "_Words":
         return _Words(self.weights)
 
-    def features(self, known: "_Words", text: str) -> tuple[float, float]:
-        """Calibrated score of the best passage, and the log of the number of significant ones (0 for one or none)."""
-        words = text.lower().split()
-        found = segments(known.hits(words))
-        log_n = math.log(len(words) + 1)
-        levels = [self.scale * s - log_n for _, _, s in found]
+    def level(self, score: float, n_words: int) -> float:
+        return self.scale * score - self.log_k - math.log(max(1, n_words))
+
+    def features(self, scores: list[float], n_words: int) -> tuple[float, float]:
+        """Level of the best passage, and the log of the number of significant ones (0 for one or none)."""
+        levels = [self.level(x, n_words) for x in scores]
         return max([x for x in levels if x > 0], default=0.0), math.log(max(1, sum(x > 0 for x in levels)))
 
-    def score(self, best: float, passages: float) -> float:
+    def score(self, known: "_Words", text: str) -> float:
         if not self.weights:
             return self.base
+        scores, n_words = known.scan(text)
+        best, passages = self.features(scores, n_words)
         a, b, c = self.curve
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(best) + c * passages))))
 
@@ -97,6 +110,11 @@ class _Words(dict):
         where = np.flatnonzero(at)
         return list(zip(where.tolist(), at[where].tolist(), strict=True))
 
+    def scan(self, text: str) -> tuple[list[float], int]:
+        """Scores of a text's passages, and its number of words."""
+        words = text.lower().split()
+        return [s for _, _, s in segments(self.hits(words))], len(words)
+
 
 def segments(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score), in linear time.
@@ -130,43 +148,80 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(text, toxic) of distinct training texts, about ``max_rows`` labels at most."""
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int, text_col: str = "text") -> DataFrame:
+    """(text, toxic, fold) of distinct training texts, about ``max_rows`` labels at most; written once."""
     rows = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_rows / max(1, rows.count()))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # At most about max_rows pairs of numbers, whatever the data: small enough to send to every executor.
-    own = docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(F.broadcast(drawn), "doc_id")
-    return own.groupBy(F.sha2("text", 256).alias("k")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    own = docs.select(F.col("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
+    once = own.groupBy(F.sha2("text", 256).alias("k")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return written(once.select("text", (F.col("toxic") > 0).alias("toxic"), F.pmod(F.xxhash64("k"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """token, clean, toxic: in how many texts of each class it occurs; token '' counts texts."""
+    """token, fold, clean, toxic: in how many texts of each class it occurs; token '' counts texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = Counter(), Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            both: tuple[Counter, Counter] = Counter(), Counter()
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 own = both[1 if toxic else 0]
-                own.update({t for w in set(WORD.findall(text.lower())) for t in tokens_of(w)})
-                own[""] += 1
-            names = list(both[0].keys() | both[1].keys())
-            yield pa.RecordBatch.from_pydict({"token": names, "clean": [both[0][n] for n in names], "toxic": [both[1][n] for n in names]})
+                own.update((t, fold) for t in {t for w in set(WORD.findall(text.lower())) for t in tokens_of(w)} | {""})
+            keys = list(both[0].keys() | both[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([b[k] for k in keys], pa.int64()) for b in both)], names=["token", "fold", "clean", "toxic"])
+
+    return rows.mapInArrow(count, "token string, fold int, clean long, toxic long").groupBy("token", "fold").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def lexicons(rows: DataFrame) -> tuple[list[dict[str, float]], int, int]:
+    """A lexicon from the texts outside each fold and, last, one from all; numbers of clean and toxic texts."""
+    counts = token_counts(rows)
+    totals = {r.fold: (r.clean, r.toxic) for r in counts.where("token = ''").collect()}
+    clean, toxic = (sum(t[k] for t in totals.values()) for k in (0, 1))
+    if not clean or not toxic:
+        return [], clean, toxic
+    sums = {k: [F.sum(F.when(F.col("fold") == fold, F.col(k)).otherwise(0)) for fold in range(FOLDS)] for k in ("clean", "toxic")}
+    by_fold = counts.where("token <> ''").groupBy("token").agg(*(x.alias(f"{k}{fold}") for k, own in sums.items() for fold, x in enumerate(own))).where("+".join(f"toxic{f}" for f in range(FOLDS)) + " > 0")
+
+    def column(fold: int) -> Column:
+        """Weight by the texts outside ``fold``; null where it is no word of that lexicon."""
+        others = [f for f in range(FOLDS) if f != fold]
+        of = {k: sum((F.col(f"{k}{f}") for f in others), F.lit(0)) + PRIOR for k in ("clean", "toxic")}
+        n = {k: sum(totals.get(f, (0, 0))[at] for f in others) + 2 * PRIOR for at, k in enumerate(("clean", "toxic"))}
+        weight = F.log(of["toxic"] / (n["toxic"] - of["toxic"] + 0.5)) - F.log(of["clean"] / (n["clean"] - of["clean"] + 0.5))
+        z = weight / F.sqrt(1 / of["clean"] + 1 / of["toxic"])
+        return F.when((z >= LEAST_Z) & (weight >= LEAST_WEIGHT), weight).alias(f"w{fold}")
+
+    weights = by_fold.select("token", *(column(f) for f in range(FOLDS + 1))).where(" or ".join(f"w{f} is not null" for f in range(FOLDS + 1)))
+    # Of the tokens of at most about MAX_LABELLED texts, those that speak clearly: bounded with the texts.
+    found = weights.collect()
+    return [{r.token: r[f"w{f}"] for r in found if r[f"w{f}"] is not None} for f in range(FOLDS + 1)], clean, toxic
+
+
+def extreme_value_law(best: np.ndarray, n_words: np.ndarray, floor: float = LEAST_WEIGHT) -> tuple[float, float]:
+    """lambda and ln K of P(best <= s) = exp(-K * n * exp(-lambda * s)) by maximum likelihood.
 
-    return rows.select("text", "toxic").mapInArrow(count, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    Best segments below ``floor``, the least weight of a word of the lexicon, count as not above it.
+    """
+    seen = best >= floor
+    s = np.where(seen, best, floor)
+
+    def k_of(scale: float) -> float:
+        return (seen.sum() + 0.5) / float((n_words * np.exp(-scale * (s - floor))).sum() + 1.0)  # times exp(scale * floor)
 
+    def likelihood(scale: float) -> float:
+        k = k_of(scale)
+        return float((math.log(k * scale) + np.log(n_words[seen]) - scale * (s[seen] - floor)).sum() - k * (n_words * np.exp(-scale * (s - floor))).sum())
 
-def _root(weights: np.ndarray, shares: np.ndarray) -> float:
-    """The positive lambda at which clean words' weights have a mean exponential of 1."""
-    rest = max(0.0, 1 - shares.sum())
-    low, high = 1e-3, 10.0
+    low, high, golden = 0.02, 8.0, (math.sqrt(5) - 1) / 2
     for _ in range(60):
-        mid = (low + high) / 2
-        if float((shares * np.exp(mid * weights)).sum() + rest * math.exp(mid * DRIFT)) > 1:
-            high = mid
+        a, b = high - golden * (high - low), low + golden * (high - low)
+        if likelihood(a) > likelihood(b):
+            high = b
         else:
-            low = mid
-    return low
+            low = a
+    return low, math.log(k_of(low)) + low * floor
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -181,36 +236,38 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_LABELLED, max_tokens: int = MAX_TOKENS) -> Model:
+def scans(rows: DataFrame, by_fold: list[dict[str, float]]) -> pd.DataFrame:
+    """toxic, n_words and scores of passages of every drawn text, by its fold's lexicon."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [_Words(w) for w in by_fold]
+        for batch in batches:
+            out = []
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                words = text.lower().split()
+                out.append((toxic, len(words), [s for _, _, s in segments(known[fold].hits(words))]))
+            kinds = (pa.bool_(), pa.int64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["toxic", "n_words", "scores"])
+
+    return rows.mapInArrow(scan, "toxic boolean, n_words long, scores array<double>").toPandas()
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_LABELLED, text_col: str = "text") -> Model:
     """Learn from labelled rows outside the held-out quarter.
 
-    At most ``max_tokens`` weights and about ``max_rows`` pairs of features reach the driver.
+    What reaches the driver comes from the drawn texts alone, of which there are about ``max_rows`` at most.
     """
-    rows = labelled(docs, labels, max_rows)
-    counts = token_counts(rows)
-    totals = counts.where("token = ''").first()
-    clean, toxic = (totals.clean, totals.toxic) if totals else (0, 0)
-    if not clean or not toxic:
+    rows = labelled(docs, labels, max_rows, text_col)
+    found, clean, toxic = lexicons(rows)
+    if not found or not found[-1]:
         return Model(base=toxic / max(1, clean + toxic))
-    c, t = F.col("clean") + PRIOR, F.col("toxic") + PRIOR
-    weight = F.log(t / (toxic + 2 * PRIOR - t + 0.5)) - F.log(c / (clean + 2 * PRIOR - c + 0.5))
-    best = counts.where("token <> '' and toxic > 0").select("token", "clean", weight.alias("w"), (weight / F.sqrt(1 / c + 1 / t)).alias("z"))
-    lexicon = best.where((F.col("z") >= LEAST_Z) & (F.col("w") >= LEAST_WEIGHT)).orderBy(F.desc("z"), "token").limit(max_tokens).collect()
-    if not lexicon:
-        return Model(base=toxic / (clean + toxic))
-    model = Model({r.token: r.w for r in lexicon})
-    sizes = rows.where("toxic = 0").agg(F.sum(F.size(F.split("text", " ")))).first()[0]
-    model.scale = _root(np.array([r.w for r in lexicon]), np.array([(r.clean + PRIOR) / max(1, sizes) for r in lexicon]))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.words()
-        for batch in batches:
-            pairs = [model.features(known, x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"best": [a for a, _ in pairs], "passages": [b for _, b in pairs], "toxic": batch.column("toxic").to_pylist()})
-
-    seen = rows.select("text", F.col("toxic").cast("double").alias("toxic")).mapInArrow(features, "best double, passages double, toxic double").toPandas()
-    x = np.column_stack([np.ones(len(seen)), np.log1p(seen.best), seen.passages])
-    model.curve = _logistic(x, (seen.toxic.to_numpy() > 0).astype(float))
+    model = Model(found[-1])
+    seen = scans(rows, found[:-1])
+    tame = seen[~seen.toxic & (seen.n_words > 0)]
+    if len(tame):
+        model.scale, model.log_k = extreme_value_law(np.array([max(x, default=0.0) for x in tame.scores]), tame.n_words.to_numpy(float))
+    x = np.array([[1.0, math.log1p(best), more] for best, more in (model.features(list(s), int(n)) for s, n in zip(seen.scores, seen.n_words, strict=True))])
+    model.curve = _logistic(x, seen.toxic.to_numpy(float))
     return model
 
 
@@ -221,13 +278,13 @@ def score_of(model: Model, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = model.words()
         for texts in batches:
-            yield pd.Series([model.score(*model.features(known, x)) for x in texts], dtype="float64")
+            yield pd.Series([model.score(known, x) for x in texts], dtype="float64")
 
     return score(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def passages_of(model: Model, text: Column) -> Column:
-    """Significant passages of a text: array of (first word, last word, score, chance)."""
+    """Significant passages of a text: array of (first word, last word, score, chance of as good a one in as long a clean text)."""
 
     @F.pandas_udf("array<struct<first:int,last:int,score:double,chance:double>>")
     def passages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -236,8 +293,8 @@ def passages_of(model: Model, text: Column) -> Column:
             out = []
             for x in texts:
                 words = x.lower().split()
-                log_n = math.log(len(words) + 1)
-                out.append([(a, b, s, -math.expm1(-math.exp(log_n - model.scale * s))) for a, b, s in segments(known.hits(words)) if model.scale * s > log_n])
+                found = ((a, b, s, model.level(s, len(words))) for a, b, s in segments(known.hits(words)))
+                out.append([(a, b, s, -math.expm1(-math.exp(-level))) for a, b, s, level in found if level > 0])
             yield pd.Series(out)
 
     return passages(F.coalesce(text.cast("string"), F.lit("")))

@@ -364,8 +364,32 @@ def test_toxicity(spark, none):
     found = docs.where("doc_id = 6").select(F.explode(toxicity.passages_of(model, F.col("text"))).alias("p")).first().p
     assert found.first <= 2 and found.chance < 0.5
     assert toxicity.reject_toxic(docs, model).where("doc_id % 6 = 0 and doc_id < 900").count() == 0
-    assert toxicity.fit(none.select("doc_id", "text"), table).score(0, 0) == 0
-    assert toxicity.fit(docs, table.where("toxic = 0")).score(5, 5) == 0
+    assert toxicity.fit(none, table).score(None, "") == 0
+    assert toxicity.fit(docs, table.where("toxic = 0")).score(None, "vile rotten") == 0
+    assert toxicity.reject_toxic(none, model).count() == 0 and toxicity.reject_toxic(none, model).columns == none.columns
+    # Other columns of the same names, several labels a document and repeated rows change nothing.
+    wide = docs.withColumn("toxic", F.lit("x")).withColumn("k", F.lit(1)).withColumn("fold", F.lit(2)).withColumn("token", F.lit(""))
+    more = table.unionByName(table.where("toxic = 1").withColumn("toxic", F.lit(0))).withColumn("text", F.lit("other"))
+    again = toxicity.fit(wide.union(wide), more)
+    assert again.weights == model.weights and again.curve == pytest.approx(model.curve)
+    long = spark.createDataFrame([(1, sentence(9) * 50_000), (2, sentence(9) * 50_000 + " vileax rotten vilebx rotten")], "doc_id long, text string")
+    kept = [r.s for r in long.orderBy("doc_id").select(toxicity.score_of(model, F.col("text")).alias("s")).collect()]
+    assert kept[0] < kept[1]
+
+
+def test_extreme_value_law_of_clean_texts():
+    """The law fits the best segments of texts it has not seen: few more stand out than it says."""
+    rng = np.random.default_rng(6)
+
+    def best(n):
+        weights = np.where(rng.random(n) < 0.01, rng.choice([1.6, 2.4, 3.2], n), 0)
+        return max((s for _, _, s in toxicity.segments([(k, w) for k, w in enumerate(weights.tolist()) if w])), default=0.0)
+
+    n = rng.integers(20, 3_000, 3_000)
+    s = np.array([best(k) for k in n])
+    scale, log_k = toxicity.extreme_value_law(s[:2_000], n[:2_000].astype(float))
+    chance = -np.expm1(-np.exp(log_k + np.log(n[2_000:]) - scale * s[2_000:]))
+    assert all(a / 3 < (chance < a).mean() < 1.6 * a for a in (0.2, 0.1, 0.05))
 
 
 def plain_ima(block):
