@@ -1,15 +1,18 @@
 """Exact top-k search by inner product (operator 9).
 
-Vectors become integers, are sorted by descending length and packed into
-blocks.  A rotation from the vectors' second moments (the right singular
+Vectors become integers, are sorted by descending length, packed into blocks
+and written once, in runs, to the shared folder.  A rotation from the vectors' second moments (the right singular
 vectors of all rows, from a 64 x 64 table that Spark sums) gathers their energy
-in the leading coordinates.  A block of queries walks a run of blocks from the
-longest vectors down: a block is passed over once length times length cannot
-reach a query's k-th score (later blocks of the run are shorter still), and a
-vector once the partial sum over the leading coordinates plus the product of
+in the leading coordinates.  A group of query blocks walks a run of vector blocks
+from the longest down, read from the run's files: a block is passed over for a
+query once length times length cannot reach its k-th score (later blocks of the
+run are shorter still), the run ends when that holds for all, and a vector is
+passed over once the partial sum over the leading coordinates plus the product of
 the residual lengths (Cauchy-Schwarz) cannot.  What is left is scored exactly.
 
-Runs are independent tasks; each returns at most k rows a query.
+Groups and runs are independent tasks; each returns at most k rows a query.
+Only queries are shuffled to them, so the shuffle grows with the vectors, and
+what is read with how far the groups must walk.
 
 Edge cases: vectors that are null, empty, of another length than most, or hold
 null or non-finite components take no part; ties go to the smaller id; rows
@@ -19,14 +22,19 @@ fewer rows; an empty table gives none; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.llm._shared import fresh_path
+
 SCALE, K, EVERY = 256, 5, 50
 #: Vectors and queries of a block.
 BLOCK, QUERIES = 8_192, 512
@@ -101,6 +109,20 @@ def blocks(rows: DataFrame, width: int, size: int, kind: int, by_length: bool) -
     return rows.select("g", "i", "v").mapInArrow(packed, BLOCKS)
 
 
+def run_of_blocks(folder: str, width: int) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """(greatest length, ids, vectors) of a run's blocks, longest first, one in memory at a time."""
+    fs, local = pafs.FileSystem.from_uri(folder)
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(local, allow_not_found=True)) if f.path.endswith(".parquet"))
+
+    def of(path: str) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1, columns=["top", "ids", "rows"]):
+                for top, ids, x in zip(*(batch.column(c).to_pylist() for c in ("top", "ids", "rows")), strict=True):
+                    yield top, np.frombuffer(ids, dtype="<i8"), np.frombuffer(x, dtype="<i8").reshape(-1, width)
+
+    return heapq.merge(*map(of, files), key=lambda b: -b[0])
+
+
 class Search:
     """A block of queries on its way through a run of vector blocks."""
 
@@ -112,6 +134,10 @@ class Search:
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id), ascending
         self.least = np.full(len(ids), -np.inf)  # the k-th score so far
 
+    def open_at(self, top: float) -> bool:
+        """Whether vectors no longer than ``top`` can still matter to any query."""
+        return bool((top * self.length + 1e-9 * (1 + top * self.length) >= self.least).any())
+
     def see(self, ids: np.ndarray, v: np.ndarray, top: float) -> None:
         # What rounding can add to a bound.
         slack = 1e-9 * (1 + top * self.length)
@@ -163,30 +189,37 @@ def top_k(table: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE,
     # Enough runs to keep all cores busy, few enough for a run to prune well.
     groups = max(1, -(-total // every // queries))
     runs = max(1, min(-(-total // block), -(-3 * spark.sparkContext.defaultParallelism // groups)))
-    stored = blocks(rows.withColumn("g", F.lit(0).cast("long")), width, block, 1, True)
+    path = fresh_path(spark, "vectors")
+    stored = blocks(rows.withColumn("g", F.lit(0).cast("long")), width, block, 1, True).withColumn("r", F.pmod(F.xxhash64("place"), F.lit(runs)).cast("int"))
+    # Every run gets blocks of all lengths, longest first; a row group holds a few blocks.
+    stored.repartition(runs, "r").sortWithinPartitions("r", F.desc("top"), "place").write.partitionBy("r").option("parquet.block.size", str(16 << 20)).parquet(path)
     asked = rows.where(F.pmod("i", F.lit(every)) == 0).withColumn("g", F.pmod(F.xxhash64("i"), F.lit(groups)))
     asked = blocks(asked.repartition(groups, "g").sortWithinPartitions("g", "i"), width, queries, 0, False)
-    # A group of queries meets every run of blocks: the given set is asked of all rows, a block at a time.
-    left = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("r"))
-    # Every run gets blocks of all lengths, longest first.
-    right = stored.drop("g").withColumn("r", F.pmod(F.xxhash64("place"), F.lit(runs)).cast("int")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    meeting = left.unionByName(right).repartition(runs * groups, "g", "r").sortWithinPartitions("g", "r", "kind", F.desc("top"), "place")
+    # A group of queries meets every run: the given set is asked of all rows, a block at a time.
+    asked = asked.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    meeting = asked.repartition(runs * groups, "g", "r").sortWithinPartitions("g", "r", "place")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def through(run: int, search: list[Search]) -> Iterator[pa.RecordBatch]:
+            for top, ids, x in run_of_blocks(f"{path}/r={run}", width):
+                if not any(s.open_at(top) for s in search):
+                    break
+                for s in search:
+                    s.see(ids, x, top)
+            for s in search:
+                yield s.result()
+
         key, search = None, []
         for batch in batches:
             for n in range(batch.num_rows):
-                r = {c: batch.column(c)[n].as_py() for c in ("g", "r", "top", "kind", "ids", "rows")}
-                ids, x = np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["rows"], dtype="<i8").reshape(-1, width)
+                r = {c: batch.column(c)[n].as_py() for c in ("g", "r", "ids", "rows")}
                 if (r["g"], r["r"]) != key:
-                    yield from (s.result() for s in search)
+                    if search:
+                        yield from through(key[1], search)
                     key, search = (r["g"], r["r"]), []
-                if r["kind"] == 0:
-                    search.append(Search(ids, x, rotation, lead, k))
-                else:
-                    for s in search:
-                        s.see(ids, x, r["top"])
-        yield from (s.result() for s in search)
+                search.append(Search(np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["rows"], dtype="<i8").reshape(-1, width), rotation, lead, k))
+        if search:
+            yield from through(key[1], search)
 
     found = meeting.mapInArrow(walk, FOUND)
     place = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

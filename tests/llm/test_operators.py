@@ -475,6 +475,14 @@ def test_top_k(spark):
             best = sorted((-int(s[k]), k) for k in range(400) if k != q)[:5]
             assert found == [(n + 1, k, -x) for n, (x, k) in enumerate(best)]
     assert topk.top_k(table.where("vec_id in (50, 51)")).count() == 1
+    # Rows that repeat an id count as the query's own row for it, and as candidates each; other columns may have any name.
+    twice = table.where("vec_id < 60").withColumn("g", F.lit("x")).withColumn("top", F.lit(1)).withColumn("r", F.lit(2))
+    got = collections.defaultdict(list)
+    for r in topk.top_k(twice.union(twice.where("vec_id in (8, 9)"))).collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    for q in (0, 50):
+        s = whole[:60] @ whole[q]
+        assert sorted(got[q]) == sorted((-int(s[k]), k) for k in [*range(60), 8, 9] if k != q)[:5]
     assert topk.top_k(table.where("vec_id > 999 and vec_id <> 1003")).count() == 0
 
 
