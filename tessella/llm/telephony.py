@@ -4,8 +4,10 @@
 A-law samples or as IMA ADPCM blocks, without loss.  ``read_media`` parses such
 files again; ``to_pcm`` expands mu-law and A-law by lookup tables, decodes
 ADPCM with one numpy step for the same nibble of every block in a batch, and
-resamples from 8 to 16 kHz.  ``stored_pcm`` returns the PCM itself as a column;
-``media_report`` returns digests of what was read back.
+resamples from 8 to 16 kHz.  ``stored_pcm`` reads such files, digests them and
+returns the resampled PCM as a column; ``media_report`` adds digests of that.
+``op7`` writes the files and then the PCM as tables in the shared folder, and
+derives each from what it reads back.
 
 Edge cases: a null or empty text is one block of padding; equal texts give
 equal rows, except for their ids; bytes that are no WAV file of a known
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import text_or_empty, to_batch
+from tessella.llm._shared import text_or_empty, to_batch, written
 
 #: Bytes of an ADPCM block, and of which a payload is a multiple.
 BLOCK = 576
@@ -34,7 +36,7 @@ RATE, RESAMPLED = 8_000, 16_000
 #: WAVE format tags (fixed values of the file format).
 TAGS = {"alaw": 6, "mulaw": 7, "ima": 17}
 #: Bytes handled together: enough blocks for numpy, little memory.
-TOGETHER = 4_096 * BLOCK
+TOGETHER = 2_048 * BLOCK
 
 
 def _mulaw() -> np.ndarray:
@@ -158,57 +160,44 @@ def store_media(docs: DataFrame, kind: str = "mulaw", *, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def stored_pcm(media: DataFrame) -> DataFrame:
-    """doc_id, rate, pcm: the resampled PCM of each file, 16-bit little-endian."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, m in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-                found = read_wav(m.as_py())
-                pcm = found and to_pcm(*found).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([RESAMPLED if found else None], pa.int32()), pa.array([pcm], pa.binary())], names=["doc_id", "rate", "pcm"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, rate int, pcm binary")
-
-
-REPORT = T.StructType([
+DIGESTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()),
-    T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+    T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()),
 ])
+STORED = T.StructType([*DIGESTS.fields, T.StructField("others", T.StringType()), T.StructField("rate", T.IntegerType()), T.StructField("pcm", T.BinaryType())])
+REPORT = T.StructType([*DIGESTS.fields, T.StructField("feature", T.StringType())])
 
 
-def _features(payloads: list[memoryview]) -> list[str]:
-    """Of each payload, as mu-law, A-law and ADPCM: count and checksum of the resampled PCM, mean loudness."""
-    raw = [np.frombuffer(p, dtype=np.uint8) for p in payloads]
-    blocks = np.concatenate([x[: len(x) // BLOCK * BLOCK] for x in raw]).reshape(-1, BLOCK)
-    adpcm, at, out = ima_decode(blocks), 0, []
-    for x in raw:
-        n = len(x) // BLOCK
-        parts = []
-        for name, pcm in (("u", MULAW[x]), ("a", ALAW[x]), ("i", adpcm[at : at + n].ravel())):
-            twice = resample(pcm)
-            level = int(np.abs(pcm.astype(np.int32)).sum(dtype=np.int64)) // max(1, len(pcm))
-            parts.append(f"{name}:{len(twice)}:{zlib.crc32(twice.tobytes()):08x}:{level}")
-        at += n
-        out.append(";".join(parts))
-    return out
+def _feature(name: str, twice: np.ndarray) -> str:
+    """Of resampled PCM: number of samples, checksum, and mean loudness of the samples as decoded."""
+    level = int(np.abs(twice[::2].astype(np.int32)).sum(dtype=np.int64)) // max(1, len(twice) // 2)
+    return f"{name}:{len(twice)}:{zlib.crc32(twice.tobytes()):08x}:{level}"
 
 
-def media_report(media: DataFrame) -> DataFrame:
-    """Digests and features of stored files, from their bytes as read back."""
+def stored_pcm(media: DataFrame) -> DataFrame:
+    """Digests of each file as read, its resampled PCM (16-bit little-endian) with its rate, and ``others``: features of its data as A-law and ADPCM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(REPORT)
+        arrow = to_arrow_schema(STORED)
 
         def rows(group: list[tuple]) -> pa.RecordBatch:
             found = [read_wav(m) for _, _, m in group]
-            feature = iter(_features([f[1] for f in found if f]) if any(found) else [])
+            raw = [np.frombuffer(f[1], dtype=np.uint8) for f in found if f]
+            blocks = [x[: len(x) // BLOCK * BLOCK] for x in raw]
+            adpcm, at, decoded = ima_decode(np.concatenate(blocks).reshape(-1, BLOCK)) if blocks else None, 0, iter(raw)
             out: dict[str, list] = {name: [] for name in arrow.names}
             for (i, n, m), f in zip(group, found, strict=True):
-                p = f and f[1]
-                values = (i, n, f and len(p), f and hashlib.sha256(p).hexdigest(), f and zlib.crc32(p[-32:]), m and len(m), m and hashlib.sha256(m).hexdigest(), next(feature) if f else None)
+                p = others = pcm = None
+                if f:
+                    kind, p = f
+                    x = next(decoded)
+                    own = adpcm[at : at + len(x) // BLOCK].ravel()
+                    at += len(x) // BLOCK
+                    others = _feature("a", resample(ALAW[x])) + ";" + _feature("i", resample(own))
+                    pcm = (resample(own) if kind == "ima" else to_pcm(kind, p)).tobytes()
+                values = (i, n, f and len(p), f and hashlib.sha256(p).hexdigest(), f and zlib.crc32(p[-32:]), m and len(m), m and hashlib.sha256(m).hexdigest(), others, RESAMPLED if f else None, pcm)
                 for name, value in zip(arrow.names, values, strict=True):
                     out[name].append(value)
             return to_batch(arrow, out)
@@ -224,8 +213,25 @@ def media_report(media: DataFrame) -> DataFrame:
         if group:
             yield rows(group)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, REPORT)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, STORED)
+
+
+def media_report(stored: DataFrame) -> DataFrame:
+    """Digests of stored files and features of their stored PCM, from the samples as read back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feature = [pcm.is_valid and _feature("pcm", np.frombuffer(pcm.as_buffer(), dtype="<i2")) + ";" + other or None for pcm, other in zip(batch.column("pcm"), batch.column("others").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DIGESTS.names), pa.array(feature, pa.string())], names=REPORT.names)
+
+    return stored.select(*DIGESTS.names, "others", "pcm").mapInArrow(run, REPORT)
+
+
+def in_shared_folder(table: DataFrame, name: str) -> DataFrame:
+    """Large binary values, compressed well and in small row groups."""
+    return written(table, name, **{"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"})
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_report(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), "mulaw"))
+    media = in_shared_folder(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), "mulaw"), "media")
+    return media_report(in_shared_folder(stored_pcm(media), "pcm"))

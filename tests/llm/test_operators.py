@@ -411,18 +411,29 @@ def test_telephony(spark, docs, none):
     assert telephony.ima_decode(blocks).tolist() == [plain_ima(b.tobytes()) for b in blocks]
     assert telephony.MULAW[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0] and telephony.ALAW[[0xD5, 0x55, 0x2A, 0xAA]].tolist() == [8, -8, -32256, 32256]
     for kind in ("mulaw", "alaw", "ima"):
-        got = by_id(telephony.media_report(telephony.store_media(docs, kind)))
+        media = telephony.in_shared_folder(telephony.store_media(docs, kind), "media")
+        stored = telephony.in_shared_folder(telephony.stored_pcm(media), "pcm")
+        files, got = {r.doc_id: bytes(r.media) for r in media.collect()}, by_id(telephony.media_report(stored))
+        pcm = {r.doc_id: bytes(r.pcm) for r in stored.collect()}
         for k, t in enumerate(TEXTS):
             raw = plain(t).encode()
             padded = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
             r = got[k * 10]
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
-            assert r.media_bytes > len(padded) and (r.feature == got[60].feature) == (t == BASE)
-    pcm = telephony.stored_pcm(telephony.store_media(docs)).where("doc_id = 0").first()
-    assert pcm.rate == 16_000 and len(pcm.pcm) == 2 * 2 * 576
+            assert r.media_bytes == len(files[k * 10]) > len(padded) and r.media_sha256 == hashlib.sha256(files[k * 10]).hexdigest()
+            assert (r.feature == got[60].feature) == (t == BASE)
+            if kind == "ima":
+                plain_pcm = [x for at in range(0, len(padded), 576) for x in plain_ima(padded[at : at + 576])]
+            else:
+                plain_pcm = [int((telephony.MULAW if kind == "mulaw" else telephony.ALAW)[x]) for x in padded]
+            doubled = [x for a, b in zip(plain_pcm, [*plain_pcm[1:], plain_pcm[-1]], strict=True) for x in (a, a + b >> 1)]
+            assert np.frombuffer(pcm[k * 10], "<i2").tolist() == doubled
+            assert r.feature.split(";")[0] == f"pcm:{len(doubled)}:{zlib.crc32(pcm[k * 10]):08x}:{sum(map(abs, plain_pcm)) // len(plain_pcm)}"
+    again = telephony.media_report(telephony.stored_pcm(telephony.store_media(docs.union(docs)))).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("feature").alias("d"))
+    assert {(r.n, r.d) for r in again.collect()} == {(2, 1)}
     odd = spark.createDataFrame([(1, 0, b"nothing"), (2, 0, None)], "doc_id long, n_bytes long, media binary")
-    assert [r.feature for r in telephony.media_report(odd).collect()] == [None, None]
-    assert telephony.media_report(telephony.store_media(none)).count() == 0
+    assert [r.feature for r in telephony.media_report(telephony.stored_pcm(odd)).collect()] == [None, None]
+    assert telephony.media_report(telephony.stored_pcm(telephony.store_media(none))).count() == 0
 
 
 def test_token_files(docs, none):
