@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.rules import AVOID, EXPLICIT, LATIN_TARGETS, RTL, SCRIPTS, per_language, rule
+from tessella.functions.rules import AVOID, EXPLICIT, LATIN_TARGETS, NAMES, RTL, SCRIPTS, per_language, rule
 
 SPACE = r"[ \t\n\r\f\x0B]"
 
@@ -68,26 +68,35 @@ ARTIFACTS = [
 ]
 
 
-def artifact_steps(text: Column) -> list[tuple[str, str, Column]]:
-    """kind, pattern and the text as that kind's pattern finds it: earlier kinds are gone already."""
-    out, now = [], text
-    for kind, pattern, instead in ARTIFACTS:
-        out.append((kind, pattern, now))
-        now = F.regexp_replace(now, pattern, instead)
-    return [*out, ("", "", F.regexp_replace(now, r"\n{3,}", "\n\n"))]
+def filter_artifacts(text: Column) -> Column:
+    """The text without artifacts, kind by kind: a kind finds what earlier ones have left."""
+    out = reduce(lambda now, a: F.regexp_replace(now, a[1], a[2]), ARTIFACTS, text)
+    return F.regexp_replace(out, r"\n{3,}", "\n\n")
 
 
-def filter_artifacts(text: Column) -> Column:
-    return artifact_steps(text)[-1][2]
+def _log_step(kind: str, pattern: str, instead: str):
+    def sample(m: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.substring(trim_all(m), 1, 40).alias("sample"))
+
+    def step(s: Column) -> Column:
+        found = F.concat(s["log"], F.transform(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), sample))
+        return F.when(s["text"].rlike(pattern), F.struct(F.regexp_replace(s["text"], pattern, instead).alias("text"), found.alias("log"))).otherwise(s)
+
+    return step
 
 
 def artifact_log(text: Column) -> Column:
     """Array of (kind, sample) of what ``filter_artifacts`` takes out."""
-    def sample(kind: str):
-        return lambda m: F.struct(F.lit(kind).alias("kind"), F.substring(F.regexp_replace(m, rf"^{SPACE}+|{SPACE}+$", ""), 1, 40).alias("sample"))
+    state = F.struct(text.alias("text"), F.array().cast("array<struct<kind:string,sample:string>>").alias("log"))
+    for artifact in ARTIFACTS:
+        # A struct is kept as an array of one between steps: each step names it once.
+        state = F.transform(F.array(state), _log_step(*artifact))[0]
+    return F.filter(state["log"], lambda m: m["sample"] != "")
+
 
-    found = [F.transform(F.regexp_extract_all(now, F.lit(pattern), F.lit(0)), sample(kind)) for kind, pattern, now in artifact_steps(text)[:-1]]
-    return F.filter(F.concat(*found), lambda m: m["sample"] != "")
+def has_artifacts(text: Column) -> Column:
+    """Whether the log would hold anything: the first kind to match sees the text as it came, so that test is enough."""
+    return reduce(lambda a, b: a | b, (text.rlike(pattern) for _, pattern, _ in ARTIFACTS))
 
 
 def normalize_punctuation(text: Column, lang: Column) -> Column:
@@ -306,7 +315,8 @@ def restore_terms(text: Column, locked: Column) -> Column:
     return F.array_join(F.concat(F.array(parts[0]), F.flatten(F.zip_with(tokens, F.slice(parts, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), lambda t, p: F.array(F.coalesce(F.get(locked, number(t)), t), F.coalesce(p, F.lit("")))))), "")
 
 
-_LABELS = "Arabic|Bangla|Chinese|French|German|Hindi|Indonesian|Italian|Japanese|Kashmiri|Korean|Latin|Nepali|Portuguese|Romanian|Russian|Spanish|Swahili|Turkish|Urdu|Target|Translation"
+#: Heads of a target side: a language's name, or a word for one.
+_LABELS = "|".join([*(name for lang, name in NAMES.items() if lang != "en"), "Target", "Translation"])
 
 
 def dictionary_to_prose(text: Column) -> Column:

@@ -6,6 +6,9 @@ split into (piece, words, separator) first, so the fold only compares numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,6 +111,28 @@ def chunk_pages(words: Column, most: int = 2000) -> Column:
     return F.aggregate(words, start, step, lambda acc: F.when(acc["first"] < acc["at"], F.array_append(acc["done"], F.struct(acc["first"].alias("first"), (acc["at"] - 1).alias("last")))).otherwise(acc["done"]))
 
 
+def ranges_of_pages(pages: DataFrame, most: int = 2000) -> DataFrame:
+    """(source, range_idx, first, last): ``chunk_pages`` over whole tables (source, page, words), read as a sorted stream, so a source may have any number of pages."""
+    ordered = pages.select("source", "page", "words").repartition("source").sortWithinPartitions("source", "page")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, n, first, last, words = None, 0, None, None, 0
+        for rows in batches:
+            out = []
+            for s, page, w in zip(rows.source.tolist(), rows.page.tolist(), rows.words.tolist(), strict=True):
+                if first is not None and (s != source or words + w > most):
+                    out.append((source, n, first, last))
+                    n, first, words = n + 1, None, 0
+                if s != source:
+                    source, n = s, 0
+                first, last, words = page if first is None else first, page, words + w
+            yield pd.DataFrame(out, columns=["source", "range_idx", "first", "last"])
+        if first is not None:
+            yield pd.DataFrame([(source, n, first, last)], columns=["source", "range_idx", "first", "last"])
+
+    return ordered.mapInPandas(run, "source string, range_idx int, first long, last long")
+
+
 def plan_batches(pages: Column, size: int = 50) -> Column:
     """Ranges (first, last) of ``size`` pages, from 1."""
     return F.when(pages < 1, F.array().cast("array<struct<first:int,last:int>>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(pages, F.lit(1)).cast("int"), F.lit(size)), lambda a: F.struct(a.alias("first"), F.least(a + size - 1, pages).cast("int").alias("last"))))

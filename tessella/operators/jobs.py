@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from heapq import heappop, heappush
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -130,6 +131,8 @@ class Queue:
     workers: int = WORKERS
     stale: int = 0
     refused: int = 0
+    #: (time, key) at which a lease may end or a retry may be due; entries that a job has outlived are skipped.
+    deadlines: list = field(default_factory=list)
 
     def step(self, kind: str, ts: int, key: tuple, token: str | None, retry_after: int | None) -> None:
         self.expire(ts)
@@ -139,6 +142,7 @@ class Queue:
         elif kind == "claim" and job and job.status == "pending":
             if self.admit(ts):
                 job.status, job.token, job.beat = "claimed", token, ts
+                heappush(self.deadlines, (ts + TTL_MS, key))
             else:
                 self.refused += 1
         elif kind in ("heartbeat", "ok", "fail", "http429") and job and (job.status != "claimed" or job.token != token):
@@ -157,6 +161,8 @@ class Queue:
                     self.workers = max(1, self.workers // 2)
             delay = max(min(120_000, 2_000 * 2 ** min(job.attempts - 1, 16)), int(retry_after or 0))
             job.status, job.due = ("failed", 0) if job.attempts >= MOST_ATTEMPTS else ("retry_wait", ts + delay)
+            if job.due:
+                heappush(self.deadlines, (job.due, key))
         elif kind == "release" and self.ring:
             self.ring.pop()
             self.today = max(0, self.today - 1)
@@ -167,9 +173,14 @@ class Queue:
 
     def expire(self, ts: int) -> None:
         """Leases without a heartbeat for three minutes end; retries that are due are pending again."""
-        for j in self.jobs.values():
+        while self.deadlines and self.deadlines[0][0] <= ts:
+            _, key = heappop(self.deadlines)
+            j = self.jobs[key]
             if j.status == "claimed" and ts - j.beat >= TTL_MS:
                 j.status, j.token, j.reclaimed = "pending", None, j.reclaimed + 1
+            elif j.status == "claimed":
+                # A heartbeat has put the end off.
+                heappush(self.deadlines, (j.beat + TTL_MS, key))
             elif j.status == "retry_wait" and j.due <= ts:
                 j.status = "pending"
 

@@ -66,12 +66,11 @@ BLOCK = "doc_id long, page int, block_idx int, text string, x double, y double,
 
 
 def cluster_blocks(lines: DataFrame) -> DataFrame:
-    """Paragraph blocks of each page, top first; a break needs the block's first line, so a page is folded on its own."""
-    ready = lines.join(modal_gaps(lines), ["doc_id", "page"], "left")
+    """Paragraph blocks of each page, top first; a break needs the block's first line, so a page's lines are folded in order, from a sorted stream."""
+    ready = lines.join(modal_gaps(lines), ["doc_id", "page"], "left").repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line_idx")
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_idx")
-        gap = rows.line_gap.iloc[0]
+    def fold(rows: list) -> list[tuple]:
+        gap = rows[0].line_gap
         blocks, held = [], []
 
         def flush() -> None:
@@ -81,7 +80,7 @@ def cluster_blocks(lines: DataFrame) -> DataFrame:
             centered = len(held) > 1 and all(abs(r.x + r.width / 2 - center) <= 3 for r in held) and left - (center - (right - left) / 2) > 4
             blocks.append(("\n".join(r.text for r in held), left, top, max(right - left, 1.0), max(top - bottom, size), size, len(held), "center" if centered else "left"))
 
-        for r in rows.itertuples(index=False):
+        for r in rows:
             if held:
                 far = gap == gap and gap > 0 and held[-1].y - r.y > 1.5 * gap
                 if far or abs(r.x - held[0].x) > 2 or abs(r.font_size - held[-1].font_size) / max(held[-1].font_size, 1) > 0.15:
@@ -90,13 +89,23 @@ def cluster_blocks(lines: DataFrame) -> DataFrame:
             held.append(r)
         flush()
         blocks.sort(key=lambda b: -b[2])
-        out = pd.DataFrame(blocks, columns=["text", "x", "y", "width", "height", "font_size", "line_count", "align"])
-        out.insert(0, "block_idx", range(len(out)))
-        out.insert(0, "page", int(rows.page.iloc[0]))
-        out.insert(0, "doc_id", int(rows.doc_id.iloc[0]))
-        return out
+        return [(rows[0].doc_id, rows[0].page, k, *b) for k, b in enumerate(blocks)]
 
-    return ready.groupBy("doc_id", "page").applyInPandas(fold, BLOCK)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        names = [f.split()[0] for f in BLOCK.split(", ")]
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if held and (r.doc_id, r.page) != (held[0].doc_id, held[0].page):
+                    out += fold(held)
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(fold(held), columns=names)
+
+    return ready.mapInPandas(run, BLOCK)
 
 
 def items_to_blocks(items: DataFrame) -> DataFrame:

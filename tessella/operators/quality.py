@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.functions.text import (
-    SPACE, artifact_log, detect_explicit, latin_words, looks_like_echo, once, profanities, qa_word_count, regexp_total, round_half_up, trim_all, word_count,
+    SPACE, detect_explicit, has_artifacts, latin_words, looks_like_echo, once, profanities, qa_word_count, regexp_total, round_half_up, trim_all, word_count,
 )
 
 
@@ -35,30 +35,28 @@ def whole_word(text: Column, word: Column, ignore_case: bool = True) -> Column:
     return F.contains(F.lower(text), F.lower(word)) & F.rlike(text, F.concat(F.lit(r"(?i)\b\Q" if ignore_case else r"\b\Q"), word, F.lit(r"\E\b")))
 
 
-#: Rows of a glossary up to which it is sent to every executor.
-SMALL_GLOSSARY = 10_000
-TOKEN = r"[\p{L}\p{N}_]+"
+#: What a word boundary parts: runs of these begin and end where ``\\b`` holds.
+TOKEN = "[A-Za-z0-9_]+"
 
 
-def with_terms(texts: DataFrame, terms: DataFrame, column: str) -> DataFrame:
+def with_terms(texts: DataFrame, terms: DataFrame, column: str, key: str) -> DataFrame:
     """``texts`` joined with the terms (lang, term, form) that occur in ``column`` as whole words.
 
-    A glossary that is counted and found small is broadcast and tested by
-    language.  A larger one meets the texts' words instead: both sides are
-    dealt by language and the term's first word, so no text meets every term.
+    Both sides meet by language and the term's first word, whatever the
+    glossary's size, so no text meets every term; the optimizer broadcasts a
+    small glossary.  A term without such a word meets all texts of its language.
+    Words travel with the text's ``key`` alone; texts that met a term are joined again.
     """
-    if terms.limit(SMALL_GLOSSARY + 1).count() <= SMALL_GLOSSARY:
-        met = texts.join(F.broadcast(terms), "lang")
-    else:
-        first = F.regexp_extract(F.lower("term"), TOKEN, 0)
-        words = texts.withColumn("_word", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0)))))
-        met = words.join(terms.withColumn("_word", first), ["lang", "_word"]).drop("_word")
-    return met.where(whole_word(F.col(column), F.col("term")))
+    first = F.lower(F.regexp_extract("term", TOKEN, 0))
+    own = F.array_append(F.array_distinct(F.transform(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)), F.lower)), F.lit(""))
+    words = texts.select(key, "lang", F.explode(own).alias("_word"))
+    met = words.join(terms.withColumn("_word", first), ["lang", "_word"]).drop("_word")
+    return texts.join(met, [key, "lang"]).where(whole_word(F.col(column), F.col("term")))
 
 
 def term_hits(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """(unit_id, present, matched, status) of each pair: glossary terms (lang, source, target) in the source, and those whose form the output has."""
-    hits = with_terms(pairs, terms.select("lang", F.col("source").alias("term"), F.col("target").alias("form")), "source")
+    hits = with_terms(pairs, terms.select("lang", F.col("source").alias("term"), F.col("target").alias("form")), "source", "unit_id")
     counts = hits.groupBy("unit_id").agg(F.count(F.lit(1)).alias("present"), F.count_if(fuzzy_hit(F.col("output"), F.col("form"))).alias("matched"))
     out = pairs.select("unit_id").join(counts, "unit_id", "left").select("unit_id", F.coalesce("present", F.lit(0)).cast("long").alias("present"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
     return out.withColumn("status", ratio_status(F.col("matched"), F.col("present")))
@@ -121,19 +119,24 @@ def widest_line(output: Column, lang: Column) -> Column:
 def script_issues(output_words: Column, output: Column, lang: Column) -> Column:
     """Issues of direction and script: a missing right-to-left mark, English left over, or any other Latin word."""
     unmarked = lang.isin(rules.RTL) & ~output.rlike(r"[‏‫]")
-    stops = F.exists(output_words, lambda w: w.isin(rules.STOP_WORDS))
     foreign = rules.rule(lang, "script") != "Latin"
-    return unmarked.cast("int") + (foreign & (F.size(output_words) > 0) & (stops | ~stops)).cast("int")
+    # English function words and other Latin words weigh the same.
+    return unmarked.cast("int") + (foreign & (F.size(output_words) > 0)).cast("int")
 
 
 #: Phases that no rule can check always pass.
 GATES = [5, 7, 11, 12, 18, 20]
 
 
-def phase_checks(pairs: DataFrame, terms: DataFrame, names: DataFrame | None = None, memory: DataFrame | None = None) -> DataFrame:
-    """(unit_id, phase, status), one row for each of 23 phases.  ``pairs`` has unit_id, lang, source, output."""
+def phase_checks(pairs: DataFrame, terms: DataFrame, names: DataFrame | None = None, memory: DataFrame | None = None, core: DataFrame | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """(unit_id, phase, status), one row for each of 23 phases.  ``pairs`` has unit_id, lang, source, output.
+
+    The tables of terms, names, core terms, ranks and term memory have lang,
+    source and target; a null target is a term that the language has no form
+    for, which counts as present and never as matched.  Without a table its phase passes.
+    """
     base = pairs.select("unit_id", "lang", "source", "output", latin_words(F.col("source")).alias("sw"), latin_words(F.col("output")).alias("ow"))
-    for column, table in (("p1", terms), ("p2", names), ("p9", None), ("p15", None), ("p21", memory)):
+    for column, table in (("p1", terms), ("p2", names), ("p9", core), ("p15", ranks), ("p21", memory)):
         if table is None:
             base = base.withColumn(column, F.lit("pass"))
         else:
@@ -163,26 +166,38 @@ def language_qa(lang: Column, source: Column, output: Column, least_script: floa
     return once(F.regexp_replace(output, r"[‎‏]", ""), lambda t: _language_checks(lang, source, t, least_script, most_english))
 
 
+def _measures(lang: Column, source: Column, t: Column) -> Column:
+    """What the language checks look at, each made once."""
+    paragraphs = lambda x: F.filter(F.split(x, r"\n{2,}"), lambda p: trim_all(p) != "")
+    return F.struct(
+        F.length(t).alias("n"), (trim_all(t) == "").alias("blank"), rules.per_language(lang, lambda r: regexp_total(t, f"[{r[6]}]")).alias("script"), regexp_total(t, r"\b[A-Za-z]{3,}\b").alias("english"),
+        regexp_total(t, r"[\p{L}\p{M}]+").alias("letters"), word_count(t).alias("words"), F.length(source).alias("source_n"), word_count(source).alias("source_words"),
+        F.transform(paragraphs(t), lambda p: F.substring(trim_all(p), 1, 80)).alias("keys"), F.size(paragraphs(source)).alias("source_paragraphs"),
+        t.rlike(r"<<<\s*[A-Z]+_|SECTION_[AB]_").alias("leak"), has_artifacts(t).alias("artifacts"), F.contains(t, F.lit("�")).alias("replacement"),
+    )
+
+
+def _ratios(lang: Column, m: Column) -> Column:
+    cjk = rules.rule(lang, "cjk_native")
+    ratio = F.when(cjk, F.when(m["source_n"] > 0, m["n"] / m["source_n"]).otherwise(0.0)).otherwise(F.when(m["source_words"] > 0, m["words"] / m["source_words"]).otherwise(0.0))
+    return F.struct(m.alias("m"), (m["script"] / F.greatest(m["n"], F.lit(1))).alias("script"), ratio.alias("ratio"))
+
+
 def _language_checks(lang: Column, source: Column, t: Column, least_script: float, most_english: float) -> Column:
-    total = F.greatest(F.length(t), F.lit(1))
-    empty = trim_all(t) == ""
-    script = rules.per_language(lang, lambda r: regexp_total(t, f"[{r[6]}]") / total)
-    foreign, cjk = rules.rule(lang, "script") != "Latin", rules.rule(lang, "cjk_native")
-    english = regexp_total(t, r"\b[A-Za-z]{3,}\b")
-    words = F.greatest(regexp_total(t, r"[\p{L}\p{M}]+"), F.lit(1))
-    ratio = F.when(cjk, F.when(F.length(source) > 0, F.length(t) / F.length(source)).otherwise(0.0)).otherwise(F.when(word_count(source) > 0, word_count(t) / word_count(source)).otherwise(0.0))
+    return once(once(_measures(lang, source, t), lambda m: _ratios(lang, m)), lambda r: _verdict(lang, r["m"], r["script"], r["ratio"], least_script, most_english))
+
+
+def _verdict(lang: Column, m: Column, script: Column, ratio: Column, least_script: float, most_english: float) -> Column:
+    empty, foreign, cjk = m["blank"], rules.rule(lang, "script") != "Latin", rules.rule(lang, "cjk_native")
     odd = F.when(cjk, (ratio > 0) & ((ratio < 0.2) | (ratio > 4))).otherwise((ratio > 0) & ((ratio < 0.35) | (ratio > 3.5)))
-    paragraphs = lambda x: F.filter(F.split(x, r"\n{2,}"), lambda p: trim_all(p) != "")
-    keys = F.transform(paragraphs(t), lambda p: F.substring(trim_all(p), 1, 80))
-    doubled = F.size(keys) > F.size(F.array_distinct(keys))
     tests = [
-        ("empty", empty), ("script_ratio", foreign & ~empty & (script < least_script)), ("english", foreign & ~empty & (english / words > most_english)),
+        ("empty", empty), ("script_ratio", foreign & ~empty & (script < least_script)), ("english", foreign & ~empty & (m["english"] / F.greatest(m["letters"], F.lit(1)) > most_english)),
         ("length_ratio", ~empty & odd), ("source_echo", ~empty & ((rules.rule(lang, "direction") == "rtl") | foreign) & (ratio > 0.4) & (script < 0.3)),
-        ("delimiter_leak", t.rlike(r"<<<\s*[A-Z]+_|SECTION_[AB]_")), ("artifacts", F.size(artifact_log(t)) > 0), ("replacement", F.contains(t, F.lit("�"))),
-        ("missing_paragraphs", (F.size(paragraphs(source)) > 0) & (F.size(paragraphs(t)) < F.floor(F.size(paragraphs(source)) * 0.6))), ("duplicate_paragraphs", doubled & (F.size(paragraphs(t)) > 2)),
+        ("delimiter_leak", m["leak"]), ("artifacts", m["artifacts"]), ("replacement", m["replacement"]),
+        ("missing_paragraphs", (m["source_paragraphs"] > 0) & (F.size(m["keys"]) < F.floor(m["source_paragraphs"] * 0.6))), ("duplicate_paragraphs", (F.size(m["keys"]) > F.size(F.array_distinct(m["keys"]))) & (F.size(m["keys"]) > 2)),
     ]
     failures = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests)), lambda x: x.isNotNull())
-    return F.struct(failures.alias("failures"), F.greatest(F.lit(0), 100 - 20 * F.size(failures)).alias("score"), script.alias("script_ratio"), ratio.alias("length_ratio"))
+    return once(failures, lambda f: F.struct(f.alias("failures"), F.greatest(F.lit(0), 100 - 20 * F.size(f)).alias("score"), script.alias("script_ratio"), ratio.alias("length_ratio")))
 
 
 CHECKS = ("fullyTargetLanguage", "noMarkers", "completeSentences", "glossaryRespected")
@@ -302,10 +317,16 @@ def memory_of(hits: DataFrame) -> DataFrame:
     return hits.groupBy("lang", "term").agg(F.min_by("form", "chunk_index").alias("form"), F.min("chunk_index").alias("first_chunk"))
 
 
-def locked_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+def visible_memory(hits: DataFrame) -> DataFrame:
+    """(lang, term, chunk_index, form): what each later chunk that holds a term sees of the chunk that had it first."""
+    seen = hits.select("lang", "term", "chunk_index").distinct().join(memory_of(hits), ["lang", "term"])
+    return seen.where(F.col("chunk_index") > F.col("first_chunk")).select("lang", "term", "chunk_index", "form")
+
+
+def locked_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Terms of the glossary that occur in texts and whose form differs, once a language and lower-cased source; the last wins."""
     changed = terms.where(F.col("source") != F.col("target")).select("lang", F.col("source").alias("term"), F.col("target").alias("form"))
-    hits = with_terms(docs.select("lang", F.col(text_col).alias("_text")), changed, "_text")
+    hits = with_terms(docs.select(F.col(id_col).alias("_id"), "lang", F.col(text_col).alias("_text")), changed, "_text", "_id")
     return hits.groupBy("lang", F.lower("term").alias("key")).agg(F.max(F.struct("form", "term")).alias("t"), F.count(F.lit(1)).alias("texts")).select("lang", F.col("t.term").alias("source"), F.col("t.form").alias("target"), "texts")
 
 

@@ -35,7 +35,7 @@ def status_counts(jobs: DataFrame, by: str = "project_id") -> DataFrame:
 def status_histogram(jobs: DataFrame) -> DataFrame:
     """Every known status, also those without rows, and any other that occurs."""
     counts = jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(order_dimension(jobs.sparkSession, STATUSES, "status")).join(counts, "status", "full_outer").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return order_dimension(jobs.sparkSession, STATUSES, "status").join(counts, "status", "full_outer").select("status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def language_progress(jobs: DataFrame) -> DataFrame:
@@ -96,14 +96,15 @@ def stalled(translations: DataFrame, now: Column, after_ms: int = 600_000) -> Da
     return translations.where(~F.coalesce(F.col("status").isin("complete", "generating"), F.lit(False)) & (now - last > after_ms))
 
 
-def with_dimension(dimension: DataFrame, facts: DataFrame, on: str, defaults: dict) -> DataFrame:
-    """Dimension rows in their order with the first fact of each, or defaults."""
-    return F.broadcast(dimension).join(facts.dropDuplicates([on]), on, "left").na.fill(defaults).orderBy("ord")
+def with_dimension(dimension: DataFrame, facts: DataFrame, on: str, defaults: dict, order: Sequence[Column] = ()) -> DataFrame:
+    """Dimension rows in their order with the first fact of each by ``order`` (then by all fields), or defaults."""
+    first = latest_per(facts, [on], [*order, *(F.col(c) for c in facts.columns)])
+    return dimension.join(first, on, "left").na.fill(defaults).orderBy("ord")
 
 
 def in_list_order(facts: DataFrame, dimension: DataFrame, on: str) -> DataFrame:
     """Facts by their place in a list, those outside it last."""
-    return facts.join(F.broadcast(dimension), on, "left").orderBy(F.coalesce("ord", F.lit(99)), on).drop("ord")
+    return facts.join(dimension, on, "left").orderBy(F.coalesce("ord", F.lit(99)), on).drop("ord")
 
 
 def latest_per(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
@@ -113,8 +114,9 @@ def latest_per(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """Table after changes: the highest version of each key wins."""
-    return latest_per(table.unionByName(changes), keys, [F.desc(version)])
+    """Table after changes: the highest version of each key wins; of equal ones the changes, then the greatest by all fields."""
+    rows = table.withColumn("_change", F.lit(0)).unionByName(changes.withColumn("_change", F.lit(1)))
+    return latest_per(rows, keys, [F.desc(version), F.desc("_change"), *(F.desc(c) for c in table.columns)]).drop("_change")
 
 
 def patch(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

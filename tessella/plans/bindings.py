@@ -19,7 +19,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.when(first == "1", "ar").when(first == "2", "de").when(first == "3", "es").when(first == "4", "fr").otherwise("ru")
     status = F.when(F.col("o_orderstatus") == "F", F.when(k % 10 == 3, "failed").otherwise("done")).when(F.col("o_orderstatus") == "O", F.when(k % 7 == 0, "claimed").when(k % 11 == 0, "needs_review").otherwise("pending")).otherwise("retry_wait")
     created = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)")
-    rows = o.select((F.col("o_custkey") % 100).alias("project_id"), lang.alias("lang"), k.alias("chunk_index"), status.alias("status"), created.alias("created_at"))
+    rows = o.select(F.col("o_custkey").alias("project_id"), lang.alias("lang"), k.alias("chunk_index"), status.alias("status"), created.alias("created_at"))
     claimed = F.col("created_at") + (F.col("chunk_index") % 300) * 1000
     return rows.select(
         "*", claimed.alias("claimed_at"), F.when(F.col("status") == "done", claimed + (F.col("chunk_index") % 997) * 1000).alias("completed_at"),
@@ -28,7 +28,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOBS = """jobs0 AS (
-  SELECT o_custkey % 100 AS project_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'ar' WHEN '2' THEN 'de' WHEN '3' THEN 'es' WHEN '4' THEN 'fr' ELSE 'ru' END AS lang, o_orderkey AS chunk_index,
+  SELECT o_custkey AS project_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'ar' WHEN '2' THEN 'de' WHEN '3' THEN 'es' WHEN '4' THEN 'fr' ELSE 'ru' END AS lang, o_orderkey AS chunk_index,
     CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 10 = 3 THEN 'failed' ELSE 'done' END WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 7 = 0 THEN 'claimed' WHEN o_orderkey % 11 = 0 THEN 'needs_review' ELSE 'pending' END ELSE 'retry_wait' END AS status,
     epoch_ms(o_orderdate) AS created_at FROM orders
 ), jobs AS (
@@ -39,11 +39,11 @@ JOBS = """jobs0 AS (
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as projects."""
-    c = load(spark, sf_dir, "customer").where("c_custkey < 200")
+    c = load(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 5 == 1, "complete").otherwise("translating").cast("string").alias("status"))
 
 
-PROJECTS = "projects AS (SELECT c_custkey AS project_id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 'complete' ELSE 'translating' END AS status FROM customer WHERE c_custkey < 200)"
+PROJECTS = "projects AS (SELECT c_custkey AS project_id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 'complete' ELSE 'translating' END AS status FROM customer)"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

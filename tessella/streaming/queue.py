@@ -11,11 +11,12 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tessella.operators.jobs import EVENTS, STATE, Queue, state_rows
+from tessella.operators.reports import latest_per
 
 WATCHDOG_MS = 180_000
 
@@ -72,9 +73,18 @@ def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def live_view(states: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """A table that always holds each job's latest state, as a report would subscribe to it."""
+    """Keeps the states that each batch has changed; ``latest_states`` reads every job's last one.
+
+    A batch has a folder of its own, which is written over when it is replayed, so nothing counts twice.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append" if batch_id else "overwrite").parquet(f"{checkpoint}/{name}")
+        batch.write.mode("overwrite").parquet(f"{checkpoint}/{name}/batch={batch_id}")
 
     return states.writeStream.foreachBatch(put).option("checkpointLocation", f"{checkpoint}/{name}-checkpoint").outputMode("update").trigger(availableNow=True).start()
+
+
+def latest_states(spark: SparkSession, name: str, checkpoint: str) -> DataFrame:
+    """Each job's state of the last batch that changed it."""
+    rows = spark.read.option("basePath", f"{checkpoint}/{name}").parquet(f"{checkpoint}/{name}/batch=*")
+    return latest_per(rows, ["project_id", "lang", "chunk_index"], [F.desc("batch")]).drop("batch")
