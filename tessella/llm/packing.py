@@ -21,6 +21,7 @@ empty table gives no rows; only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +37,7 @@ CAPACITIES = (512, 1024, 2048, 4096)
 #: Pieces of a shard on average: bounds a task's memory (33 MB of ids at most); the loss at a shard's end is a few bins.
 SHARD = 4_000
 #: Words whose ids a worker remembers, of each kind, before it forgets them.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 200_000
 #: A bin costs its length times (1 + length / ATTENTION): attention grows with the square of it.
 ATTENTION = 65_536
 PIECES = "doc_id long, piece int, first_token long, n_tokens int, ids binary"
@@ -123,6 +124,13 @@ class _Raw(dict):
         return found
 
 
+@lru_cache(maxsize=2)
+def _raw(ranks_path: str, pattern: str) -> tuple[_Raw, _Raw]:
+    """Words at the start of a text and after a space; a worker keeps them from task to task."""
+    code = codec(ranks_path, pattern)
+    return _Raw(code, "", id_type(code)), _Raw(code, " ", id_type(code))
+
+
 def id_type(code: Codec) -> np.dtype:
     return np.dtype("<u2") if len(code.bytes_of) <= 1 << 16 else np.dtype("<u4")
 
@@ -132,8 +140,8 @@ def pieces(docs: DataFrame, longest: int, ranks_path: str, pattern: str, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(ranks_path, pattern)
-        dtype = id_type(code)
-        first, after, step = _Raw(code, "", dtype), _Raw(code, " ", dtype), longest * dtype.itemsize
+        dtype, (first, after) = id_type(code), _raw(ranks_path, pattern)
+        step = longest * dtype.itemsize
         for batch in batches:
             rows = []
             for i, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):

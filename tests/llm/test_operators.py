@@ -414,7 +414,7 @@ def test_telephony(spark, docs, none):
         media = telephony.in_shared_folder(telephony.store_media(docs, kind), "media")
         stored = telephony.in_shared_folder(telephony.stored_pcm(media), "pcm")
         files, got = {r.doc_id: bytes(r.media) for r in media.collect()}, by_id(telephony.media_report(stored))
-        pcm = {r.doc_id: bytes(r.pcm) for r in stored.collect()}
+        pcm = {r.doc_id: telephony.from_planes(r.pcm).tobytes() for r in stored.collect()}
         for k, t in enumerate(TEXTS):
             raw = plain(t).encode()
             padded = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
