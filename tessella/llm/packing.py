@@ -36,8 +36,8 @@ from tessella.llm.bpe import Codec, codec
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Pieces of a shard on average: bounds a task's memory (33 MB of ids at most); the loss at a shard's end is a few bins.
 SHARD = 4_000
-#: Words whose ids a worker remembers, of each kind, before it forgets them.
-KEPT_WORDS = 200_000
+#: Words whose ids a worker remembers, of each kind, before it forgets them: time against memory.
+KEPT_WORDS = 300_000
 #: A bin costs its length times (1 + length / ATTENTION): attention grows with the square of it.
 ATTENTION = 65_536
 PIECES = "doc_id long, piece int, first_token long, n_tokens int, ids binary"
@@ -112,35 +112,44 @@ def pack(sizes: np.ndarray, capacities: Sequence[int] = CAPACITIES) -> tuple[np.
 
 
 class _Raw(dict):
-    """Ids of words as little-endian bytes; what is missing is encoded."""
+    """Ids of words as little-endian bytes; what is missing is encoded.
 
-    def __init__(self, code: Codec, before: str, dtype: np.dtype) -> None:
-        self.encode, self.before, self.dtype = code.encode, before, dtype
+    Letters and the stops after them are always different pre-tokens, so such words are put together from ``tails``.
+    """
+
+    def __init__(self, code: Codec, before: str, dtype: np.dtype, kept: int, tails: _Raw | None = None) -> None:
+        self.encode, self.before, self.dtype, self.kept, self.tails = code.encode, before, dtype, kept, self if tails is None else tails
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > KEPT_WORDS:
+        if len(self) > self.kept:
             self.clear()
-        found = self[word] = np.array(self.encode(self.before + word), dtype=self.dtype).tobytes()
+        stem = word.rstrip(".,;:!?")
+        if len(stem) < len(word) and stem.isalpha():
+            found = self[stem] + self.tails[word[len(stem) :]]
+        else:
+            found = np.array(self.encode(self.before + word), dtype=self.dtype).tobytes()
+        self[word] = found
         return found
 
 
 @lru_cache(maxsize=2)
-def _raw(ranks_path: str, pattern: str) -> tuple[_Raw, _Raw]:
+def _raw(ranks_path: str, pattern: str, kept: int = KEPT_WORDS) -> tuple[_Raw, _Raw]:
     """Words at the start of a text and after a space; a worker keeps them from task to task."""
     code = codec(ranks_path, pattern)
-    return _Raw(code, "", id_type(code)), _Raw(code, " ", id_type(code))
+    first = _Raw(code, "", id_type(code), kept)
+    return first, _Raw(code, " ", id_type(code), kept, first)
 
 
 def id_type(code: Codec) -> np.dtype:
     return np.dtype("<u2") if len(code.bytes_of) <= 1 << 16 else np.dtype("<u4")
 
 
-def pieces(docs: DataFrame, longest: int, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, longest: int, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, ids; one row without ids for a text without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(ranks_path, pattern)
-        dtype, (first, after) = id_type(code), _raw(ranks_path, pattern)
+        dtype, (first, after) = id_type(code), _raw(ranks_path, pattern, kept_words)
         step = longest * dtype.itemsize
         for batch in batches:
             rows = []
@@ -180,14 +189,14 @@ def _longs(ids: np.ndarray) -> list[int | None]:
     return [None if pd.isna(i) else int(i) for i in ids]
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacities: Sequence[int] = CAPACITIES, *, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacities: Sequence[int] = CAPACITIES, *, shard: int = SHARD, kept_words: int = KEPT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a sequence: its bin, capacity and ids, and document, piece, first token and length of each of its pieces."""
     lengths = sorted(set(capacities))
     if not lengths or lengths[0] < 1:
         raise ValueError("capacities must be positive")
     dtype = id_type(codec(ranks_path, pattern))
     # A piece's number is written with it, so that a task that is run again deals alike.
-    rows = written(pieces(docs, lengths[-1], ranks_path, pattern, id_col, text_col).withColumn("number", F.monotonically_increasing_id()), "pieces", **{"parquet.block.size": str(16 << 20)})
+    rows = written(pieces(docs, lengths[-1], ranks_path, pattern, id_col, text_col, kept_words).withColumn("number", F.monotonically_increasing_id()), "pieces", **{"parquet.block.size": str(16 << 20)})
     shards = max(1, -(-rows.count() // shard))
     keyed = rows.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards)))
 

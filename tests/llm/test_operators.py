@@ -235,6 +235,15 @@ def test_packing_equals_a_plain_version():
     assert longer > 50 and downsized > 0 and sum(ratios) / len(ratios) < 1.1 and max(ratios) < 2
 
 
+def test_words_of_pieces_equal_the_encoder():
+    code, (first, after) = bpe.codec(*BPE), packing._raw(*BPE)
+    rng, parts = random.Random(21), ["Ab", "é", "½", "²", "1", ".", ",", "!?", "...", "'s", "’", "_", "ß", "中", "\u0301", ":"]
+    for _ in range(20_000):
+        word = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        for kept, before in ((first, ""), (after, " ")):
+            assert np.frombuffer(kept[word], "<u2").tolist() == code.encode(before + word), word
+
+
 def test_packing(spark, docs, none):
     code, lengths = bpe.codec(*BPE), (16, 32, 64)
     made = packing.pack_documents(docs, *BPE, lengths, shard=20)
