@@ -9,6 +9,11 @@ but the last return the columns of ``documents``:
 * personal data is replaced by its kind in brackets;
 * packing deals what is left into training sequences.
 
+Null and empty texts pass every stage and get a row without a bin in the last;
+of rows that repeat id and text each stays where a stage does not drop its
+document; ties go to the smaller id; empty tables give empty results; extra
+columns travel along until packing, whose result has columns of its own.
+
 No SQL expresses these stages; ``tests/llm`` compares each operator with a
 brute-force version.
 """
@@ -22,6 +27,8 @@ from tessella.llm import hyperminhash, packing, pii, suffix_dedup, toxicity
 from tessella.llm._shared import written
 
 ORACLE_SQL = None
+#: Words that the packing stage's workers remember; few, as they also hold what earlier stages left.
+KEPT_WORDS = 50_000
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -30,18 +37,22 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; trained on labels outside the held-out quarter."""
     return toxicity.reject_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id; documents without words or id stay."""
     return hyperminhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, less passages of 100 bytes that an earlier one has."""
     return _counted(suffix_dedup.drop_repeats(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data as its kind in brackets."""
     model = pii.fit(docs)
     return _counted(docs.withColumn("text", pii.redacted(model, F.col("text"))))
 
@@ -50,7 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document in sequences of permitted lengths; texts without tokens get a row with no bin."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, kept_words=KEPT_WORDS)
 
 
 STAGES = [
