@@ -162,9 +162,10 @@ def test_assembly_keeps_words(spark, parts):
     assert out.split() == " ".join(parts).split()
 
 
-def test_large_glossary_takes_the_join_by_words(spark, monkeypatch):
-    pairs = spark.createDataFrame([(1, "fr", "The River and the old harbor.", "le fleuve"), (2, "fr", "Riverside.", ""), (3, "de", "a river, old", "der Fluss")], "unit_id int, lang string, source string, output string")
-    terms = spark.createDataFrame([("fr", "river", "fleuve"), ("fr", "old harbor", "vieux port"), ("de", "river", "Fluss"), ("de", "old harbor", "Hafen")], "lang string, source string, target string")
-    small = sorted(map(tuple, quality.term_hits(pairs, terms).collect()))
-    monkeypatch.setattr(quality, "SMALL_GLOSSARY", 0)
-    assert sorted(map(tuple, quality.term_hits(pairs, terms).collect())) == small == [(1, 2, 1, "warn"), (2, 0, 0, "pass"), (3, 1, 1, "pass")]
+def test_glossaries_of_any_size_meet_texts_by_words(spark):
+    pairs = spark.createDataFrame([(1, "fr", "The River and the old harbor.", "le fleuve"), (2, "fr", "Riverside.", ""), (3, "de", "a river, old", "der Fluss"), (4, "de", "a--b \u00e9tude", "\u00e9tude")], "unit_id int, lang string, source string, output string")
+    terms = [("fr", "river", "fleuve"), ("fr", "old harbor", "vieux port"), ("de", "river", "Fluss"), ("de", "old harbor", "Hafen"), ("de", "--", "xx"), ("de", "lantern", None)]
+    for more in (0, 3_000):
+        table = spark.createDataFrame([*terms, *(("de", f"word{k} of", f"form{k}") for k in range(more))], "lang string, source string, target string")
+        # A term without a word meets all texts of its language.
+        assert sorted(map(tuple, quality.term_hits(pairs, table).collect())) == [(1, 2, 1, "warn"), (2, 0, 0, "pass"), (3, 1, 1, "pass"), (4, 1, 0, "fail")]
