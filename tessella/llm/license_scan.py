@@ -1,8 +1,10 @@
 """License scans (operator 1), by DataFrame functions alone.
 
-A text's lines and its blocks (between blank lines) are normalised to lower-case
-words and compared with license templates by the Dice coefficient over distinct
-word bigrams.  Dice >= t needs sizes within a factor of (2 - t) / t, which
+A text's lines, its blocks (between blank lines) and its runs of several blocks
+are normalised to lower-case words and compared with license templates by the
+Dice coefficient over distinct word bigrams.  Notices are published in several
+paragraphs, so a run counts if its words together are as many as some template
+allows; running totals of the blocks' words find such runs.  Dice >= t needs sizes within a factor of (2 - t) / t, which
 prunes templates before any comparison, and it needs at least t / (2 - t) of the
 template's bigrams.  Words that touch more than the rest of them are its
 anchors: a text without any template's anchor matches nothing and is not split
@@ -10,15 +12,18 @@ at all.  The templates are a fixed short list; nothing is shuffled.
 
 Edge cases: null and empty texts and segments of fewer than two words match
 nothing; a segment has one best template, ties going to the first name; equal
-segments of a text count once, at their first place; very long segments are
-handled as any other; an empty table gives no rows; only the two named columns
+lines and blocks of a text count once, at their first place; runs of blocks may
+overlap and each that matches is a row; very long segments are handled as any
+other, and very long texts are taken run by run; an empty table gives no rows; only the two named columns
 are read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +90,27 @@ def segments(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n")))
 
 
+def blocks(text: Column, every: set[str]) -> Column:
+    """Blocks that have words: text, number of words, and whether they hold an anchor."""
+    split = F.filter(F.split(text, r"\n[ \t]*\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    return F.transform(split, lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n"), may_match(s, every).alias("anchored")))
+
+
+def runs(following: Column, fewest: int, most: int) -> Column:
+    """Texts of two or more blocks from the first of ``following`` on that hold ``fewest`` to ``most`` words and an anchor."""
+    none = F.array().cast("array<struct<blocks:int,s:string>>")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit("").alias("s"), F.lit(False).alias("anchored"), none.alias("found"))
+
+    def longer(state: Column, block: Column) -> Column:
+        n, k, anchored = state["n"] + block["n"], state["k"] + 1, state["anchored"] | block["anchored"]
+        s = F.when(n <= most, F.concat_ws(" ", state["s"], block["s"])).otherwise("")
+        made = F.struct(k.alias("blocks"), s.alias("s"))
+        found = F.when((k > 1) & n.between(fewest, most) & anchored, F.array_append(state["found"], made)).otherwise(state["found"])
+        return F.struct(n.alias("n"), k.alias("k"), s.alias("s"), anchored.alias("anchored"), found.alias("found"))
+
+    return F.aggregate(following, start, longer, lambda state: state["found"])
+
+
 def anchors(words_of: list[str], least: float) -> set[str]:
     """Words, long ones first, of which any text that matches the template holds one."""
     pairs = {(a, b) for a, b in zip(words_of, words_of[1:], strict=False)}
@@ -107,10 +133,17 @@ def may_match(text: Column, every: set[str]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def run_sizes(sizes: Iterable[int], least: float) -> tuple[int, int]:
+    """Fewest and most words of a run of blocks, from the templates' numbers of bigrams."""
+    own = sorted(sizes)
+    return max(2, ceil(own[0] * least - 1e-9) + 1), int(own[-1] / least + 1e-9) + 1
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, segment, license, dice: every segment that is a license, with its best template.
+    """doc_id, segment, blocks, license, dice: every segment that is a license, with its best template.
 
-    ``segment`` counts a text's distinct lines and blocks from 0.  ``dice`` is rounded to six places.
+    Where ``blocks`` is 1, ``segment`` counts a text's distinct lines and blocks from 0; otherwise it is the
+    first of a run of so many blocks, counted from 0 among those that have words.  ``dice`` is rounded to six places.
     """
     split = {name: w for name, text in sorted((TEMPLATES if templates is None else templates).items()) if len(w := normalised(text)) > 1}
     if not split:
@@ -118,10 +151,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     sets = {name: sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for name, w in split.items()}
     least = threshold / (2 - threshold)
     every = set().union(*(anchors(w, least) for w in split.values()))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).where(may_match(F.col("t"), every))
-    rows = rows.select("doc_id", F.posexplode(segments(F.col("t"))).alias("segment", "s")).where(may_match(F.col("s"), every))
-    # Exploding an array of one keeps the bigrams from being made again for each use.
-    rows = rows.select("doc_id", "segment", F.explode(F.array(bigrams(words(F.col("s"))))).alias("b")).where(F.size("b") > 0)
+    fewest, most = run_sizes(map(len, sets.values()), least)
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).where(may_match(F.col("t"), every))
+    single = texts.select("doc_id", F.posexplode(segments(F.col("t"))).alias("segment", "s")).where(may_match(F.col("s"), every))
+    # Exploding an array of one keeps the blocks, and below the bigrams, from being made again for each use.
+    parted = texts.where(F.col("t").rlike(r"\n[ \t]*\n")).select("doc_id", F.explode(F.array(blocks(F.col("t"), every))).alias("own")).where(F.size("own") > 1)
+    # Every block has a word, so no run is of more than ``most`` blocks.
+    starts = parted.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda i: F.slice("own", i, F.lit(most)))).alias("segment", "following"))
+    several = starts.where(F.exists("following", lambda b: b["anchored"])).select("doc_id", "segment", F.inline(runs(F.col("following"), fewest, most)))
+    rows = single.select("doc_id", "segment", F.lit(1).alias("blocks"), "s").unionByName(several)
+    rows = rows.select("doc_id", "segment", "blocks", F.explode(F.array(bigrams(words(F.col("s"))))).alias("b")).where(F.size("b") > 0)
 
     def against(name: str, own: list[str]) -> Column:
         n, size = F.size("b"), len(own)
@@ -132,7 +171,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     # The highest Dice, then the first name.
     each = F.filter(F.array(*(against(name, own) for name, own in sets.items())), lambda m: m.isNotNull() & (m["dice"] >= threshold))
     best = F.array_min(F.transform(each, lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license"))))
-    return rows.select("doc_id", "segment", best.alias("m")).where("m is not null").select("doc_id", "segment", "m.license", (-F.col("m.d")).alias("dice"))
+    return rows.select("doc_id", "segment", "blocks", best.alias("m")).where("m is not null").select("doc_id", "segment", "blocks", "m.license", (-F.col("m.d")).alias("dice"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +183,9 @@ def _literal(text: str) -> str:
 
 
 def oracle() -> str:
-    """The same over all pairs of templates and segments that hold a word every template has one of; no pruning by size or anchors."""
+    """The same over all pairs of templates and segments that hold a word every template has one of; single lines and blocks are not pruned by size."""
+    sizes = [len({(a, b) for a, b in zip(w, w[1:], strict=False)}) for w in map(normalised, TEMPLATES.values())]
+    fewest, most = run_sizes(sizes, THRESHOLD / (2 - THRESHOLD))
     rows = ", ".join(f"({_literal(name)}, {_literal(' '.join(normalised(text)))})" for name, text in sorted(TEMPLATES.items()))
     return f"""
 WITH lines AS (
@@ -155,13 +196,25 @@ WITH lines AS (
   SELECT doc_id, s, min(pos) AS pos FROM numbered GROUP BY doc_id, s
 ), segments AS (
   SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS segment FROM firsts
+), parts AS (
+  SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n') AS l FROM documents)
+), blocks AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, len(string_split(trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS n
+  FROM parts WHERE regexp_matches(s, '[\\p{{L}}\\p{{N}}]')
+), totals AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM blocks
+), spans AS (
+  SELECT a.doc_id, a.i AS first, b.i AS last FROM totals a JOIN totals b ON b.doc_id = a.doc_id AND b.i > a.i AND b.c - a.c + a.n BETWEEN {fewest} AND {most}
+), candidates AS (
+  SELECT doc_id, segment, 1 AS blocks, s FROM segments UNION ALL
+  SELECT p.doc_id, first, last - first + 1, string_agg(s, ' ' ORDER BY i) FROM spans p JOIN blocks b ON b.doc_id = p.doc_id AND b.i BETWEEN first AND last GROUP BY p.doc_id, first, last
 ), worded AS (
-  SELECT doc_id, segment, string_split(trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM segments
+  SELECT doc_id, segment, blocks, string_split(trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM candidates
   WHERE regexp_matches(lower(s), 'licen|rights|redistribut|permission|software|mozilla|public')
 ), pairs AS (
-  SELECT DISTINCT doc_id, segment, w[i] || ' ' || w[i + 1] AS b FROM (SELECT doc_id, segment, w, unnest(range(1, len(w))) AS i FROM worded WHERE len(w) > 1)
+  SELECT DISTINCT doc_id, segment, blocks, w[i] || ' ' || w[i + 1] AS b FROM (SELECT doc_id, segment, blocks, w, unnest(range(1, len(w))) AS i FROM worded WHERE len(w) > 1)
 ), sized AS (
-  SELECT *, count(*) OVER (PARTITION BY doc_id, segment) AS n FROM pairs
+  SELECT *, count(*) OVER (PARTITION BY doc_id, segment, blocks) AS n FROM pairs
 ), templates(license, t) AS (VALUES {rows}
 ), template_words AS (
   SELECT license, string_split(t, ' ') AS w FROM templates
@@ -170,8 +223,8 @@ WITH lines AS (
 ), template_sized AS (
   SELECT *, count(*) OVER (PARTITION BY license) AS m FROM template_pairs
 ), scored AS (
-  SELECT doc_id, segment, license, round(2.0 * count(*) / (n + m), 6) AS dice FROM sized JOIN template_sized USING (b) GROUP BY doc_id, segment, license, n, m
+  SELECT doc_id, segment, blocks, license, round(2.0 * count(*) / (n + m), 6) AS dice FROM sized JOIN template_sized USING (b) GROUP BY doc_id, segment, blocks, license, n, m
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, segment ORDER BY dice DESC, license) AS r FROM scored WHERE dice >= {THRESHOLD}
+  SELECT *, row_number() OVER (PARTITION BY doc_id, segment, blocks ORDER BY dice DESC, license) AS r FROM scored WHERE dice >= {THRESHOLD}
 )
-SELECT doc_id, CAST(segment AS INTEGER) AS segment, license, CAST(dice AS DOUBLE) AS dice FROM ranked WHERE r = 1"""
+SELECT doc_id, CAST(segment AS INTEGER) AS segment, CAST(blocks AS INTEGER) AS blocks, license, CAST(dice AS DOUBLE) AS dice FROM ranked WHERE r = 1"""
