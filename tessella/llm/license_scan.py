@@ -152,10 +152,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     least = threshold / (2 - threshold)
     every = set().union(*(anchors(w, least) for w in split.values()))
     fewest, most = run_sizes(map(len, sets.values()), least)
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).where(may_match(F.col("t"), every))
-    single = texts.select("doc_id", F.posexplode(segments(F.col("t"))).alias("segment", "s")).where(may_match(F.col("s"), every))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    single = texts.where(may_match(F.col("t"), every)).select("doc_id", F.posexplode(segments(F.col("t"))).alias("segment", "s")).where(may_match(F.col("s"), every))
     # Exploding an array of one keeps the blocks, and below the bigrams, from being made again for each use.
-    parted = texts.where(F.col("t").rlike(r"\n[ \t]*\n")).select("doc_id", F.explode(F.array(blocks(F.col("t"), every))).alias("own")).where(F.size("own") > 1)
+    parted = texts.where(F.col("t").rlike(r"\n[ \t]*\n") & may_match(F.col("t"), every)).select("doc_id", F.explode(F.array(blocks(F.col("t"), every))).alias("own")).where(F.size("own") > 1)
     # Every block has a word, so no run is of more than ``most`` blocks.
     starts = parted.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda i: F.slice("own", i, F.lit(most)))).alias("segment", "following"))
     several = starts.where(F.exists("following", lambda b: b["anchored"])).select("doc_id", "segment", F.inline(runs(F.col("following"), fewest, most)))
