@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+#: Where ``written`` has put a table.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-    A local session (tests) that does not name one gets a temporary folder;
-    on a cluster a missing setting is an error, never a machine-local folder.
-    """
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) one in the warehouse, which they share too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -36,11 +33,23 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a later loss of an executor re-reads the files instead
-    of recomputing what led to them.
+    of recomputing what led to them.  Whoever holds the table may remove it with
+    ``dropped`` once nothing reads it any more; those that a result still reads
+    stay, for whoever owns the shared folder to clear after the job.
     """
     path = fresh_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing will read again."""
+    for own in tables:
+        context = own.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(own))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import written
+from tessella.llm._shared import dropped, written
 
 #: Members of a block; a task holds two blocks of one group at a time.
 BLOCK = 512
@@ -89,11 +89,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("id", "root").union(links.select(F.col("root").alias("id"), F.col("id").alias("root"))).where("id <> root").distinct(), "links")
     labels = written(both.groupBy("id").agg(F.min("root").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    # Each round's table goes once the next is written.
     while True:
         near = both.join(labels.select(F.col("id").alias("root"), F.col("component").alias("c")), "root").groupBy("id").agg(F.min("c").alias("c"))
         met = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("c"))
         jumped = met.join(labels.select(F.col("id").alias("c"), F.col("component").alias("cc")), "c", "left").select("id", "old", F.least("c", F.coalesce("cc", "c")).alias("component"))
         new = written(jumped, "labels")
+        dropped(labels)
+        labels = new
         if not new.where("component <> old").limit(1).count():
+            dropped(both)
             return new.select("id", "component")
-        labels = new.select("id", "component")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, hyperminhash, license_scan, packing, pii, suffix_dedup, telephony, token_files, topk, toxicity
+from tessella.llm import bpe, centroids, hyperminhash, license_scan, packing, phrases, pii, simhash, suffix_dedup, telephony, token_files, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8,
         "op9_exact_top_k": topk.op9,
         "op10_personal_data": pii.op10,
+        "op11_phrases": phrases.op11,
+        "op12_simhash": simhash.op12,
+        "op13_centroids": centroids.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op9_exact_top_k": topk.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op9_exact_top_k": topk.ORACLE, "op11_phrases": phrases.ORACLE, "op13_centroids": centroids.oracle()}

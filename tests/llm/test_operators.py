@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, hyperminhash, license_scan, packing, pii, suffix_dedup, telephony, token_files, topk, toxicity
+from tessella.llm import bpe, centroids, hyperminhash, license_scan, packing, phrases, pii, simhash, suffix_dedup, telephony, token_files, topk, toxicity
 from tessella.llm.components import components
 from tessella.llm.repeats_kernel import anchors, window_hashes
 
@@ -646,3 +647,128 @@ def test_added_spans_of_planted_data(spark):
     precision, recall = right / added, found / wanted
     print(f"added spans: precision {precision:.3f}, recall {recall:.3f}")
     assert precision > 0.9 and recall > 0.9
+
+
+def plain_phrases(rows, least, best):
+    """Each language's best phrases, counted one by one."""
+    f, n = collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n-\r]", re.sub("[A-Z]", lambda m: m[0].lower(), plain(text))):
+            own = re.findall(r"[^ \t]+", piece)
+            n[lang] += len(own)
+            f.update((lang, tuple(own[i : i + k])) for k in range(1, 5) for i in range(len(own) - k + 1))
+    found = collections.defaultdict(list)
+    for (lang, p), a in f.items():
+        inside = any(100 * c >= 80 * a for (other, q), c in f.items() if other == lang and len(q) > len(p) and c >= least and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)))
+        if len(p) > 1 and a >= least and not inside:
+            score, _, left, right = min((phrases.SCALE * a // (f[lang, p[:k]] + f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+            found[lang].append((-score, -a, " ".join(p).encode(), left, right))
+    return {(lang, r + 1, p.decode(), -a, left, right, n[lang], -s) for lang, own in found.items() for r, (s, a, p, left, right) in enumerate(sorted(own)[:best])}
+
+
+@pytest.mark.parametrize("block", [1, 200, 1 << 21])
+def test_phrases(spark, none, block):
+    rng, few = random.Random(5), ["a", "b", "c", "Dé", "é"]
+    texts = [(" ".join(rng.choice(few) + rng.choice(["", "", "", ".", " ,", "\n", "\t", "\x0b"]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de", None, "und"])) for _ in range(60)]
+    texts += [(None, "en"), ("", None), (" \t ", "x"), ("!?..", "x"), ("a b\x1cc a\x85b a b", "en"), *[("same row again A B", "en")] * 9, ("x " * 5_000, "long")]
+    rows = spark.createDataFrame([(t, lang, "p", 1, "q") for t, lang in texts], "text string, lang string, phrase string, n long, names string").repartition(3)
+    for best in (2_000, 7):
+        got = phrases.collocations(rows, least=4, best=best, block=block)
+        assert {tuple(r) for r in got.collect()} == plain_phrases(texts, 4, best)
+        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert phrases.collocations(none.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
+def test_phrases_of_long_texts_are_cut_at_ends(monkeypatch):
+    monkeypatch.setattr(phrases, "PART", 10)
+    cut = list(phrases.parts("Abc def. ghi jkl mno pqr, stu! v"))
+    assert b"".join(cut) == b"abc def\n ghi jkl mno pqr\n stu\n v" and len(cut) == 2 and all(c.startswith(b"\n") for c in cut[1:])
+    places, words = np.array([0, 1, 2, 4, 5]), np.array([7, 8, 7, 7, 8])
+    assert [x.tolist() for x in phrases.extended(places, words, words, 1)] == [[0, 1, 4], [7, 8, 7], [8, 7, 8]]
+
+
+def plain_print(text):
+    import xxhash
+
+    own = [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), plain(text))) if w]
+    hashes = [xxhash.xxh64_intdigest(" ".join(own[i : i + 3]).encode(), 42) for i in range(max(1, len(own) - 2))] if own else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, distance):
+    label = list(range(len(prints)))
+    for a, b in itertools.combinations(range(len(prints)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= distance and label[a] != label[b]:
+            old, new = label[a], label[b]
+            label = [new if x == old else x for x in label]
+    return label
+
+
+def test_simhash(spark, docs, none):
+    got = simhash.near_duplicates(docs)
+    prints = [plain_print(t) for t in TEXTS]
+    label = plain_components(prints, 2)
+    wanted = {(k * 10, f"{p:016x}", min(10 * j for j, other in enumerate(label) if other == label[k])) for k, p in enumerate(prints)}
+    assert {tuple(r) for r in got.collect()} == wanted and got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert simhash.near_duplicates(none).count() == 0
+    odd = spark.createDataFrame([(None, "only here"), (None, "a b c"), (7, "A b  c"), (7, "a b c"), (7, "else"), (9, "long " * 100_000)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.fingerprint) for r in simhash.near_duplicates(odd).collect()) == sorted([(0, 0, f"{plain_print('only here'):016x}"), *[(0, 7, f"{plain_print('a b c'):016x}")], *[(7, 7, f"{plain_print('a b c'):016x}")] * 2, (7, 7, f"{plain_print('else'):016x}"), (9, 9, f"{plain_print('long long long'):016x}")])
+
+
+@pytest.mark.parametrize(("distance", "count"), [(2, 2), (2, 3), (3, 2), (5, 4), (0, 2)])
+def test_simhash_segments_lose_no_link(spark, distance, count):
+    """Links by the index against all pairs, on fingerprints that are close to each other and share segments."""
+    rng = random.Random(distance)
+    prints = sorted({p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2 * distance))) for p in [rng.getrandbits(64) for _ in range(5)] for _ in range(24)} | {rng.getrandbits(32) << 32 * k | 5 << 32 * (1 - k) for k in (0, 1) for _ in range(20)} | {0})
+    assert all(sum(r + 1 for *_, r in simhash.segments(d, c)) + 0 * d >= 1 for d, c in [(distance, count)])
+    signed = [p - (p >> 63 << 64) for p in prints]
+    index = simhash.index_rows(spark.createDataFrame([(s,) for s in signed], "fingerprint long"), distance, count).cache()
+    met = index.join(index.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").select("g", "n", "id", F.col("id").alias("print"), "asks")
+    found = {r.id: r.component for r in components(simhash.compare_groups(met, ["print", "asks"], simhash.near(distance), block=16)).collect()}
+    label = plain_components(prints, distance)
+    assert [found.get(s, s) for s in signed] == [min(signed[j] for j, other in enumerate(label) if other == label[k]) for k in range(len(prints))]
+
+
+def plain_clusters(rows, count=16, rounds=3):
+    kept = [(i, [math.floor(64 * c) for c in v]) for i, v in rows if v is not None and len(v) == 64 and all(c is not None and math.isfinite(c) for c in v)]
+    start = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))[:count]
+    centroids = [v for _, v in start]
+    gap = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    nearest = lambda v: min((gap(v, c), k) for k, c in enumerate(centroids))
+    for _ in range(rounds):
+        at = [nearest(v)[1] for _, v in kept]
+        centroids = [[sum(x) // len(own) for x in zip(*own, strict=True)] if (own := [v for (_, v), a in zip(kept, at, strict=True) if a == k]) else c for k, c in enumerate(centroids)]
+    last = [(i, *nearest(v)) for i, v in kept]
+    each = collections.Counter()
+    for _, d, k in last:
+        each[k] += d
+    fits = lambda x: x if x < 2**63 else None
+    return sorted(((i or -1, k, fits(d), fits(each[k]), fits(sum(each.values())), hashlib.sha256(",".join(map(str, centroids[k])).encode()).hexdigest()) for i, d, k in last), key=repr)
+
+
+@pytest.mark.parametrize("case", ["spread", "ties", "few", "large"])
+def test_centroids(spark, none, case):
+    rng = np.random.default_rng(3)
+    made = {"spread": rng.normal(size=(300, 64)), "ties": np.sign(rng.normal(size=(200, 64)).round()) * (np.arange(64) < 3), "few": rng.normal(size=(5, 64)), "large": rng.normal(size=(60, 64)) * 10.0 ** rng.integers(0, 8, size=(60, 1))}[case]
+    rows = [(k, v.tolist()) for k, v in enumerate(made)]
+    rows += [(900, None), (901, []), (902, [1.0] * 63), (903, [None] + [1.0] * 63), (904, [float("nan")] + [1.0] * 63), (905, [float("-inf")] * 64), (None, rows[0][1]), rows[1], (1, rows[2][1])]
+    table = spark.createDataFrame([(*r, 1, "c") for r in rows], "vec_id long, embedding array<double>, cluster int, ids string").repartition(3)
+    got = centroids.clusters(table, block=32)
+    assert sorted((tuple(r[:1]) == (None,) and (-1, *r[1:]) or (r[0] or -1, *r[1:]) for r in got.collect()), key=repr) == plain_clusters(rows)
+    assert got.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    assert centroids.clusters(table.limit(0)).count() == 0
+
+
+def test_elkan_passes_over_most_distances():
+    rng = np.random.default_rng(1)
+    centers = rng.integers(-400, 400, size=(16, 64)).astype(object)
+    x = np.concatenate([c.astype(np.int64) + rng.integers(-20, 20, size=(100, 64)) for c in centers])
+    cluster, upper, lower = np.zeros(len(x), np.int32), np.full(len(x), np.inf), np.zeros((len(x), 16))
+    first = centroids.assign(x, centers, cluster, upper, lower)
+    new = centers + 1
+    shift = centroids.moved(centers, new)
+    before = cluster.copy()
+    again = centroids.assign(x, new, cluster, upper + shift[cluster], np.maximum(lower - shift, 0))
+    exact = np.array([[centroids.squared(x[i : i + 1], c)[0] for c in new] for i in range(len(x))])
+    assert first < 16 * len(x) and again == 0 and (cluster == exact.argmin(axis=1)).all() and (before == cluster).all()

@@ -35,4 +35,4 @@ def test_run_and_names(spark, folder):
     packed = corpus_pipeline.run(spark, folder)
     assert packed.selectExpr("explode(doc_ids) AS i").distinct().count() >= 100
     assert packed.where("bin_id IS NOT NULL AND n_tokens > bin_capacity").count() == 0
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
