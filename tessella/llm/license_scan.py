@@ -2,28 +2,34 @@
 
 A text's lines, its blocks (between blank lines) and its runs of several blocks
 are normalised to lower-case words and compared with license templates by the
-Dice coefficient over distinct word bigrams.  Notices are published in several
-paragraphs, so a run counts if its words together are as many as some template
-allows; running totals of the blocks' words find such runs.  Dice >= t needs sizes within a factor of (2 - t) / t, which
-prunes templates before any comparison, and it needs at least t / (2 - t) of the
-template's bigrams.  Words that touch more than the rest of them are its
-anchors: a text without any template's anchor matches nothing and is not split
-at all.  The templates are a fixed short list; nothing is shuffled.
+Dice coefficient over distinct word bigrams.  Dice >= t needs sizes within a
+factor of (2 - t) / t, which prunes templates before any comparison, and it needs
+at least t / (2 - t) of the template's bigrams.  Words that touch more than the
+rest of them are its anchors: a text without any template's anchor matches nothing
+and is not split at all.  The templates are a fixed short list; nothing is shuffled.
+
+Notices are published in several paragraphs, and paragraphs repeat.  From every
+block that can start a run, a fold unites the bigrams of the blocks that follow,
+until there are more distinct ones than any template allows; their number only
+grows, so no run is lost, however many words it has.  The fold looks at a bounded
+stretch of blocks first, and at all that follow where repeats leave it open.  Runs of
+one start with the same bigrams are one row.  In a row of more than two equal
+blocks those between the first and the last start no run, as they would repeat
+what the first one gives, and cost the fold nothing.
 
 Edge cases: null and empty texts and segments of fewer than two words match
 nothing; a segment has one best template, ties going to the first name; equal
 lines and blocks of a text count once, at their first place; runs of blocks may
-overlap and each that matches is a row; very long segments are handled as any
-other, and very long texts are taken run by run; an empty table gives no rows; only the two named columns
-are read.
+overlap and each that matches is a row; a null id is an id like any other and
+repeated rows each have their matches; very long segments are handled as any
+other; an empty table gives no rows; only the two named columns are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,25 +96,49 @@ def segments(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n")))
 
 
-def blocks(text: Column, every: set[str]) -> Column:
-    """Blocks that have words: text, number of words, and whether they hold an anchor."""
+def blocks(text: Column) -> Column:
+    """Blocks that have words: the words and their bigrams."""
     split = F.filter(F.split(text, r"\n[ \t]*\n"), lambda s: s.rlike(r"[\p{L}\p{N}]"))
-    return F.transform(split, lambda s: F.struct(s.alias("s"), F.size(words(s)).alias("n"), may_match(s, every).alias("anchored")))
+    return F.transform(F.transform(split, words), lambda w: F.struct(w.alias("w"), F.coalesce(bigrams(w), F.array().cast("array<string>")).alias("b")))
 
 
-def runs(following: Column, fewest: int, most: int) -> Column:
-    """Texts of two or more blocks from the first of ``following`` on that hold ``fewest`` to ``most`` words and an anchor."""
-    none = F.array().cast("array<struct<blocks:int,s:string>>")
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit("").alias("s"), F.lit(False).alias("anchored"), none.alias("found"))
+def placed(own: Column) -> Column:
+    """Blocks with their places, less those that equal both blocks before them; ``to`` is the last place of such repeats."""
+    at = F.transform(own, lambda x, i: F.struct(i.alias("at"), x["w"].alias("w"), x["b"].alias("b")))
+    return F.filter(at, lambda x, i: (i < 2) | (x["w"] != F.get(own, i - 1)["w"]) | (x["w"] != F.get(own, i - 2)["w"]))
+
+
+def grown(own: Column, start: Column, length: Column, most: int, best: Callable[[Column], Column]) -> Column:
+    """Fold of ``length`` blocks from ``start`` (from 1): where the bigrams grow, the best template there, and whether and where they pass ``most``."""
+    none = F.array().cast("array<struct<at:int,m:struct<d:double,license:string>>>")
+    state = F.struct(F.array().cast("array<string>").alias("b"), F.lit("").alias("last"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("closed"), none.alias("found"))
 
     def longer(state: Column, block: Column) -> Column:
-        n, k, anchored = state["n"] + block["n"], state["k"] + 1, state["anchored"] | block["anchored"]
-        s = F.when(n <= most, F.concat_ws(" ", state["s"], block["s"])).otherwise("")
-        made = F.struct(k.alias("blocks"), s.alias("s"))
-        found = F.when((k > 1) & n.between(fewest, most) & anchored, F.array_append(state["found"], made)).otherwise(state["found"])
-        return F.struct(n.alias("n"), k.alias("k"), s.alias("s"), anchored.alias("anchored"), found.alias("found"))
+        joint = F.when(state["k"] > 0, F.array(F.concat(state["last"], F.lit(" "), F.get(block["w"], F.lit(0))))).otherwise(F.array().cast("array<string>"))
+        return F.when(state["closed"].isNotNull(), state).otherwise(F.transform(F.array(F.array_union(state["b"], F.concat(joint, block["b"]))), lambda b: F.struct(
+            b.alias("b"), F.element_at(block["w"], -1).alias("last"), (state["k"] + 1).alias("k"), F.when(F.size(b) > most, block["at"]).alias("closed"),
+            F.when((F.size(b) <= most) & ((F.size(b) > F.size(state["b"])) | (state["k"] == 0)), F.array_append(state["found"], F.struct(block["at"].alias("at"), best(b).alias("m")))).otherwise(state["found"]).alias("found"),
+        ))[0])
+
+    return F.aggregate(F.slice(own, start, length), state, longer, lambda s: F.struct(s["closed"].alias("closed"), s["found"].alias("found")))
+
+
+def runs(own: Column, n: Column, most: int, anchored: Callable[[Column], Column], best: Callable[[Column], Column]) -> Column:
+    """(segment, blocks, most_blocks, m) of the runs of two or more blocks that match; ``own`` is what ``placed`` gives, of ``n`` blocks."""
+    stretch = most + 2
+    starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.exists(F.slice(own, i, F.lit(stretch)), lambda x: anchored(F.array_join(x["w"], " "))) | (i + stretch <= F.size(own)))
+    short = F.transform(starts, lambda i: F.struct(i.alias("i"), grown(own, i, F.lit(stretch), most, best).alias("r")))
+    whole = F.transform(short, lambda x: F.struct(x["i"].alias("i"), F.when(x["r"]["closed"].isNull() & (x["i"] + stretch <= F.size(own)), grown(own, x["i"], F.size(own), most, best)).otherwise(x["r"]).alias("r")))
+
+    def rows(x: Column) -> Column:
+        first = F.coalesce(F.get(own, x["i"])["at"], n) - 1  # the last of equal blocks
+        found, closed = x["r"]["found"], F.coalesce(x["r"]["closed"], n)
+        each = F.transform(found, lambda f, k: F.struct(
+            first.alias("segment"), F.greatest(F.lit(2), f["at"] - first + 1).alias("blocks"), (F.coalesce(F.get(found, k + 1)["at"], closed) - first).alias("most_blocks"), f["m"].alias("m"),
+        ))
+        return F.filter(each, lambda r: r["m"].isNotNull() & (r["most_blocks"] > 1))
 
-    return F.aggregate(following, start, longer, lambda state: state["found"])
+    return F.flatten(F.transform(whole, rows))
 
 
 def anchors(words_of: list[str], least: float) -> set[str]:
@@ -133,17 +163,17 @@ def may_match(text: Column, every: set[str]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def run_sizes(sizes: Iterable[int], least: float) -> tuple[int, int]:
-    """Fewest and most words of a run of blocks, from the templates' numbers of bigrams."""
-    own = sorted(sizes)
-    return max(2, ceil(own[0] * least - 1e-9) + 1), int(own[-1] / least + 1e-9) + 1
+def run_size(sizes: Iterable[int], least: float) -> int:
+    """Most bigrams of anything that matches, from the templates' numbers of them."""
+    return int(max(sizes) / least + 1e-9)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, segment, blocks, license, dice: every segment that is a license, with its best template.
+    """doc_id, segment, blocks, most_blocks, license, dice: every segment that is a license, with its best template.
 
     Where ``blocks`` is 1, ``segment`` counts a text's distinct lines and blocks from 0; otherwise it is the
-    first of a run of so many blocks, counted from 0 among those that have words.  ``dice`` is rounded to six places.
+    first of a run, counted from 0 among the blocks that have words: all runs from there of ``blocks`` to
+    ``most_blocks`` blocks have the same bigrams.  ``dice`` is rounded to six places.
     """
     split = {name: w for name, text in sorted((TEMPLATES if templates is None else templates).items()) if len(w := normalised(text)) > 1}
     if not split:
@@ -151,27 +181,28 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     sets = {name: sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}) for name, w in split.items()}
     least = threshold / (2 - threshold)
     every = set().union(*(anchors(w, least) for w in split.values()))
-    fewest, most = run_sizes(map(len, sets.values()), least)
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
-    single = texts.where(may_match(F.col("t"), every)).select("doc_id", F.posexplode(segments(F.col("t"))).alias("segment", "s")).where(may_match(F.col("s"), every))
-    # Exploding an array of one keeps the blocks, and below the bigrams, from being made again for each use.
-    parted = texts.where(F.col("t").rlike(r"\n[ \t]*\n") & may_match(F.col("t"), every)).select("doc_id", F.explode(F.array(blocks(F.col("t"), every))).alias("own")).where(F.size("own") > 1)
-    # Every block has a word, so no run is of more than ``most`` blocks.
-    starts = parted.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("own") - 1), lambda i: F.slice("own", i, F.lit(most)))).alias("segment", "following"))
-    several = starts.where(F.exists("following", lambda b: b["anchored"])).select("doc_id", "segment", F.inline(runs(F.col("following"), fewest, most)))
-    rows = single.select("doc_id", "segment", F.lit(1).alias("blocks"), "s").unionByName(several)
-    rows = rows.select("doc_id", "segment", "blocks", F.explode(F.array(bigrams(words(F.col("s"))))).alias("b")).where(F.size("b") > 0)
-
-    def against(name: str, own: list[str]) -> Column:
-        n, size = F.size("b"), len(own)
-        dice = 2 * F.size(F.array_intersect(F.col("b"), F.array(*map(F.lit, own)))) / (n + size)
+    most = run_size(map(len, sets.values()), least)
+
+    def against(b: Column, name: str, own: list[str]) -> Column:
+        n, size = F.size(b), len(own)
+        dice = 2 * F.size(F.array_intersect(b, F.array(*map(F.lit, own)))) / (n + size)
         fits = (n >= size * least - 1e-9) & (n * least <= size + 1e-9)
         return F.when(fits, F.struct(F.round(dice, 6).alias("dice"), F.lit(name).alias("license")))
 
-    # The highest Dice, then the first name.
-    each = F.filter(F.array(*(against(name, own) for name, own in sets.items())), lambda m: m.isNotNull() & (m["dice"] >= threshold))
-    best = F.array_min(F.transform(each, lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license"))))
-    return rows.select("doc_id", "segment", "blocks", best.alias("m")).where("m is not null").select("doc_id", "segment", "blocks", "m.license", (-F.col("m.d")).alias("dice"))
+    def best(b: Column) -> Column:
+        """The highest Dice, then the first name."""
+        each = F.filter(F.array(*(against(b, name, own) for name, own in sets.items())), lambda m: m.isNotNull() & (m["dice"] >= threshold))
+        return F.array_min(F.transform(each, lambda m: F.struct((-m["dice"]).alias("d"), m["license"].alias("license"))))
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    single = texts.where(may_match(F.col("t"), every)).select("doc_id", F.posexplode(segments(F.col("t"))).alias("segment", "s")).where(may_match(F.col("s"), every))
+    # Exploding an array of one keeps bigrams and blocks from being made again for each use.
+    single = single.select("doc_id", "segment", F.explode(F.array(bigrams(words(F.col("s"))))).alias("b")).where(F.size("b") > 0)
+    single = single.select("doc_id", "segment", F.lit(1).alias("blocks"), F.lit(1).alias("most_blocks"), best(F.col("b")).alias("m")).where("m is not null")
+    parted = texts.where(F.col("t").rlike(r"\n[ \t]*\n") & may_match(F.col("t"), every)).select("doc_id", F.explode(F.array(blocks(F.col("t")))).alias("every")).where(F.size("every") > 1)
+    parted = parted.select("doc_id", F.size("every").alias("n"), F.explode(F.array(placed(F.col("every")))).alias("own"))
+    several = parted.select("doc_id", F.inline(runs(F.col("own"), F.col("n"), most, lambda t: may_match(t, every), best)))
+    return single.unionByName(several).select("doc_id", "segment", "blocks", "most_blocks", "m.license", (-F.col("m.d")).alias("dice"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +214,7 @@ def _literal(text: str) -> str:
 
 
 def oracle() -> str:
-    """The same over all pairs of templates and segments that hold a word every template has one of; single lines and blocks are not pruned by size."""
-    sizes = [len({(a, b) for a, b in zip(w, w[1:], strict=False)}) for w in map(normalised, TEMPLATES.values())]
-    fewest, most = run_sizes(sizes, THRESHOLD / (2 - THRESHOLD))
+    """The same over all pairs of templates and segments that hold a word every template has one of; nothing is pruned by size."""
     rows = ", ".join(f"({_literal(name)}, {_literal(' '.join(normalised(text)))})" for name, text in sorted(TEMPLATES.items()))
     return f"""
 WITH lines AS (
@@ -199,15 +228,14 @@ WITH lines AS (
 ), parts AS (
   SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\n[ \\t]*\\n') AS l FROM documents)
 ), blocks AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, len(string_split(trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) AS n
+  SELECT doc_id, trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i
   FROM parts WHERE regexp_matches(s, '[\\p{{L}}\\p{{N}}]')
-), totals AS (
-  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM blocks
-), spans AS (
-  SELECT a.doc_id, a.i AS first, b.i AS last FROM totals a JOIN totals b ON b.doc_id = a.doc_id AND b.i > a.i AND b.c - a.c + a.n BETWEEN {fewest} AND {most}
+), starts AS (
+  SELECT *, lag(s) OVER w = s AND lead(s) OVER w = s AS inner_ FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), candidates AS (
   SELECT doc_id, segment, 1 AS blocks, s FROM segments UNION ALL
-  SELECT p.doc_id, first, last - first + 1, string_agg(s, ' ' ORDER BY i) FROM spans p JOIN blocks b ON b.doc_id = p.doc_id AND b.i BETWEEN first AND last GROUP BY p.doc_id, first, last
+  SELECT a.doc_id, a.i, b.i - a.i + 1, string_agg(p.s, ' ' ORDER BY p.i) FROM starts a JOIN blocks b ON b.doc_id = a.doc_id AND b.i > a.i JOIN blocks p ON p.doc_id = a.doc_id AND p.i BETWEEN a.i AND b.i
+  WHERE a.inner_ IS NOT TRUE GROUP BY a.doc_id, a.i, b.i
 ), worded AS (
   SELECT doc_id, segment, blocks, string_split(trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM candidates
   WHERE regexp_matches(lower(s), 'licen|rights|redistribut|permission|software|mozilla|public')
@@ -223,8 +251,9 @@ WITH lines AS (
 ), template_sized AS (
   SELECT *, count(*) OVER (PARTITION BY license) AS m FROM template_pairs
 ), scored AS (
-  SELECT doc_id, segment, blocks, license, round(2.0 * count(*) / (n + m), 6) AS dice FROM sized JOIN template_sized USING (b) GROUP BY doc_id, segment, blocks, license, n, m
+  SELECT doc_id, segment, blocks, n, license, round(2.0 * count(*) / (n + m), 6) AS dice FROM sized JOIN template_sized USING (b) GROUP BY doc_id, segment, blocks, license, n, m
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, segment, blocks ORDER BY dice DESC, license) AS r FROM scored WHERE dice >= {THRESHOLD}
 )
-SELECT doc_id, CAST(segment AS INTEGER) AS segment, CAST(blocks AS INTEGER) AS blocks, license, CAST(dice AS DOUBLE) AS dice FROM ranked WHERE r = 1"""
+SELECT doc_id, CAST(segment AS INTEGER) AS segment, CAST(min(blocks) AS INTEGER) AS blocks, CAST(max(blocks) AS INTEGER) AS most_blocks, license, CAST(dice AS DOUBLE) AS dice
+FROM ranked WHERE r = 1 GROUP BY doc_id, segment, n, license, dice, blocks = 1"""

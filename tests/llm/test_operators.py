@@ -79,24 +79,25 @@ def test_licenses_of_several_paragraphs(spark):
     bsd = license_scan.TEMPLATES["bsd-2-text"].replace(" 1. Red", "\n\n1. Red").replace(" 2. Red", "\n \t\n2. Red")
     mit = license_scan.TEMPLATES["mit-text"].replace("conditions: The", "conditions:\n\nThe")
     one_by_one = "\n\n".join(license_scan.normalised(license_scan.TEMPLATES["isc-text"]))
-    texts = [gpl, bsd, mit, f"title\n\n***\n\n{gpl}\n\nan end of it", f"{bsd}\n\n{mit}", one_by_one, "\n\n", "a\n\nb", None, "software\n\n" * 3_000, bsd]
+    first, second = license_scan.TEMPLATES["isc-text"].split(" for any ", 1)
+    repeated = first + "\n\nfor any " + "\n\nfor any ".join([second] * 14)
+    turns = "\n\n".join(["Released under the MIT License.", "The MIT License."] * 5)
+    texts = [gpl, bsd, mit, f"title\n\n***\n\n{gpl}\n\nan end of it", f"{bsd}\n\n{mit}", one_by_one, "\n\n", "a\n\nb", None, repeated, turns, "\n\n".join(["MIT License released"] * 9 + ["under the MIT License"] * 3), f"{repeated}\n\n{gpl}", "software\n\n" * 3_000, bsd]
     rows = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, segment string, blocks int")
     found = collections.defaultdict(dict)
     for r in license_scan.scan(rows).where("blocks > 1").collect():
-        found[r.doc_id][r.segment, r.blocks] = (r.license, r.dice)
+        found[r.doc_id][r.segment, r.blocks, r.most_blocks] = (r.license, r.dice)
     sets = {name: {(a, b) for a, b in itertools.pairwise(license_scan.normalised(t))} for name, t in license_scan.TEMPLATES.items()}
-    fewest, most = license_scan.run_sizes(map(len, sets.values()), license_scan.THRESHOLD / (2 - license_scan.THRESHOLD))
-    for k, text in enumerate(texts[:9]):
-        own, wanted = [w for b in re.split(r"\n[ \t]*\n", plain(text)) if (w := license_scan.normalised(b))], {}
+    for k, text in enumerate(texts[:13]):
+        own, wanted = [w for b in re.split(r"\n[ \t]*\n", plain(text)) if (w := license_scan.normalised(b))], collections.defaultdict(list)
         for i, j in itertools.combinations(range(len(own)), 2):
-            joint = list(itertools.chain(*own[i : j + 1]))
-            pairs = set(itertools.pairwise(joint))
+            pairs = frozenset(itertools.pairwise(itertools.chain(*own[i : j + 1])))
             dice, name = min((-2 * len(pairs & s) / (len(pairs) + len(s)), name) for name, s in sets.items())
-            if fewest <= len(joint) <= most and -dice >= license_scan.THRESHOLD:
-                wanted[i, j - i + 1] = (name, round(-dice, 6))
-        assert found[k] == wanted
-    assert found[0] == {(0, 2): ("gpl-3.0-header", 1.0)} and found[1][0, 3] == ("bsd-2-text", 1.0) and found[2] == {(0, 2): ("mit-text", 1.0)}
-    assert found[3][1, 2] == ("gpl-3.0-header", 1.0) and found[5] and not found[9] and found[10] == found[1]
+            if -dice >= license_scan.THRESHOLD and not (0 < i < len(own) - 1 and own[i - 1] == own[i] == own[i + 1]):
+                wanted[i, pairs, name, round(-dice, 6)].append(j - i + 1)
+        assert found[k] == {(i, min(n), max(n)): (name, dice) for (i, _, name, dice), n in wanted.items()}
+    assert found[0] == {(0, 2, 2): ("gpl-3.0-header", 1.0)} and found[1][0, 3, 3] == ("bsd-2-text", 1.0) and found[2] == {(0, 2, 2): ("mit-text", 1.0)}
+    assert found[3][1, 2, 2] == ("gpl-3.0-header", 1.0) and found[5] and found[9][0, 3, 15][0] == "isc-text" and found[10] and not found[13] and found[14] == found[1]
 
 
 def test_license_anchors_cover_every_match():
