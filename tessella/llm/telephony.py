@@ -97,28 +97,8 @@ def ima_decode(blocks: np.ndarray) -> np.ndarray:
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate by linear interpolation, in integers; the last sample is held."""
     out = np.empty(2 * len(pcm), dtype="<i2")
-    out[::2], out[1::2] = pcm, _between(pcm)
-    return out
-
-
-def _between(even: np.ndarray) -> np.ndarray:
-    """What linear interpolation puts after each sample of the old rate; the last is held."""
-    out = even.copy()
-    out[:-1] = even[:-1].astype(np.int32) + even[1:] >> 1
-    return out
-
-
-def to_planes(pcm: np.ndarray) -> bytes:
-    """Resampled PCM for storage: the samples of the old rate, then the others less their interpolation; lossless, and compresses well."""
-    even = np.ascontiguousarray(pcm[::2])
-    return even.tobytes() + (pcm[1::2] - _between(even)).astype("<i2").tobytes()
-
-
-def from_planes(stored: bytes | memoryview) -> np.ndarray:
-    """The resampled PCM again, 16-bit little-endian."""
-    even, rest = np.frombuffer(stored, dtype="<i2").reshape(2, -1)
-    out = np.empty(2 * len(even), dtype="<i2")
-    out[::2], out[1::2] = even, rest + _between(even)
+    out[::2], out[1::2] = pcm, pcm
+    out[1:-1:2] = pcm[:-1].astype(np.int32) + pcm[1:] >> 1
     return out
 
 
@@ -193,7 +173,7 @@ def _feature(name: str, twice: np.ndarray) -> str:
 
 
 def stored_pcm(media: DataFrame) -> DataFrame:
-    """Digests of each file as read, its resampled PCM (as ``to_planes`` stores it) with its rate, and ``others``: features of its data as A-law and ADPCM."""
+    """Digests of each file as read, its resampled PCM (16-bit samples, little-endian) with its rate, and ``others``: features of its data as A-law and ADPCM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -214,7 +194,7 @@ def stored_pcm(media: DataFrame) -> DataFrame:
                     own = adpcm[at : at + len(x) // BLOCK].ravel()
                     at += len(x) // BLOCK
                     others = _feature("a", resample(ALAW[x])) + ";" + _feature("i", resample(own))
-                    pcm = to_planes(resample(own) if kind == "ima" else to_pcm(kind, p))
+                    pcm = (resample(own) if kind == "ima" else to_pcm(kind, p)).tobytes()
                 values = (i, n, f and len(p), f and hashlib.sha256(p).hexdigest(), f and zlib.crc32(p[-32:]), m and len(m), m and hashlib.sha256(m).hexdigest(), others, RESAMPLED if f else None, pcm)
                 for name, value in zip(arrow.names, values, strict=True):
                     out[name].append(value)
@@ -239,7 +219,7 @@ def media_report(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feature = [pcm.is_valid and _feature("pcm", from_planes(memoryview(pcm.as_buffer()))) + ";" + other or None for pcm, other in zip(batch.column("pcm"), batch.column("others").to_pylist(), strict=True)]
+            feature = [pcm.is_valid and _feature("pcm", np.frombuffer(pcm.as_buffer(), dtype="<i2")) + ";" + other or None for pcm, other in zip(batch.column("pcm"), batch.column("others").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DIGESTS.names), pa.array(feature, pa.string())], names=REPORT.names)
 
     return stored.select(*DIGESTS.names, "others", "pcm").mapInArrow(run, REPORT)
@@ -247,7 +227,7 @@ def media_report(stored: DataFrame) -> DataFrame:
 
 def in_shared_folder(table: DataFrame, name: str) -> DataFrame:
     """Large binary values, compressed well and in small row groups."""
-    return written(table, name, **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"})
+    return written(table, name, **{"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.block.size": str(16 << 20), "parquet.page.size": str(4 << 20), "parquet.enable.dictionary": "false"})
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
