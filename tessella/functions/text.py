@@ -126,7 +126,14 @@ def joins_sentence(before: Column, after: Column) -> Column:
 def complete_boundaries(parts: Column) -> Column:
     """Parts in order as one text: a space where a sentence goes on, else a blank line; blank parts are left out."""
     own = F.filter(F.transform(parts, trim_all), lambda p: p != "")
-    return F.when(F.size(own) == 0, "").otherwise(F.aggregate(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), own[0], lambda out, p: F.concat(out, F.when(joins_sentence(out, p), " ").otherwise("\n\n"), p)))
+
+    # Only neighbours matter: each part but the first gets its joiner, and all are joined once.
+    def joined(own: Column) -> Column:
+        rest = F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))
+        before = F.slice(own, F.lit(1), F.size(rest))
+        return F.array_join(F.concat(F.slice(own, 1, 1), F.zip_with(before, rest, lambda b, p: F.concat(F.when(joins_sentence(b, p), " ").otherwise("\n\n"), p))), "")
+
+    return once(own, joined)
 
 
 def assemble(parts: Column) -> Column:
@@ -206,15 +213,14 @@ def reverse_words(text: Column) -> Column:
 
 def preserve_line_breaks(original: Column, translated: Column) -> Column:
     """Words of the translation dealt into the original's lines by their word counts; what is over is dropped."""
-    words = F.split(translated, rf"{SPACE}+")
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(0).alias("at"))
+    lines = F.transform(F.split(original, "\n"), word_count)
+    # The fold handles numbers alone; words are cut once a line.
+    ends = once(lines, lambda n: F.aggregate(n, F.struct(F.array().cast("array<int>").alias("e"), F.lit(0).alias("at")), lambda a, x: F.struct(F.array_append(a["e"], a["at"] + x).alias("e"), (a["at"] + x).alias("at")))["e"])
 
-    def deal(acc: Column, line: Column) -> Column:
-        n = word_count(line)
-        own = F.array_join(F.slice(words, acc["at"] + 1, n), " ")
-        return F.struct(F.array_append(acc["lines"], own).alias("lines"), (acc["at"] + n).alias("at"))
+    def deal(words: Column) -> Column:
+        return once(F.struct(lines.alias("n"), ends.alias("e")), lambda m: F.array_join(F.zip_with(m["n"], m["e"], lambda n, e: F.array_join(F.slice(words, e - n + 1, n), " ")), "\n"))
 
-    return F.array_join(F.aggregate(F.split(original, "\n"), start, deal)["lines"], "\n")
+    return once(F.split(translated, rf"{SPACE}+"), deal)
 
 
 def _any_word(words: Sequence[str]) -> str:

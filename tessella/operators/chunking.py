@@ -6,14 +6,12 @@ split into (piece, words, separator) first, so the fold only compares numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import SPACE, sentences, trim_all, word_count
+from tessella.operators import scan
 
 _UNIT = "array<struct<s:string,w:int>>"
 
@@ -111,26 +109,23 @@ def chunk_pages(words: Column, most: int = 2000) -> Column:
     return F.aggregate(words, start, step, lambda acc: F.when(acc["first"] < acc["at"], F.array_append(acc["done"], F.struct(acc["first"].alias("first"), (acc["at"] - 1).alias("last")))).otherwise(acc["done"]))
 
 
-def ranges_of_pages(pages: DataFrame, most: int = 2000) -> DataFrame:
-    """(source, range_idx, first, last): ``chunk_pages`` over whole tables (source, page, words), read as a sorted stream, so a source may have any number of pages."""
-    ordered = pages.select("source", "page", "words").repartition("source").sortWithinPartitions("source", "page")
+def ranges_of_pages(pages: DataFrame, most: int = 2000, width: int = scan.INDEXES) -> DataFrame:
+    """(source, range_idx, first, last): ``chunk_pages`` over whole tables (source, page, words), by parallel scans over ``width`` page numbers each, so a source may have any number of pages.
+
+    The fold's state is the number of words of the open range, and that is at most one more than ``most``.
+    """
+    bucket = scan.bucket_of(F.col("page"), width)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, n, first, last, words = None, 0, None, None, 0
-        for rows in batches:
-            out = []
-            for s, page, w in zip(rows.source.tolist(), rows.page.tolist(), rows.words.tolist(), strict=True):
-                if first is not None and (s != source or words + w > most):
-                    out.append((source, n, first, last))
-                    n, first, words = n + 1, None, 0
-                if s != source:
-                    source, n = s, 0
-                first, last, words = page if first is None else first, page, words + w
-            yield pd.DataFrame(out, columns=["source", "range_idx", "first", "last"])
-        if first is not None:
-            yield pd.DataFrame([(source, n, first, last)], columns=["source", "range_idx", "first", "last"])
+    def add(states: np.ndarray, n: int) -> np.ndarray:
+        # 0: no page yet; 1 + words of the open range.
+        closes = (states == 0) | (states - 1 + n > most)
+        return np.minimum(np.where(closes, n, states - 1 + n), most + 1) + 1
 
-    return ordered.mapInPandas(run, "source string, range_idx int, first long, last long")
+    own = pages.select("source", "page", F.least("words", F.lit(most + 1)).cast("long").alias("words"))
+    packed = scan.folded(own, ["source"], bucket, ["page"], "words", most + 3, add)
+    opens = ((F.col("before") == 0) | (F.col("before") - 1 + F.col("words") > most)).cast("long")
+    ranged = scan.running(packed, ["source"], bucket, ["page"], range_idx=opens)
+    return ranged.groupBy("source", (F.col("range_idx") - 1).cast("int").alias("range_idx")).agg(F.min("page").alias("first"), F.max("page").alias("last"))
 
 
 def plan_batches(pages: Column, size: int = 50) -> Column:
@@ -150,10 +145,13 @@ def safe_pair_tokens(a: Column, b: Column, separator: int = 60, overhead: int =
     return F.ceil(F.ceil((a + F.lit(separator) + b + F.lit(overhead)) / 4) * 12 / 10)
 
 
-def neighbour_pairs(jobs: DataFrame, most: int = 6000) -> DataFrame:
-    """Each chunk with the next of its project and language, and whether both fit one request."""
-    order = W.partitionBy("project_id", "lang").orderBy("chunk_index")
-    both = jobs.select("project_id", "lang", "chunk_index", "n_chars", F.lead("chunk_index").over(order).alias("next_index"), F.lead("n_chars").over(order).alias("next_chars"))
+def neighbour_pairs(jobs: DataFrame, most: int = 6000, width: int = scan.INDEXES) -> DataFrame:
+    """Each claimable chunk with the next of its project and language, if that is claimable too, and whether both fit one request.
+
+    Where there is a status, the pending ones are claimable.
+    """
+    open_ = jobs.where("status = 'pending'") if "status" in jobs.columns else jobs
+    both = scan.neighbour(open_.select("project_id", "lang", "chunk_index", "n_chars"), ["project_id", "lang"], scan.bucket_of(F.col("chunk_index"), width), ["chunk_index"], {"next_index": "chunk_index", "next_chars": "n_chars"}, ahead=True)
     both = both.where(F.col("next_index") == F.col("chunk_index") + 1).withColumn("tokens", safe_pair_tokens(F.col("n_chars"), F.col("next_chars")))
     return both.withColumn("fits", F.col("tokens") <= most)
 

@@ -13,11 +13,14 @@ from datetime import UTC, datetime
 from heapq import heappop, heappush
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators import scan
+
 RATE, WINDOW_MS, DAILY = 10, 60_000, 1_200
 TTL_MS, MOST_ATTEMPTS, WORKERS = 180_000, 10, 2
 PACIFIC = ZoneInfo("America/Los_Angeles")
@@ -74,13 +77,25 @@ def admitted(requests: DataFrame, cap: int = RATE, window_ms: int = WINDOW_MS, d
     return ordered.mapInPandas(run, "project_id long, event_id long, verdict string")
 
 
-def streak_429(events: DataFrame) -> DataFrame:
-    """Consecutive 429s up to each event of kind http429, reset by an ok; and the worker limit after it."""
-    order = W.partitionBy("project_id").orderBy("ts_ms", "event_id")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    signals = events.where(F.col("kind").isin("ok", "http429")).withColumn("island", F.sum((F.col("kind") == "ok").cast("int")).over(upto))
-    inside = W.partitionBy("project_id", "island").orderBy("ts_ms", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return signals.where("kind = 'http429'").withColumn("streak", F.count(F.lit(1)).over(inside)).drop("island")
+def streak_429(events: DataFrame, workers: int = WORKERS, width_ms: int = scan.TIMES) -> DataFrame:
+    """Consecutive 429s up to each event of kind http429, reset by an ok (``streak``), and the worker limit after it (``workers``).
+
+    One worker fewer from the third on, half as many from the fourth on, one at least; an ok gives none back.
+    Both are parallel scans over buckets of ``width_ms``, as one project may have most of the log.
+    """
+    key, order = ["project_id"], ["ts_ms", "event_id"]
+    bucket = scan.bucket_of(F.col("ts_ms"), width_ms)
+    signals = scan.running(events.where(F.col("kind").isin("ok", "http429")), key, bucket, order, island=(F.col("kind") == "ok").cast("long"))
+    refused = scan.numbered(signals.where("kind = 'http429'"), ["project_id", "island"], bucket, order, "streak")
+
+    def fewer(limits: np.ndarray, streak: int) -> np.ndarray:
+        if streak >= 3:
+            limits = np.maximum(1, limits - 1)
+        if streak >= 4:
+            limits = np.maximum(1, limits // 2)
+        return limits
+
+    return scan.folded(refused.drop("island"), key, bucket, order, "streak", workers + 1, fewer, workers).drop("before").withColumnRenamed("after", "workers")
 
 
 def accepted_stages(events: DataFrame) -> DataFrame:

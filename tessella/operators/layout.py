@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import round_half_up, trim_all, word_count
+from tessella.operators import scan
 
 LINE = "doc_id, page"
 
@@ -153,18 +154,21 @@ def page_distribution(paragraphs: Column, page_words: Column) -> Column:
     return _deal(paragraphs, F.transform(weights, lambda w: F.floor(w / total * words).cast("double")), 0.0)
 
 
-def slice_words(pages: DataFrame, texts: DataFrame) -> DataFrame:
+def slice_words(pages: DataFrame, texts: DataFrame, width: int = scan.INDEXES) -> DataFrame:
     """(doc_id, page, text): a translation's words dealt to pages by rounded shares of the originals' words.
 
-    ``pages`` has doc_id, page, words; ``texts`` doc_id, text.  The last page takes what is left.
+    ``pages`` has doc_id, page, words; ``texts`` doc_id, text.  The last page takes what is left.  Pages travel
+    without words; a text meets the list of its pages once.
     """
-    every, upto = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, 0)
-    share = pages.withColumn("total", F.greatest(F.sum("words").over(every), F.lit(1))).join(texts.select("doc_id", F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "").alias("w")), "doc_id")
-    n = F.size("w")
-    share = share.withColumn("take", round_half_up(F.col("words") / F.col("total") * n))
-    share = share.withColumn("end", F.when(F.col("page") == F.max("page").over(every), n).otherwise(F.least(F.sum("take").over(upto), n)).cast("int"))
-    share = share.withColumn("start", F.coalesce(F.lag("end").over(every.orderBy("page")), F.lit(0)))
-    return share.select("doc_id", "page", F.array_join(F.slice("w", F.col("start") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0))), " ").alias("text"))
+    totals = pages.groupBy("doc_id").agg(F.greatest(F.sum("words"), F.lit(1)).alias("total"), F.max("page").alias("last"))
+    words = texts.select("doc_id", F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "").alias("w"))
+    share = pages.select("doc_id", "page", "words").join(totals, "doc_id").join(words.select("doc_id", F.size("w").alias("n")), "doc_id")
+    share = share.withColumn("take", round_half_up(F.col("words") / F.col("total") * F.col("n")).cast("long"))
+    share = scan.running(share, ["doc_id"], scan.bucket_of(F.col("page"), width), ["page"], upto=F.col("take"))
+    end = F.when(F.col("page") == F.col("last"), F.col("n")).otherwise(F.least("upto", "n")).cast("int")
+    ranges = share.groupBy("doc_id").agg(F.collect_list(F.struct("page", F.least(F.col("upto") - F.col("take"), F.col("n")).cast("int").alias("start"), end.alias("end"))).alias("ranges"))
+    cut = words.join(ranges, "doc_id").select("doc_id", F.inline(F.transform("ranges", lambda r: F.struct(r["page"].alias("page"), F.array_join(F.slice("w", r["start"] + 1, F.greatest(r["end"] - r["start"], F.lit(0))), " ").alias("text")))))
+    return cut.select("doc_id", "page", "text")
 
 
 def wrapped(text: str, width: float, measure: Callable[[str], float]) -> list[str]:

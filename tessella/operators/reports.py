@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import round_half_up
+from tessella.operators import scan
 
 STATUSES = ["pending", "claimed", "retry_wait", "done", "failed", "needs_review"]
 OPEN = ["pending", "claimed", "retry_wait", "needs_review"]
@@ -150,12 +151,12 @@ def merged_text(chunks: DataFrame) -> DataFrame:
     return done.select("project_id", "lang", F.array_join(F.col("c.text"), "\n\n").alias("text"), F.size("c").alias("chunks"))
 
 
-def previous_tail(chunks: DataFrame, sentences: int = 2) -> DataFrame:
-    """Each chunk with the last sentences of the one before it, if that is done."""
-    order = W.partitionBy("project_id", "lang").orderBy("chunk_index")
+def previous_tail(chunks: DataFrame, sentences: int = 2, width: int = scan.INDEXES) -> DataFrame:
+    """Each chunk with the last sentences of the one before it, if that is done; a project and language may have any number of chunks."""
     tail = F.array_join(F.slice(F.split("text", r"(?<=[.!?])[ \t\n]+"), -sentences, sentences), " ")
     short = F.when(F.size(F.split("text", r"(?<=[.!?])[ \t\n]+")) < sentences, F.col("text")).otherwise(tail)
-    return chunks.withColumn("_tail", F.when(F.col("status") == "done", short)).withColumn("context", F.lag("_tail").over(order)).drop("_tail")
+    tails = chunks.withColumn("_tail", F.when(F.col("status") == "done", short))
+    return scan.neighbour(tails, ["project_id", "lang"], scan.bucket_of(F.col("chunk_index"), width), ["chunk_index"], {"context": "_tail"}).drop("_tail")
 
 
 def durations(jobs: DataFrame) -> DataFrame:

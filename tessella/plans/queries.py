@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.functions import text as T
-from tessella.operators import chunking, jobs, layout, quality, reports
+from tessella.operators import chunking, jobs, layout, quality, reports, scan
 from tessella.plans import bindings as B
 from tessella.sources import documents, exports
 
@@ -258,11 +258,14 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.explode(chunking.shrink_batch(F.lit(1), n, n)).alias("r")).select("doc_id", "r.first", "r.last")
 
 
-@query("neighbor_pairs", f"""
-WITH {B.CHUNKS}, n AS (SELECT project_id, lang, chunk_index, n_chars, lead(chunk_index) OVER w AS next_index, lead(n_chars) OVER w AS next_chars FROM chunks WINDOW w AS (PARTITION BY project_id, lang ORDER BY chunk_index))
+@query("neighbor_pairs", """
+WITH placed AS (SELECT source AS project_id, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS chunk_index, length(text) AS n_chars, doc_id % 6 <> 5 AS claimable FROM documents),
+n AS (SELECT *, lead(chunk_index) OVER w AS next_index, lead(n_chars) OVER w AS next_chars FROM placed WHERE claimable WINDOW w AS (PARTITION BY project_id, lang ORDER BY chunk_index))
 SELECT project_id, lang, chunk_index, next_index, n_chars, next_chars, CAST(ceil(ceil((n_chars + 60 + next_chars + 800) / 4.0) * 12 / 10.0) AS BIGINT) AS tokens, CAST(ceil(ceil((n_chars + 60 + next_chars + 800) / 4.0) * 12 / 10.0) AS BIGINT) <= 6000 AS fits FROM n WHERE next_index = chunk_index + 1""")
 def _(spark, d):
-    return chunking.neighbour_pairs(B.chunks(spark, d))
+    placed = scan.numbered(B.chunks(spark, d), ["project_id", "lang"], scan.bucket_of(F.col("chunk_index"), scan.INDEXES), ["chunk_index"], "place")
+    claimable = placed.withColumn("status", F.when(F.col("status") == "done", "pending").otherwise("claimed")).withColumn("chunk_index", F.col("place") - 1)
+    return chunking.neighbour_pairs(claimable)
 
 
 @query("backoff", f"WITH {B.JOBS} SELECT chunk_index, CAST(greatest(least(120000, 2000 * pow(2, least(chunk_index % 20, 16))), chunk_index % 150000) AS BIGINT) AS ms FROM jobs")
@@ -418,10 +421,11 @@ def _(spark, d):
     return reports.completion_gate(B.jobs(spark, d), declared)
 
 
-@query("all_terminal", f"WITH {B.JOBS}, {B.PROJECTS} SELECT project_id FROM projects WHERE status = 'complete' AND project_id NOT IN (SELECT project_id FROM jobs WHERE status IN ('pending', 'claimed', 'retry_wait', 'needs_review'))")
+@query("all_terminal", f"WITH {B.JOBS}, {B.PROJECTS} SELECT project_id FROM projects WHERE status = 'complete' AND project_id NOT IN (SELECT project_id FROM jobs WHERE status IN ('pending', 'claimed', 'retry_wait', 'needs_review') AND chunk_index % 5 = 0)")
 def _(spark, d):
     p = B.projects(spark, d).select("project_id", F.coalesce("status", F.lit("open")).alias("status"))
-    return reports.all_terminal(B.jobs(spark, d), p)
+    settled = F.when(F.col("chunk_index") % 5 == 0, F.col("status")).otherwise("done")
+    return reports.all_terminal(B.jobs(spark, d).withColumn("status", settled), p)
 
 
 @query("batch_summary", f"WITH {B.JOBS} SELECT project_id, lang, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed, coalesce(string_agg(chunk_index || '-' || (chunk_index + 9), ', ' ORDER BY chunk_index) FILTER (status = 'failed'), '') AS failed_ranges FROM jobs GROUP BY project_id, lang")
@@ -584,10 +588,14 @@ def _(spark, d):
     return jobs.admitted(B.requests(spark, d), daily=2).groupBy("project_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("streak_429", f"WITH {B.REQUESTS}, k AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY ts_ms, event_id) AS g FROM requests WHERE event_type IN ('purchase', 'click')) SELECT event_id, count(*) OVER (PARTITION BY project_id, g ORDER BY ts_ms, event_id) AS streak FROM k WHERE event_type = 'click'")
+@query("streak_429", f"""
+WITH {B.REQUESTS}, k AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY ts_ms, event_id) AS g FROM requests WHERE event_type IN ('purchase', 'click')),
+s AS (SELECT project_id, ts_ms, event_id, count(*) OVER (PARTITION BY project_id, g ORDER BY ts_ms, event_id) AS streak FROM k WHERE event_type = 'click')
+SELECT event_id, streak, CAST(CASE WHEN max(streak) OVER (PARTITION BY project_id ORDER BY ts_ms, event_id) >= 3 THEN 1 ELSE 2 END AS BIGINT) AS workers FROM s""")
 def _(spark, d):
     kind = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "click", "http429").otherwise("other")
-    return jobs.streak_429(B.requests(spark, d).withColumn("kind", kind)).select("event_id", "streak")
+    events = B.requests(spark, d).select("project_id", "event_id", "ts_ms", kind.alias("kind"))
+    return jobs.streak_429(events).select("event_id", "streak", "workers")
 
 
 @query("pacific_day", "SELECT event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS day FROM events")
