@@ -17,6 +17,7 @@ from tessella.functions import rules
 from tessella.functions.text import (
     SPACE, detect_explicit, has_artifacts, latin_words, looks_like_echo, once, profanities, qa_word_count, regexp_total, round_half_up, trim_all, word_count,
 )
+from tessella.operators.terms import glossary, tagged, with_hits
 
 
 def ratio_status(matched: Column, present: Column) -> Column:
@@ -31,35 +32,20 @@ def fuzzy_hit(output: Column, target: Column) -> Column:
     return F.contains(low, form) | ((F.length(form) >= 3) & F.contains(low, cut))
 
 
-def whole_word(text: Column, word: Column, ignore_case: bool = True) -> Column:
-    return F.contains(F.lower(text), F.lower(word)) & F.rlike(text, F.concat(F.lit(r"(?i)\b\Q" if ignore_case else r"\b\Q"), word, F.lit(r"\E\b")))
+def met_terms(hits: Column, output: Column, exact: bool = False) -> tuple[Column, Column]:
+    """(present, matched): how many hits there are, and of how many the output has the form; an exact one letter by letter, and the name itself where there is no form."""
+    good = F.filter(hits, lambda h: F.contains(output, F.coalesce(h["form"], h["term"])) if exact else F.coalesce(fuzzy_hit(output, h["form"]), F.lit(False)))
+    return F.size(hits).cast("long"), F.size(good).cast("long")
 
 
-#: What a word boundary parts: runs of these begin and end where ``\\b`` holds.
-TOKEN = "[A-Za-z0-9_]+"
+def term_hits(pairs: DataFrame, terms: DataFrame, exact: bool = False) -> DataFrame:
+    """(unit_id, present, matched, status) of each row of pairs: glossary terms (lang, source, target) in the source, and those whose form the output has.
 
-
-def with_terms(texts: DataFrame, terms: DataFrame, column: str, key: str) -> DataFrame:
-    """``texts`` joined with the terms (lang, term, form) that occur in ``column`` as whole words.
-
-    Both sides meet by language and the term's first word, whatever the
-    glossary's size, so no text meets every term; the optimizer broadcasts a
-    small glossary.  A term without such a word meets all texts of its language.
-    Words travel with the text's ``key`` alone; texts that met a term are joined again.
+    A glossary of more than ``terms.MOST`` rows needs units that occur once; with a smaller one each row has its own counts.
     """
-    first = F.lower(F.regexp_extract("term", TOKEN, 0))
-    own = F.array_append(F.array_distinct(F.transform(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)), F.lower)), F.lit(""))
-    words = texts.select(key, "lang", F.explode(own).alias("_word"))
-    met = words.join(terms.withColumn("_word", first), ["lang", "_word"]).drop("_word")
-    return texts.join(met, [key, "lang"]).where(whole_word(F.col(column), F.col("term")))
-
-
-def term_hits(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(unit_id, present, matched, status) of each pair: glossary terms (lang, source, target) in the source, and those whose form the output has."""
-    hits = with_terms(pairs, terms.select("lang", F.col("source").alias("term"), F.col("target").alias("form")), "source", "unit_id")
-    counts = hits.groupBy("unit_id").agg(F.count(F.lit(1)).alias("present"), F.count_if(fuzzy_hit(F.col("output"), F.col("form"))).alias("matched"))
-    out = pairs.select("unit_id").join(counts, "unit_id", "left").select("unit_id", F.coalesce("present", F.lit(0)).cast("long").alias("present"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
-    return out.withColumn("status", ratio_status(F.col("matched"), F.col("present")))
+    found = with_hits(pairs, glossary(**{"exact_t" if exact else "t": terms}), "source", ["unit_id"])
+    present, matched = met_terms(F.col("hits"), F.col("output"), exact)
+    return found.select("unit_id", present.alias("present"), matched.alias("matched")).withColumn("status", ratio_status(F.col("matched"), F.col("present")))
 
 
 def literal_bridge(source_words: Column, output_words: Column) -> Column:
@@ -133,15 +119,17 @@ def phase_checks(pairs: DataFrame, terms: DataFrame, names: DataFrame | None = N
 
     The tables of terms, names, core terms, ranks and term memory have lang,
     source and target; a null target is a term that the language has no form
-    for, which counts as present and never as matched.  Without a table its phase passes.
+    for, which counts as present and never as matched; a name without a form stands for itself.  Names are
+    compared with their case, whole; the other tables are not.  Without a table its phase passes.
     """
-    base = pairs.select("unit_id", "lang", "source", "output", latin_words(F.col("source")).alias("sw"), latin_words(F.col("output")).alias("ow"))
-    for column, table in (("p1", terms), ("p2", names), ("p9", core), ("p15", ranks), ("p21", memory)):
-        if table is None:
-            base = base.withColumn(column, F.lit("pass"))
-        else:
-            found = term_hits(pairs, table).select("unit_id", (F.col("status") if column != "p21" else F.when(F.col("matched") == F.col("present"), "pass").otherwise("warn")).alias(column))
-            base = base.join(found, "unit_id")
+    tables = {"p1": terms, "exact_p2": names, "p9": core, "p15": ranks, "p21": memory}
+    base = pairs.select("unit_id", "lang", "source", "output")
+    given = {n.removeprefix("exact_"): n.startswith("exact_") for n, t in tables.items() if t is not None}
+    # One pass over each source finds the terms of all tables.
+    base = with_hits(base, glossary(**tables), "source", ["unit_id"]) if given else base
+    counts = {n: met_terms(tagged(F.col("hits"), n), F.col("output"), exact) for n, exact in given.items()}
+    status_of = {n: ratio_status(m, p) if n != "p21" else F.when(m == p, "pass").otherwise("warn") for n, (p, m) in counts.items()}
+    base = base.select("unit_id", "lang", "source", "output", latin_words(F.col("source")).alias("sw"), latin_words(F.col("output")).alias("ow"), *(status_of.get(n, F.lit("pass")).alias(n) for n in ("p1", "p2", "p9", "p15", "p21")))
     s, o, lang, warn = F.col("source"), F.col("output"), F.col("lang"), lambda bad: F.when(bad, "warn").otherwise("pass")
     issues = script_issues(F.col("ow"), o, lang)
     status = {
@@ -325,8 +313,9 @@ def visible_memory(hits: DataFrame) -> DataFrame:
 
 def locked_terms(docs: DataFrame, terms: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Terms of the glossary that occur in texts and whose form differs, once a language and lower-cased source; the last wins."""
-    changed = terms.where(F.col("source") != F.col("target")).select("lang", F.col("source").alias("term"), F.col("target").alias("form"))
-    hits = with_terms(docs.select(F.col(id_col).alias("_id"), "lang", F.col(text_col).alias("_text")), changed, "_text", "_id")
+    changed = glossary(t=terms.where(F.col("source") != F.col("target")))
+    found = with_hits(docs.select(id_col, "lang", F.col(text_col).alias("_text")), changed, "_text", [id_col])
+    hits = found.select("lang", F.explode("hits").alias("h")).select("lang", "h.term", "h.form")
     return hits.groupBy("lang", F.lower("term").alias("key")).agg(F.max(F.struct("form", "term")).alias("t"), F.count(F.lit(1)).alias("texts")).select("lang", F.col("t.term").alias("source"), F.col("t.form").alias("target"), "texts")
 
 
