@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
-from heapq import heappop, heappush
+from typing import Any
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -24,7 +24,10 @@ from tessella.operators import scan
 RATE, WINDOW_MS, DAILY = 10, 60_000, 1_200
 TTL_MS, MOST_ATTEMPTS, WORKERS = 180_000, 10, 2
 PACIFIC = ZoneInfo("America/Los_Angeles")
-EVENTS = "project_id long, event_id long, ts_ms long, kind string, lang string, chunk_index int, token string, retry_after_ms long"
+#: Failed pairs of a chunk after which its language is not paired again, and tokens of a pair's request.
+TRIPS, PAIR_TOKENS = 2, 6_000
+#: ``n_chars`` is the size of an enqueued text, or of the text that resolves a review (null or 0: back to the queue).
+EVENTS = "project_id long, event_id long, ts_ms long, kind string, lang string, chunk_index int, token string, retry_after_ms long, n_chars long"
 
 
 def pacific_date(ts: Column) -> Column:
@@ -132,13 +135,37 @@ class Job:
     attempts: int = 0
     reclaimed: int = 0
     due: int = 0
+    n_chars: int = 0
+    pair_failures: int = 0
+    #: Whether a reply has been asked for again with the strict prompt.
+    retried: bool = False
+
+    def lapse(self, ts: int) -> None:
+        """A lease without a heartbeat for three minutes ends; a retry that is due is pending again."""
+        if self.status == "claimed" and ts - self.beat >= TTL_MS:
+            self.status, self.token, self.reclaimed = "pending", None, self.reclaimed + 1
+        elif self.status == "retry_wait" and self.due <= ts:
+            self.status = "pending"
+
+    def deadline(self) -> int | None:
+        """When the job lapses if nothing happens before."""
+        return self.beat + TTL_MS if self.status == "claimed" else self.due if self.status == "retry_wait" else None
+
+
+def pair_tokens(a: int, b: int, separator: int = 60, overhead: int = 800) -> int:
+    """Tokens of two texts in one request, as ``chunking.safe_pair_tokens`` counts them."""
+    return -(-(-(-(a + separator + b + overhead) // 4)) * 12 // 10)
 
 
 @dataclass
 class Queue:
-    """One project's state: its jobs, ring of accepted requests, day counter, 429 streak and worker limit."""
+    """One project's state: its jobs (by language and index), ring of accepted requests, day counter, 429 streak, worker limit and languages that are not paired.
 
-    jobs: dict = field(default_factory=dict)
+    ``jobs`` is a dict or anything with get, put and items; a job lapses when it is looked at, so no event
+    looks at jobs that it does not name, but for a cancellation.
+    """
+
+    jobs: Any = field(default_factory=lambda: Jobs())
     ring: list = field(default_factory=list)
     day: str = ""
     today: int = 0
@@ -146,27 +173,63 @@ class Queue:
     workers: int = WORKERS
     stale: int = 0
     refused: int = 0
-    #: (time, key) at which a lease may end or a retry may be due; entries that a job has outlived are skipped.
-    deadlines: list = field(default_factory=list)
+    tripped: list = field(default_factory=list)
+    last: int = 0
 
-    def step(self, kind: str, ts: int, key: tuple, token: str | None, retry_after: int | None) -> None:
-        self.expire(ts)
-        job = self.jobs.get(key)
+    def step(self, kind: str, ts: int, key: tuple, token: str | None, retry_after: int | None, n_chars: int | None = None) -> None:
+        self.last = max(self.last, ts)
+        job = self.job(key, ts)
         if kind == "enqueue":
-            self.jobs.setdefault(key, Job())
-        elif kind == "claim" and job and job.status == "pending":
-            if self.admit(ts):
-                job.status, job.token, job.beat = "claimed", token, ts
-                heappush(self.deadlines, (ts + TTL_MS, key))
-            else:
-                self.refused += 1
-        elif kind in ("heartbeat", "ok", "fail", "http429") and job and (job.status != "claimed" or job.token != token):
-            self.stale += 1  # a worker that lost its lease
-        elif kind == "heartbeat" and job:
+            if job is None:
+                self.jobs.put(key, Job(n_chars=n_chars or 0))
+        elif kind in ("claim", "claim_pair"):
+            self.claim(ts, key, job, token, kind == "claim_pair")
+        elif kind == "release":
+            if self.ring:
+                self.ring.pop()
+                self.today = max(0, self.today - 1)
+        elif kind == "cancel":
+            for _, j in self.jobs.items():
+                j.lapse(ts)
+                if j.status not in ("done", "failed"):
+                    j.status = "cancelled"
+        elif kind == "resolve":
+            # By hand: with a text the chunk is done, without one it starts afresh.
+            if job and job.status == "needs_review":
+                job.status, job.retried = ("done", job.retried) if n_chars else ("pending", False)
+        elif job is None:
+            pass
+        elif job.status != "claimed" or job.token != token:
+            self.stale += 1  # a worker that lost its lease, or a late reply to a chunk that has been resolved
+        else:
+            self.reply(kind, ts, key, job, token, retry_after)
+
+    def job(self, key: tuple, ts: int) -> Job | None:
+        job = self.jobs.get(key)
+        if job:
+            job.lapse(ts)
+        return job
+
+    def claim(self, ts: int, key: tuple, job: Job | None, token: str | None, pair: bool) -> None:
+        """Lease a chunk, or with the next one if that is pending, its language may be paired, and both fit one request."""
+        if not job or job.status != "pending":
+            return
+        if not self.admit(ts):
+            self.refused += 1
+            return
+        other = self.job((key[0], key[1] + 1), ts) if pair and key[0] not in self.tripped else None
+        if other and (other.status != "pending" or pair_tokens(job.n_chars, other.n_chars) > PAIR_TOKENS):
+            other = None
+        for j in (job, other):
+            if j:
+                j.status, j.token, j.beat = "claimed", token, ts
+
+    def reply(self, kind: str, ts: int, key: tuple, job: Job, token: str | None, retry_after: int | None) -> None:
+        if kind == "heartbeat":
             job.beat = ts
-        elif kind == "ok" and job:
+        elif kind == "ok":
             job.status, self.streak = "done", 0
-        elif kind in ("fail", "http429") and job:
+        elif kind in ("fail", "http429"):
             job.attempts += 1
             if kind == "http429":
                 self.streak += 1
@@ -176,28 +239,19 @@ class Queue:
                     self.workers = max(1, self.workers // 2)
             delay = max(min(120_000, 2_000 * 2 ** min(job.attempts - 1, 16)), int(retry_after or 0))
             job.status, job.due = ("failed", 0) if job.attempts >= MOST_ATTEMPTS else ("retry_wait", ts + delay)
-            if job.due:
-                heappush(self.deadlines, (job.due, key))
-        elif kind == "release" and self.ring:
-            self.ring.pop()
-            self.today = max(0, self.today - 1)
-        elif kind == "cancel":
-            for j in self.jobs.values():
-                if j.status not in ("done", "failed"):
-                    j.status = "cancelled"
-
-    def expire(self, ts: int) -> None:
-        """Leases without a heartbeat for three minutes end; retries that are due are pending again."""
-        while self.deadlines and self.deadlines[0][0] <= ts:
-            _, key = heappop(self.deadlines)
-            j = self.jobs[key]
-            if j.status == "claimed" and ts - j.beat >= TTL_MS:
-                j.status, j.token, j.reclaimed = "pending", None, j.reclaimed + 1
-            elif j.status == "claimed":
-                # A heartbeat has put the end off.
-                heappush(self.deadlines, (j.beat + TTL_MS, key))
-            elif j.status == "retry_wait" and j.due <= ts:
-                j.status = "pending"
+        elif kind == "pair_split":
+            # One unit of work is two again; the first one counts the failures.
+            job.pair_failures += 1
+            other = self.job((key[0], key[1] + 1), ts)
+            for j in (job, other if other and other.status == "claimed" and other.token == token else None):
+                if j:
+                    j.status, j.token = "pending", None
+            if job.pair_failures >= TRIPS and key[0] not in self.tripped:
+                self.tripped = sorted([*self.tripped, key[0]])
+        elif kind == "contract_retry":
+            job.retried = True
+        elif kind == "review":
+            job.status, job.token = "needs_review", None
 
     def admit(self, ts: int) -> bool:
         day = datetime.fromtimestamp(ts / 1000, UTC).astimezone(PACIFIC).date().isoformat()
@@ -211,32 +265,63 @@ class Queue:
         return True
 
 
-STATE = "project_id long, lang string, chunk_index int, status string, attempts int, reclaimed int, workers int, stale int, refused int"
+class Jobs(dict):
+    """Jobs of a project in memory."""
+
+    def put(self, key: tuple, job: Job) -> None:
+        self[key] = job
+
+
+#: Rows of jobs, and one row a project (of no language) with what all its jobs share; a stream counts a row's versions.
+STATE = "project_id long, lang string, chunk_index int, status string, attempts int, reclaimed int, pair_failures int, retried boolean, workers int, stale int, refused int, tripped array<string>, version long"
+COLUMNS = [f.split()[0] for f in STATE.split(", ")]
+
+
+def job_row(project: int, key: tuple, j: Job, version: int | None = None) -> tuple:
+    return (project, *key, j.status, j.attempts, j.reclaimed, j.pair_failures, j.retried, None, None, None, None, version)
+
 
+def project_row(project: int, q: Queue, version: int | None = None) -> tuple:
+    return (project, None, None, None, None, None, None, None, q.workers, q.stale, q.refused, list(q.tripped), version)
 
-def state_rows(project: int, q: Queue) -> pd.DataFrame:
-    rows = [(project, lang, index, j.status, j.attempts, j.reclaimed, q.workers, q.stale, q.refused) for (lang, index), j in sorted(q.jobs.items())]
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in STATE.split(", ")])
 
+def as_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int64" for c in ("chunk_index", "attempts", "reclaimed", "pair_failures", "workers", "stale", "refused", "version")} | {"retried": "boolean"})
 
-def fold_jobs(events: DataFrame) -> DataFrame:
-    """Final state of every job from the log of events (``EVENTS``).
 
-    A project's log is read as a sorted stream; its state is as large as its number of jobs.
+def take(q: Queue, rows: pd.DataFrame) -> None:
+    """Step through ordered events."""
+    number = lambda x: None if pd.isna(x) else int(x)
+    for r in rows.itertuples(index=False):
+        q.step(r.kind, int(r.ts_ms), (r.lang, number(r.chunk_index)), r.token, number(r.retry_after_ms), number(r.n_chars))
+
+
+def fold_jobs(events: DataFrame, as_of: int | None = None) -> DataFrame:
+    """Final state (``STATE``) of every job, and of every project, from the log of events (``EVENTS``).
+
+    Leases and retries are judged at ``as_of``, or at the project's last event.  A project's log is read as a
+    sorted stream; its state is as large as its number of jobs.
     """
-    ordered = events.select(*(f.split()[0] for f in EVENTS.split(", "))).repartition("project_id").sortWithinPartitions("project_id", "ts_ms", "event_id")
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+    ordered = events.select(*names).repartition("project_id").sortWithinPartitions("project_id", "ts_ms", "event_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         project, q = None, Queue()
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                if project is not None and r.project_id != project:
-                    yield state_rows(project, q)
+
+        def rows() -> pd.DataFrame:
+            for j in q.jobs.values():
+                j.lapse(q.last if as_of is None else as_of)
+            return as_frame([*(job_row(project, key, j) for key, j in sorted(q.jobs.items())), project_row(project, q)])
+
+        for batch in batches:
+            for own, part in batch.groupby("project_id", sort=False):
+                if project is not None and own != project:
+                    yield rows()
                     q = Queue()
-                project = r.project_id
-                q.step(r.kind, int(r.ts_ms), (r.lang, int(r.chunk_index)), r.token, None if pd.isna(r.retry_after_ms) else int(r.retry_after_ms))
+                project = own
+                take(q, part)
         if project is not None:
-            yield state_rows(project, q)
+            yield rows()
 
     return ordered.mapInPandas(run, STATE)
 

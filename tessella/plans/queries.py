@@ -614,14 +614,32 @@ def _(spark, d):
 
 
 def queue_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a queue's log: each job is enqueued, claimed and then answered for."""
-    kind = F.element_at(F.array(*map(F.lit, ["enqueue", "claim", "heartbeat", "ok", "fail", "http429", "claim"])), (F.col("event_id") % 7 + 1).cast("int"))
-    return B.requests(spark, d).select("project_id", "event_id", "ts_ms", kind.alias("kind"), F.lit("de").alias("lang"), (F.col("event_id") % 5).cast("int").alias("chunk_index"), F.lit("t").alias("token"), F.lit(None).cast("long").alias("retry_after_ms"))
+    """Events as a queue's log: jobs are enqueued, claimed alone or in pairs, and answered for."""
+    kinds = ["enqueue", "claim_pair", "pair_split", "claim_pair", "heartbeat", "http429", "claim", "ok", "fail", "contract_retry", "review", "resolve"]
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.xxhash64("event_id"), F.lit(len(kinds))) + 1).cast("int"))
+    e = F.col("event_id")
+    return B.requests(spark, d).select(
+        "project_id", "event_id", "ts_ms", F.when(e % 3 == 0, "enqueue").otherwise(kind).alias("kind"), F.element_at(F.array(*map(F.lit, B.LANGS)), (e % 2 + 1).cast("int")).alias("lang"), (F.floor(e / 2) % 3).cast("int").alias("chunk_index"),
+        F.lit("t").alias("token"), F.lit(None).cast("long").alias("retry_after_ms"), (e % 9_000).alias("n_chars"),
+    )
 
 
 @query("job_fold")
 def _(spark, d):
-    return jobs.fold_jobs(queue_events(spark, d))
+    return jobs.fold_jobs(queue_events(spark, d)).where("lang IS NOT NULL").select("project_id", "lang", "chunk_index", "status", "attempts", "reclaimed", "pair_failures", "retried")
+
+
+@query("queue_projects")
+def _(spark, d):
+    """Worker limit, refusals, late replies and languages that are not paired, of each project."""
+    return jobs.fold_jobs(queue_events(spark, d)).where("lang IS NULL").select("project_id", "workers", "stale", "refused", F.array_join("tripped", ",").alias("tripped"))
+
+
+@query("unpaired_languages")
+def _(spark, d):
+    """The union of the tripped sets of all projects, with how many have each language in it."""
+    found = jobs.fold_jobs(queue_events(spark, d)).where("lang IS NULL")
+    return found.select("project_id", F.explode("tripped").alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("projects"))
 
 
 # Pages.
