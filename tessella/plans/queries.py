@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.functions import text as T
-from tessella.operators import chunking, jobs, layout, quality, reports, scan
+from tessella.operators import batches, chunking, jobs, layout, quality, reports, scan
 from tessella.plans import bindings as B
 from tessella.sources import documents, exports
 
@@ -642,6 +642,21 @@ def _(spark, d):
     return found.select("project_id", F.explode("tripped").alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("projects"))
 
 
+def batch_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a log of page batches: each user's first event plans a document, the others claim ranges and answer for them."""
+    kinds = ["claim", "claim", "claim", "done", "fail", "heartbeat"]
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.xxhash64("event_id"), F.lit(len(kinds))) + 1).cast("int"))
+    log = B.requests(spark, d).select("project_id", F.lit("de").alias("lang"), "event_id", "ts_ms", kind.alias("kind"), F.element_at(F.array(*map(F.lit, [1, 26, 51, 76, 101, 126])), (e % 6 + 1).cast("int")).cast("long").alias("first"))
+    plans = log.groupBy("project_id", "lang").agg(F.min("ts_ms").alias("ts_ms")).select("project_id", "lang", F.lit(-1).cast("long").alias("event_id"), "ts_ms", F.lit("plan").alias("kind"), (F.col("project_id") % 300 + 1).alias("first"))
+    return log.union(plans)
+
+
+@query("batch_ranges")
+def _(spark, d):
+    return batches.fold_batches(batch_events(spark, d)).drop("version")
+
+
 # Pages.
 
 
