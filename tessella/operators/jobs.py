@@ -347,13 +347,27 @@ def retry_due(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where((F.col("status") == "retry_wait") & (F.coalesce("next_retry_at", F.lit(0)) <= now))
 
 
-def watchdog_counters(jobs: DataFrame, now: Column) -> DataFrame:
-    """What one sweep would do: leases reclaimed, retries promoted, jobs open, projects seen."""
+def watchdog_counters(jobs: DataFrame, now: Column, batches: DataFrame | None = None, dispatchers: DataFrame | None = None) -> DataFrame:
+    """What one sweep would do, in one row: leases reclaimed, retries promoted, jobs open, projects seen; page ranges recovered; dispatchers revived, in either mode, and projects that any of it touches.
+
+    ``batches`` has project_id, status, heartbeat_at; ``dispatchers`` project_id, mode and lease_at (null: none).
+    """
     beat = F.col("heartbeat_at")
-    return jobs.agg(
-        F.count_if((F.col("status") == "claimed") & (beat.isNull() | (now - beat >= TTL_MS))).alias("reclaimed"), F.count_if((F.col("status") == "retry_wait") & (F.coalesce("next_retry_at", F.lit(0)) <= now)).alias("promoted"),
-        F.count_if(F.col("status").isin("pending", "claimed", "retry_wait", "needs_review")).alias("open"), F.count_distinct("project_id").alias("projects"),
+    lost = F.col("heartbeat_at").isNull() | (now - beat >= TTL_MS)
+    due = (F.col("status") == "retry_wait") & (F.coalesce("next_retry_at", F.lit(0)) <= now)
+    reclaimed = (F.col("status") == "claimed") & lost
+    out = jobs.agg(
+        F.count_if(reclaimed).alias("reclaimed"), F.count_if(due).alias("promoted"), F.count_if(F.col("status").isin("pending", "claimed", "retry_wait", "needs_review")).alias("open"), F.count_distinct("project_id").alias("projects"),
     )
+    touched = jobs.where(reclaimed | due).select("project_id")
+    if batches is not None:
+        stuck = batches.where((F.col("status") == "running") & lost)
+        out, touched = out.join(stuck.agg(F.count(F.lit(1)).alias("batches"))), touched.union(stuck.select("project_id"))
+    if dispatchers is not None:
+        silent = dispatchers.where(F.col("lease_at").isNull() | (now - F.col("lease_at") >= 2 * TTL_MS)).join(jobs.where(F.col("status").isin("pending", "claimed", "retry_wait")).select("project_id").distinct(), "project_id", "left_semi")
+        out = out.join(silent.agg(F.count_if(F.col("mode") == "adaptive").alias("revived"), F.count_if(F.col("mode") == "legacy").alias("legacy_revived")))
+        touched = touched.union(silent.select("project_id"))
+    return out if batches is None and dispatchers is None else out.join(touched.agg(F.count_distinct("project_id").alias("touched")))
 
 
 def lease_action(status: Column, paused_until: Column, day: Column, today: Column, lease_at: Column, now: Column, ttl_ms: int = 2 * TTL_MS) -> Column:

@@ -145,6 +145,22 @@ def import_edges(files: DataFrame) -> DataFrame:
     return wanted.join(names, F.regexp_extract("spec", r"([^/]+?)(?:\.[a-z]+)?$", 1) == F.col("name")).select("path", "target").distinct()
 
 
+def flow_phase(status: Column, translations: Column, latest: Column) -> Column:
+    """What a user sees of a project: idle, translating or all-complete; without one, by the latest project's status."""
+    done = lambda s: s.isin("all_translated", "complete")
+    own = F.when(done(status), "all-complete").when(status.isin("translating", "parsing") | ((status == "cancelled") & (F.coalesce(translations, F.lit(0)) > 0)), "translating").otherwise("idle")
+    return F.when(status.isNotNull(), own).when(done(latest), "all-complete").when(latest == "translating", "translating").otherwise("idle")
+
+
+def path_order(files: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``files`` (group, path) with ``group_place`` and ``place`` in the group, both from 1: groups in a fixed order, then others by name; paths as a reader of any language sorts them (Unicode collation)."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, groups)), F.col("group")), F.lit(0)), F.lit(len(groups) + 1))
+    names = files.select("group").distinct().withColumn("_rank", rank)
+    placed = names.select(F.col("group").alias("_group"), F.row_number().over(W.orderBy("_rank", F.collate("group", "UNICODE"), "group")).alias("group_place"))
+    own = W.partitionBy("group").orderBy(F.collate("path", "UNICODE"), "path")
+    return files.withColumn("place", F.row_number().over(own)).join(placed, F.col("group").eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def merged_text(chunks: DataFrame) -> DataFrame:
     """Done chunks of each (project, lang) as one text, in order."""
     done = chunks.where("status = 'done'").groupBy("project_id", "lang").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("c"))

@@ -775,9 +775,41 @@ def _(spark, d):
     return reports.key_check(B.jobs(spark, d), reports.KEY)
 
 
-@query("watchdog_counters", f"WITH {B.JOBS} SELECT count(*) FILTER (status = 'claimed' AND (heartbeat_at IS NULL OR {B.NOW} - heartbeat_at >= 180000)) AS reclaimed, count(*) FILTER (status = 'retry_wait' AND coalesce(next_retry_at, 0) <= {B.NOW}) AS promoted, count(*) FILTER (status IN ('pending', 'claimed', 'retry_wait', 'needs_review')) AS open, count(DISTINCT project_id) AS projects FROM jobs")
-def _(spark, d):
-    return jobs.watchdog_counters(B.jobs(spark, d), F.lit(B.NOW))
+@query("watchdog_counters", f"""
+WITH {B.JOBS}, s AS (SELECT *, status = 'claimed' AND (heartbeat_at IS NULL OR {B.NOW} - heartbeat_at >= 180000) AS lost, status = 'retry_wait' AND coalesce(next_retry_at, 0) <= {B.NOW} AS due FROM jobs),
+stuck AS (SELECT project_id FROM s WHERE lost AND chunk_index % 2 = 0), silent AS (SELECT c_custkey AS project_id, c_custkey % 4 = 1 AS legacy FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey IN (SELECT project_id FROM jobs WHERE status IN ('pending', 'claimed', 'retry_wait')))
+SELECT count(*) FILTER (lost) AS reclaimed, count(*) FILTER (due) AS promoted, count(*) FILTER (status IN ('pending', 'claimed', 'retry_wait', 'needs_review')) AS open, count(DISTINCT project_id) AS projects,
+  (SELECT count(*) FROM stuck) AS batches, (SELECT count(*) FILTER (NOT legacy) FROM silent) AS revived, (SELECT count(*) FILTER (legacy) FROM silent) AS legacy_revived,
+  (SELECT count(DISTINCT project_id) FROM (SELECT project_id FROM s WHERE lost OR due UNION ALL SELECT project_id FROM stuck UNION ALL SELECT project_id FROM silent)) AS touched FROM s""")
+def _(spark, d):
+    """Claimed jobs of even index stand for page ranges that run too; every third project has a dispatcher at work, every fourth an old one."""
+    j, key = B.jobs(spark, d), F.col("project_id")
+    ranges = j.where("status = 'claimed' AND chunk_index % 2 = 0").select("project_id", F.lit("running").alias("status"), "heartbeat_at")
+    dispatchers = B.projects(spark, d).select("project_id", F.when(key % 4 == 1, "legacy").otherwise("adaptive").alias("mode"), F.when(key % 3 == 0, B.NOW).alias("lease_at"))
+    return jobs.watchdog_counters(j, F.lit(B.NOW), ranges, dispatchers)
+
+
+@query("flow_phases", f"""
+WITH {B.JOBS}, {B.PROJECTS}, t AS (SELECT project_id, count(DISTINCT lang) AS n FROM jobs GROUP BY project_id), p AS (
+  SELECT project_id, CASE WHEN status IS NULL AND project_id % 2 = 0 THEN NULL WHEN project_id % 7 = 0 THEN 'cancelled' WHEN project_id % 11 = 0 THEN 'parsing' ELSE coalesce(status, 'ready') END AS status, CASE WHEN project_id % 4 = 0 THEN 'complete' WHEN project_id % 3 = 0 THEN 'translating' ELSE 'ready' END AS latest FROM projects)
+SELECT project_id, CASE WHEN status IS NULL THEN CASE latest WHEN 'complete' THEN 'all-complete' WHEN 'translating' THEN 'translating' ELSE 'idle' END WHEN status = 'complete' THEN 'all-complete' WHEN status IN ('translating', 'parsing') OR (status = 'cancelled' AND coalesce(n, 0) > 0) THEN 'translating' ELSE 'idle' END AS phase
+FROM p LEFT JOIN t USING (project_id)""")
+def _(spark, d):
+    key, status = F.col("project_id"), F.col("status")
+    own = F.when(status.isNull() & (key % 2 == 0), F.lit(None).cast("string")).when(key % 7 == 0, "cancelled").when(key % 11 == 0, "parsing").otherwise(F.coalesce(status, F.lit("ready")))
+    p = B.projects(spark, d).select("project_id", own.alias("status"), F.when(key % 4 == 0, "complete").when(key % 3 == 0, "translating").otherwise("ready").alias("latest"))
+    n = B.jobs(spark, d).groupBy("project_id").agg(F.count_distinct("lang").alias("n"))
+    return p.join(n, "project_id", "left").select("project_id", reports.flow_phase(F.col("status"), F.col("n"), F.col("latest")).alias("phase"))
+
+
+@query("path_order", """
+WITH f AS (SELECT p_brand AS "group", CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE lower(p_name) END || '#' || p_partkey AS path FROM part),
+g AS (SELECT "group", row_number() OVER (ORDER BY CASE "group" WHEN 'Brand#3' THEN 1 WHEN 'Brand#1' THEN 2 ELSE 3 END, "group") AS group_place FROM (SELECT DISTINCT "group" FROM f))
+SELECT "group", path, row_number() OVER (PARTITION BY "group" ORDER BY lower(path), path DESC) AS place, group_place FROM f JOIN g USING ("group")""")
+def _(spark, d):
+    p = documents.load(spark, d, "part")
+    files = p.select(F.col("p_brand").alias("group"), F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.lower("p_name")), F.lit("#"), F.col("p_partkey").cast("string")).alias("path"))
+    return reports.path_order(files, ["Brand#3", "Brand#1"])
 
 
 @query("ms_to_pacific_midnight", "WITH l AS (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS t FROM events) SELECT event_id, CAST(greatest(86400000 - (hour(t) * 3600 + minute(t) * 60 + second(t)) * 1000, 60000) AS BIGINT) AS ms FROM l")

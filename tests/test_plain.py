@@ -21,12 +21,9 @@ from tests.test_queue_stream import plain_fold
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the sample tables are not here")
 SPACE = r"[ \t\n\x0B\f\r]"
-#: Checked here; the rest of the queries without SQL are checked in the tests of their operators.
-CHECKED = set()
 
 
 def rows_of(spark, name):
-    CHECKED.add(name)
     return queries.queries()[name](spark, DATA).collect()
 
 
@@ -354,6 +351,8 @@ def test_layout(spark):
     for r in sorted(rows_of(spark, "page_lines"), key=lambda r: r.line_idx):
         got[r.doc_id, r.page].append(r.text)
     assert got == {k: [x[0] for x in v] for k, v in lines.items() if v}
+    gaps = {k: round(g, 9) for k, v in lines.items() if (g := plain_gap(v)) is not None}
+    assert {(r.doc_id, r.page): round(r.line_gap, 9) for r in rows_of(spark, "modal_gap")} == gaps
     blocks = {k: plain_blocks(v) for k, v in lines.items() if v}
     assert {(r.doc_id, r.page): (r.blocks, r.lines) for r in rows_of(spark, "page_blocks")} == {k: (len(v), sum(map(len, v))) for k, v in blocks.items()}
     bands = Counter()
@@ -366,3 +365,44 @@ def test_layout(spark):
         fits[doc] += map(plain_fit, own)
     got = {r.doc_id: (r.blocks, round(r.min_size, 6), r.dropped) for r in rows_of(spark, "fitted_blocks")}
     assert got == {d: (len(f), round(min(s for s, _ in f), 6), sum(n for _, n in f)) for d, f in fits.items()}
+
+
+def test_language_report(spark, docs):
+    groups = defaultdict(list)
+    for d in docs:
+        t, rule = d["text"], rules.BY_LANG[d["lang"]]
+        plain = re.sub("[‎‏]", "", t)
+        script = len(re.findall(f"[{rule[6]}]", plain)) / max(1, len(plain))
+        lines = t.split("\n")
+        groups[d["lang"], d["source"]].append((len(plain_chunks(t, 2_500, "job")), len(words(t)), script, len(lines), len(set(lines)), max(0, 100 - 20 * len(plain_language(d["lang"], t, t)))))
+    got = {(r.lang, r.source): r for r in rows_of(spark, "language_qa_report")}
+    assert got.keys() == groups.keys()
+    for k, own in groups.items():
+        chunks, n, script, lines, different, scores = zip(*own, strict=True)
+        r = got[k]
+        assert (r.documents, r.chunks, r.words) == (len(own), sum(chunks), sum(n))
+        assert (r.passed, r.warned, r.failed) == (sum(s == 100 for s in scores), sum(60 <= s < 100 for s in scores), sum(s < 60 for s in scores))
+        assert abs(r.script_ratio - sum(script) / len(own)) < 2e-6 and abs(r.duplicate_line_rate - (1 - sum(different) / sum(lines))) < 2e-6 and abs(r.mean_score - sum(scores) / len(own)) < 2e-4
+
+
+def test_page_shares(spark, docs):
+    wanted = {}
+    for d in docs:
+        own = [len(words(p)) for p in d["text"].split("\n")]
+        at = 0
+        for k, share in enumerate((30, 50, 20)):
+            target, start, n = math.floor(share / 100 * sum(own)), at, 0
+            while at < len(own) and (k == 2 or n + own[at] <= target):
+                n, at = n + own[at], at + 1
+                if k < 2 and n >= target:
+                    break
+            wanted[d["doc_id"], k] = at - start
+    assert {(r.doc_id, r.page): r.paragraphs for r in rows_of(spark, "page_shares")} == wanted
+
+
+def test_localized_texts(spark, docs):
+    chunks = sum(len(plain_chunks(d["text"], 200, "job")) for d in docs)
+    got = {(r.lang, r.status): (r.chunks, r.score) for r in rows_of(spark, "localized_texts")}
+    assert {k: n for k, (n, _) in got.items()} == {("fr", "done"): chunks, ("ru", "done"): chunks}
+    # Latin letters fail a Russian text's script and language checks, and never a French one's.
+    assert got["ru", "done"][1] < got["fr", "done"][1] <= 100 * chunks
