@@ -8,6 +8,7 @@ never gathered.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,10 +69,19 @@ BLOCK = "doc_id long, page int, block_idx int, text string, x double, y double,
 
 def cluster_blocks(lines: DataFrame) -> DataFrame:
     """Paragraph blocks of each page, top first; a break needs the block's first line, so a page's lines are folded in order, from a sorted stream."""
-    ready = lines.join(modal_gaps(lines), ["doc_id", "page"], "left").repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line_idx")
+    ready = lines.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line_idx")
+
+    def modal_gap(rows: list) -> float:
+        """What ``modal_gaps`` gives for the page, or 0."""
+        buckets: dict[int, list[float]] = {}
+        for above, below in zip(rows, rows[1:], strict=False):
+            if 0.5 < (gap := above.y - below.y) < 200:
+                buckets.setdefault(floor(gap / 2 + 0.5), []).append(gap)
+        best = max(buckets.items(), key=lambda b: (len(b[1]), -b[1][0], -b[0]), default=(0, [0.0]))[1]
+        return sum(best) / len(best)
 
     def fold(rows: list) -> list[tuple]:
-        gap = rows[0].line_gap
+        gap = modal_gap(rows)
         blocks, held = [], []
 
         def flush() -> None:
@@ -83,7 +93,7 @@ def cluster_blocks(lines: DataFrame) -> DataFrame:
 
         for r in rows:
             if held:
-                far = gap == gap and gap > 0 and held[-1].y - r.y > 1.5 * gap
+                far = gap > 0 and held[-1].y - r.y > 1.5 * gap
                 if far or abs(r.x - held[0].x) > 2 or abs(r.font_size - held[-1].font_size) / max(held[-1].font_size, 1) > 0.15:
                     flush()
                     held = []
