@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from math import floor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -206,22 +207,70 @@ def constant_width(share: float = 0.5) -> Callable[[str, float], float]:
     return lambda text, size: len(text) * size * share
 
 
-def fit_blocks(blocks: DataFrame, metric: Callable[[str, float], float] | None = None, leading: float = 1.3) -> DataFrame:
-    """(doc_id, page, block_idx, size, lines, dropped): text shrunk by steps of 5 per cent, at least to 6 points, until it fits its box."""
-    measure = metric or constant_width()
+#: Units of an em, in which advances are given, and the advance of a character that a table does not have.
+EM, ADVANCE = 1_000, 500
+
+
+class Paragraphs:
+    """A text's words with running sums of their characters' advances, for wrapping at any width."""
+
+    def __init__(self, text: str, advances: dict[str, int] | None = None, other: int = ADVANCE) -> None:
+        self.parts = []
+        for paragraph in text.split("\n"):
+            own = " ".join(paragraph.split())
+            wide = np.fromiter((advances.get(c, other) for c in own), np.int64, count=len(own)) if advances else np.full(len(own), other, np.int64)
+            gaps = np.flatnonzero(np.fromiter((c == " " for c in own), bool, count=len(own)))
+            self.parts.append((own, np.concatenate([[0], np.cumsum(wide)]), np.concatenate([gaps, [len(own)]])))
+
+    def lines(self, most: float) -> list[tuple[int, int, int]]:
+        """(paragraph, start, end) of lines of at most ``most`` units: greedy by words, a wider word by characters; one binary search a line."""
+        out = []
+        for k, (own, sums, ends) in enumerate(self.parts):
+            start = 0
+            while True:
+                last = int(np.searchsorted(sums[ends], sums[start] + most, "right")) - 1
+                if last >= 0 and ends[last] > start:
+                    end, after = int(ends[last]), int(ends[last]) + 1
+                else:
+                    word = int(ends[np.searchsorted(ends, start, "right")]) if start < len(own) else 0
+                    end = min(word, max(start + 1, int(np.searchsorted(sums, sums[start] + most, "right")) - 1))
+                    after = end + (end == word)
+                out.append((k, start, end))
+                start = after
+                if start >= len(own):
+                    break
+        return out
+
+    def text_of(self, line: tuple[int, int, int]) -> str:
+        return self.parts[line[0]][0][line[1] : line[2]]
+
+
+def fit_blocks(blocks: DataFrame, metric: Callable[[str, float], float] | None = None, leading: float = 1.3, advances: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, page, block_idx, size, lines, dropped): text shrunk by steps of 5 per cent, at least to 6 points, until it fits its box.
+
+    Widths come from ``advances``, a font's table of characters in thousandths of an em (without one every
+    character is half an em wide), or from ``metric``, a function of a text and a size, for shaped scripts.
+    """
+
+    def measured(text: str, width: float) -> tuple[Callable[[float], list], Callable[[list], list[str]]]:
+        if metric:
+            return lambda size: wrapped(text, width, lambda t: metric(t, size)), lambda lines: lines
+        own = Paragraphs(text, advances)
+        return lambda size: own.lines(width * EM / size), lambda lines: [own.text_of(x) for x in lines]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for r in rows.itertuples(index=False):
                 size = min(max(r.font_size, 6.0), 16.0)
+                wrap, texts = measured(r.text or "", r.width)
                 for _ in range(24):
-                    lines = wrapped(r.text or "", r.width, lambda t, s=size: measure(t, s))
+                    lines = wrap(size)
                     if len(lines) * size * leading <= r.height or size <= 6:
                         break
                     size = max(6.0, size * 0.95)
                 room = max(1, int(r.height // (size * leading)))
-                out.append((r.doc_id, r.page, r.block_idx, size, lines[:room], max(0, len(lines) - room)))
+                out.append((r.doc_id, r.page, r.block_idx, size, texts(lines[:room]), max(0, len(lines) - room)))
             yield pd.DataFrame(out, columns=["doc_id", "page", "block_idx", "size", "lines", "dropped"])
 
     return blocks.select("doc_id", "page", "block_idx", "text", "width", "height", "font_size").mapInPandas(run, "doc_id long, page int, block_idx int, size double, lines array<string>, dropped int")

@@ -101,3 +101,18 @@ def test_localize_merges_in_order_and_isolates_failures(spark):
     checked, merged = localize(docs, ["fr"], translator, most=2)
     assert {r.project_id: r.text for r in merged.collect()} == {1: "ONE TWO.\n\nTHREE FOUR.\n\nFIVE SIX."}
     assert checked.where("status = 'failed'").count() == 1
+
+
+def test_wrapping_by_advances_equals_plain_wrapping(spark):
+    rng = random.Random(9)
+    advances = {"a": 250, "b": 900, "W": 1_700, " ": 333, "é": 0}
+    width = lambda t: sum(advances.get(c, 500) for c in t)
+    for _ in range(3_000):
+        text = "".join(rng.choice("aabbWéx   \n") for _ in range(rng.randint(0, 40)))
+        most = rng.choice([100, 500, 1_700, 2_600, 4_000, 9_999.5])
+        own = layout.Paragraphs(text, advances)
+        assert [own.text_of(x) for x in own.lines(most)] == layout.wrapped(text, most, width), (text, most)
+    blocks = [(1, 1, k, "".join(rng.choice("abW x\n") for _ in range(rng.randint(1, 90))), float(rng.randint(20, 200)), float(rng.randint(5, 80)), 12.0) for k in range(60)]
+    df = spark.createDataFrame(blocks, "doc_id long, page int, block_idx int, text string, width double, height double, font_size double")
+    by_metric = layout.fit_blocks(df, lambda t, size: width(t) * size / 1_000).collect()
+    assert sorted(map(tuple, by_metric)) == sorted(map(tuple, layout.fit_blocks(df, advances=advances).collect()))
