@@ -27,8 +27,16 @@ from tessella.llm import hyperminhash, packing, pii, suffix_dedup, toxicity
 from tessella.llm._shared import written
 
 ORACLE_SQL = None
-#: Words that the packing stage's workers remember; few, as they also hold what earlier stages left.
-KEPT_WORDS = 50_000
+#: Words that a stage's workers remember, and rows of whole texts that travel to them together; few, as the
+#: same workers serve all stages and hold on to what each has needed.
+KEPT_WORDS, TOGETHER = 50_000, 1_000
+
+
+def _few_rows(spark: SparkSession) -> None:
+    """Smaller batches of texts for Python, unless the session has a size of its own."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) == 10_000:
+        spark.conf.set(setting, str(TOGETHER))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -38,21 +46,27 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; trained on labels outside the held-out quarter."""
-    return toxicity.reject_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    _few_rows(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model.kept_words = KEPT_WORDS
+    return toxicity.reject_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest id; documents without words or id stay."""
-    return hyperminhash.keep_one(docs)
+    _few_rows(spark)
+    return hyperminhash.keep_one(docs, kept_words=KEPT_WORDS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, less passages of 100 bytes that an earlier one has."""
+    _few_rows(spark)
     return _counted(suffix_dedup.drop_repeats(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data as its kind in brackets."""
+    _few_rows(spark)
     model = pii.fit(docs)
     return _counted(docs.withColumn("text", pii.redacted(model, F.col("text"))))
 
@@ -61,6 +75,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document in sequences of permitted lengths; texts without tokens get a row with no bin."""
     import public_tokenizers
 
+    _few_rows(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, kept_words=KEPT_WORDS)
 
 

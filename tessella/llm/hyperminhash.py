@@ -44,12 +44,15 @@ MULTIPLIERS = mix64(np.arange(1, BUCKETS + 1, dtype=np.uint64) * np.uint64(0x9E3
 
 
 class _Hashes(dict):
-    """Hash of a word."""
+    """Hash of a word, remembered for some."""
+
+    def __init__(self, kept: int = CACHED_WORDS) -> None:
+        self.kept = kept
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > CACHED_WORDS:
+        if len(self) > self.kept:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -89,11 +92,11 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return np.ascontiguousarray(registers(least).T)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, kept_words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, size, digest, registers of every document; digest and registers are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known = _Hashes(kept_words)
         for batch in batches:
             ids, texts = batch.column("i"), batch.column("t")
             for a in range(0, len(ids), 500):
@@ -159,9 +162,9 @@ def similar_sets(percent: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text", kept_words: int = CACHED_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, of every document."""
-    seen = written(sketches(docs, id_col, text_col), "sketches")
+    seen = written(sketches(docs, id_col, text_col, kept_words), "sketches")
     classes = written(seen.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("registers").alias("registers")), "classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // ROWS - 1)), lambda b: F.xxhash64(b, F.col("registers").substr(b * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keys = classes.select("id", F.explode(bands).alias("g"))
@@ -174,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).hint("merge").join(known, "id")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes = _Hashes(kept_words)
         for batch in batches:
             sets = pa.array([shingles(t, hashes).astype("<u8").tobytes() for t in batch.column("t").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("n"), batch.column("id"), sets], names=["g", "n", "id", "shingles"])
@@ -187,9 +190,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, *, id_col: str = "d
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, kept_words: int = CACHED_WORDS) -> DataFrame:
     """One document of each component, with its columns as they were; rows without an id stay."""
-    lost = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_lost_id"))
+    lost = near_duplicates(docs, percent, kept_words=kept_words).where("not kept").select(F.col("doc_id").alias("_lost_id"))
     return docs.join(lost, docs["doc_id"] == lost["_lost_id"], "left_anti")
 
 

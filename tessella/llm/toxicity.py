@@ -54,6 +54,8 @@ PRIOR, LEAST_Z, LEAST_WEIGHT = 0.5, 2.8, 1.5
 DRIFT, PREFIXES = -0.25, (4, 5, 6)
 THRESHOLD = 0.3
 CACHED_WORDS = 400_000
+#: Texts whose tokens are counted before they go to Spark.
+COUNTED = 200
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -71,9 +73,11 @@ class Model:
     #: Of the logistic curve over (1, log(1 + best), passages).
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     base: float = 0.0
+    #: Words whose weights a task remembers.
+    kept_words: int = CACHED_WORDS
 
     def words(self) -> "_Words":
-        return _Words(self.weights)
+        return _Words(self.weights, self.kept_words)
 
     def level(self, score: float, n_words: int) -> float:
         return self.scale * score - self.log_k - math.log(max(1, n_words))
@@ -95,11 +99,11 @@ class Model:
 class _Words(dict):
     """Weights of words as they stand in a text, 0 for those outside the lexicon."""
 
-    def __init__(self, weights: dict[str, float]) -> None:
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], kept: int = CACHED_WORDS) -> None:
+        self.weights, self.kept = weights, kept
 
     def __missing__(self, word: str) -> float:
-        if len(self) > CACHED_WORDS:
+        if len(self) > self.kept:
             self.clear()
         get = self.weights.get
         value = self[word] = max((get(t, 0.0) for part in WORD.findall(word) for t in tokens_of(part)), default=0.0)
@@ -163,9 +167,9 @@ def token_counts(rows: DataFrame) -> DataFrame:
     """token, fold, clean, toxic: in how many texts of each class it occurs; token '' counts texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (batch.slice(a, COUNTED) for batch in batches for a in range(0, batch.num_rows, COUNTED)):
             both: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+            for text, toxic, fold in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 own = both[1 if toxic else 0]
                 own.update((t, fold) for t in {t for w in set(WORD.findall(text.lower())) for t in tokens_of(w)} | {""})
             keys = list(both[0].keys() | both[1].keys())
