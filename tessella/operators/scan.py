@@ -76,7 +76,7 @@ def neighbour(rows: DataFrame, key: Sequence[str], bucket: Column, order: Sequen
     return joined.select(*(joined[c] for c in rows.columns), *(near[n].alias(n) for n in columns))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+def parts_of(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
     """Parts of sorted rows of one key each, with whether a part begins the key."""
     last: tuple | None = None
     for rows in batches:
@@ -108,7 +108,7 @@ def folded(rows: DataFrame, key: Sequence[str], bucket: Column, order: Sequence[
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, live, held = np.arange(states), np.arange(states), None  # live[at[s]]: where state s has come to
-        for begins, part in _parts(batches, own):
+        for begins, part in parts_of(batches, own):
             if begins:
                 if held is not None:
                     yield _with(held, own, _table=[live[at].tolist()])
@@ -123,7 +123,7 @@ def folded(rows: DataFrame, key: Sequence[str], bucket: Column, order: Sequence[
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start
-        for begins, part in _parts(batches, key):
+        for begins, part in parts_of(batches, key):
             state, found = start if begins else state, []
             for table in part.column("_table"):
                 found.append(state)
@@ -132,7 +132,7 @@ def folded(rows: DataFrame, key: Sequence[str], bucket: Column, order: Sequence[
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = np.array([start])
-        for begins, part in _parts(batches, own):
+        for begins, part in parts_of(batches, own):
             if begins:
                 state = np.array([part.column("_state")[0].as_py()])
             before, after = [], []

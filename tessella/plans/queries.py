@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.functions import text as T
-from tessella.operators import batches, chunking, jobs, layout, quality, reports, scan
+from tessella.operators import batches, chunking, jobs, layout, quality, reports, scan, uploads
 from tessella.plans import bindings as B
 from tessella.sources import documents, exports
 
@@ -657,6 +657,28 @@ def _(spark, d):
     return batches.fold_batches(batch_events(spark, d)).drop("version")
 
 
+def upload_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as logs of uploads, one a user: parts arrive in any order and more than once, some uploads are aborted, and stages follow with what number they expect."""
+    e = F.col("event_id")
+    log = B.requests(spark, d).select(
+        F.col("project_id").alias("upload_id"), "event_id", "ts_ms", F.element_at(F.array(*map(F.lit, ["part", "part", "part", "part", "stage", "stage", "heartbeat", "fail"])), (F.pmod(F.xxhash64("event_id"), F.lit(8)) + 1).cast("int")).alias("kind"),
+        (e % 9).cast("int").alias("part"), F.concat(F.lit("stage-"), (e % 3).cast("string")).alias("stage"), F.when(e % 5 > 0, e % 3).cast("int").alias("expected"),
+    )
+    rare = F.when(e % 61 == 0, "abort").when(e % 67 == 0, "cancel").otherwise(F.col("kind"))
+    starts = log.groupBy("upload_id").agg(F.min("ts_ms").alias("ts_ms")).select("upload_id", F.lit(-1).cast("long").alias("event_id"), "ts_ms", F.lit("start").alias("kind"), (F.col("upload_id") % 8).cast("int").alias("part"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("int").alias("expected"))
+    return log.withColumn("kind", rare).union(starts)
+
+
+@query("received_parts")
+def _(spark, d):
+    return uploads.received_parts(upload_events(spark, d)).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("upload_states")
+def _(spark, d):
+    return uploads.upload_states(upload_events(spark, d))
+
+
 # Pages.
 
 

@@ -267,6 +267,35 @@ def test_queue_and_batches(spark):
     assert {(r.project_id, r.lang, r["first"]): (r["last"], r.status, r.attempts) for r in rows_of(spark, "batch_ranges")} == plain_batches(log)
 
 
+def test_uploads(spark):
+    logs = defaultdict(list)
+    for r in queries.upload_events(spark, DATA).collect():
+        logs[r.upload_id].append(r)
+    parts, states = {}, {}
+    for k, log in logs.items():
+        came, n, status, seq, beat = set(), 0, "uploaded", 0, None
+        for r in sorted(log, key=lambda r: (r.ts_ms, r.event_id)):
+            if r.kind == "start":
+                n = r.part
+            elif r.kind == "part":
+                came.add(r.part)
+            elif r.kind == "abort":
+                came = set()
+            elif r.kind == "stage" and r.expected == seq:
+                status, seq, beat = r.stage, seq + 1, r.ts_ms
+            elif r.kind == "fail" and status != "cancelled" and (r.expected is None or r.expected == seq):
+                status, beat = "error", r.ts_ms
+            elif r.kind == "cancel":
+                status = "cancelled"
+            elif r.kind == "heartbeat":
+                beat = r.ts_ms
+        missing = [p for p in range(1, n + 1) if p not in came]
+        parts[k], states[k] = (n, n - len(missing), ",".join(map(str, missing)), next(iter(missing), None)), (status, seq, beat)
+    assert {r.upload_id: (r.parts, r.received, r.missing, r.resume_at) for r in rows_of(spark, "received_parts")} == parts
+    assert {r.upload_id: (r.status, r.stage_seq, r.heartbeat_at) for r in rows_of(spark, "upload_states")} == states
+    assert {s for s, *_ in states.values()} >= {"error", "cancelled"} and any(p[2] for p in parts.values()) and any(p[3] is None for p in parts.values())
+
+
 def plain_lines(items):
     """Lines (text, x, y, width, height, size) of a page's items."""
     groups, last = [], None
