@@ -6,10 +6,13 @@ positions, with a gap where a piece of text ends.  A level works on every block
 itself: the lists of phrases of k words are merge-joined, one place on, with the
 lists of the words that end such phrases, which gives the lists of phrases of k + 1
 words (both ends of a frequent phrase are frequent).  The length of a list is the
-phrase's exact count in the block.  Spark sums these counts over blocks, one row a
-block and phrase, and gives the frequent ones numbers; only those numbers go back
-to the blocks, whose lists of other phrases end there.  No frequent set is ever
-sent to all tasks, and no task holds more than a block.
+phrase's exact count in the block.
+
+Spark deals these counts by a hash of the phrase into shares, one row a block and
+share, whatever its phrases; a task adds up a share, gives the frequent phrases
+numbers, and sends each block the numbers of its own.  The lists of other phrases
+end there.  So no frequent set is ever sent to all tasks, a phrase that every block
+has costs one entry a block, and no task holds more than a block or a share.
 
 A phrase's number stands for its language too, as words of different languages
 are different words.  What is left is relational: every cut of a candidate looks up
@@ -34,19 +37,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import dropped, text_or_empty, written
+from tessella.llm._shared import dropped, mix64, text_or_empty, written
 
 LEAST, LONGEST, BEST, PERCENT = 30, 4, 2_000, 80
 SCALE = 2_000_000
-#: Words of a block, bytes of a part of a text, and keys that a row carries.
-BLOCK, PART, KEYS = 1 << 21, 1 << 23, 50_000
-#: First step of the ranking: shares of a language.
-SHARES = 16
+#: Words of a block, and bytes of a part of a text.
+BLOCK, PART = 1 << 21, 1 << 23
+#: Shares of the phrases for each shuffle partition, so that tasks get several and much the same.
+SHARES = 4
+#: First step of the ranking: parts of a language.
+RANKED = 16
 #: Ends of pieces become line feeds and tabs become spaces.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _SPACE, _END = -2, -1
-LISTS = "block long, places binary, phrases binary, words binary, names binary"
 ZSTD = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+#: Rows of a level: a block's lists (no share), or its counts in one share.
+COUNTS = "block long, share int, data binary, lang string, names array<string>"
+#: Rows of a share: what goes back to a block, or frequent phrases by their words or parts, with numbers and counts.
+FOUND = "block long, share int, data binary, lang string, names array<string>, a array<long>, b array<long>, ids array<long>, f array<long>, total long"
 
 
 class _Numbers(dict):
@@ -70,43 +78,64 @@ def parts(text: str) -> Iterator[bytes]:
     yield data[start:]
 
 
-def packed(places: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value."""
+    raw = [x.tobytes() for x in arrays]
+    return np.array([len(x) for x in raw], "<i8").tobytes() + pa.compress(b"".join(raw), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<i8", count=len(kinds)).tolist()
+    raw, at, out = pa.decompress(memoryview(data)[8 * len(kinds) :], sum(sizes), "zstd", asbytes=True), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.frombuffer(raw, kind, count=size // np.dtype(kind).itemsize, offset=at))
+        at += size
+    return out
+
+
+def _gaps(places: np.ndarray) -> np.ndarray:
     """Ascending positions as gaps, which compress well."""
-    return np.diff(places, prepend=0).astype("<i4").tobytes()
+    return np.diff(places, prepend=0).astype("<i4")
 
 
-def unpacked(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, dtype="<i4"), dtype=np.int64)
+def _row(schema: str, **values: object) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([values.get(name)], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
-def word_lists(docs: DataFrame, text_col: str, lang_col: str, block: int) -> DataFrame:
-    """Rows of blocks: the positions of their words; and rows of their words' names and counts."""
+def word_lists(docs: DataFrame, text_col: str, lang_col: str, block: int, shares: int) -> DataFrame:
+    """Rows of blocks (``COUNTS``): the positions of their words; and their words' names and counts by share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import count
+        from zlib import crc32
 
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId() << 32, 0
         known: dict[str, _Numbers] = {}
         new, held, size = count(), [], 0
-        schema = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("words", pa.binary()), ("lang", pa.string()), ("names", pa.list_(pa.string())), ("numbers", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
-
-        def row(**values: object) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
 
         def flush() -> Iterator[pa.RecordBatch]:
             every = np.concatenate(held)
             every = every[every != _SPACE]
             places = np.flatnonzero(every >= 0)
             own = every[places]
-            if len(own):
-                n = np.bincount(own)
-                yield row(block=task + made, places=packed(places), words=own.astype("<i4").tobytes())
-                for lang, words in known.items():
-                    names, numbers = list(words)[2:], np.fromiter(list(words.values())[2:], np.int32)
-                    for a in range(0, len(names), KEYS):
-                        yield row(block=task + made, lang=lang, names=pa.array(names[a : a + KEYS], pa.binary()).cast(pa.string()), numbers=numbers[a : a + KEYS], n=n[numbers[a : a + KEYS]])
+            if not len(own):
+                return
+            n = np.bincount(own)
+            yield _row(COUNTS, block=task + made, data=packed(_gaps(places), own.astype("<i4")))
+            for lang, words in known.items():
+                names, numbers = list(words)[2:], np.fromiter(list(words.values())[2:], np.int32)
+                of = np.fromiter(map(crc32, names), np.int64, count=len(names)) % shares
+                order = np.argsort(of, kind="stable")
+                every_name = pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(order))
+                cuts = np.searchsorted(of[order], np.arange(shares + 1)).tolist()
+                for share, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if b > a:
+                        mine = numbers[order[a:b]]
+                        yield _row(COUNTS, block=task + made, share=share, lang=lang, names=every_name.slice(a, b - a), data=packed(mine.astype("<i4"), n[mine].astype("<i8")))
 
         for batch in batches:
             for text, lang in zip(batch.column("t"), batch.column("lang").to_pylist(), strict=True):
@@ -124,7 +153,74 @@ def word_lists(docs: DataFrame, text_col: str, lang_col: str, block: int) -> Dat
             yield from flush()
 
     rows = docs.select(text_or_empty(text_col).alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return rows.mapInArrow(run, "block long, places binary, words binary, lang string, names array<string>, numbers array<int>, n array<long>")
+    return rows.mapInArrow(run, COUNTS)
+
+
+def _sums(groups: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Exact sums of n by group number, from 0."""
+    order = np.argsort(groups, kind="stable")
+    return np.add.reduceat(n[order], np.searchsorted(groups[order], np.arange(groups.max() + 1)))
+
+
+def added_up(counts: DataFrame, least: int, first: bool) -> DataFrame:
+    """Shares (``FOUND``) of ``COUNTS``: frequent phrases with numbers, and what each block gets back; of words (``first``) also each language's total."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, base, held = None, 0, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            """Of one share, and with words of one language."""
+            nonlocal base
+            if not held:
+                return
+            lang = held[0]["lang"]
+            if first:
+                split = [unpacked(r["data"], "<i4", "<i8") for r in held]
+                encoded = pa.concat_arrays([r["names"] for r in held]).dictionary_encode()
+                n, group = np.concatenate([x[1] for x in split]), encoded.indices.to_numpy()
+            else:
+                split = [unpacked(r["data"], "<i4", "<i8", "<i8", "<i8") for r in held]
+                a, b, n = (np.concatenate([x[c] for x in split]) for c in (1, 2, 3))
+                order = np.lexsort((b, a))
+                new = np.ones(len(a), dtype=bool)
+                new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+                group = np.empty(len(a), dtype=np.int64)
+                group[order] = np.cumsum(new) - 1
+            f = _sums(group, n)
+            kept = np.flatnonzero(f >= least)
+            number = np.full(len(f), -1, dtype=np.int64)
+            number[kept] = base + np.arange(len(kept))
+            if first:
+                yield _row(FOUND, lang=lang, total=int(n.sum()))
+            if len(kept):
+                ids = (np.int64(share) << 32) + number[kept]
+                if first:
+                    yield _row(FOUND, lang=lang, names=encoded.dictionary.take(pa.array(kept)), ids=ids, f=f[kept])
+                else:
+                    firsts = order[new][kept]
+                    yield _row(FOUND, a=a[firsts], b=b[firsts], ids=ids, f=f[kept])
+                at = 0
+                for r, x in zip(held, split, strict=True):
+                    mine = number[group[at : at + len(x[0])]]
+                    at += len(x[0])
+                    if (mine >= 0).any():
+                        yield _row(FOUND, block=r["block"], share=share, data=packed(x[0][mine >= 0], mine[mine >= 0].astype("<i4")))
+            base += len(kept)
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = {c: batch.column(c)[n].as_py() for c in ("block", "share", "lang", "data")}
+                row["names"] = batch.column("names")[n].values if first else None
+                if held and (row["share"], row["lang"]) != (share, held[0]["lang"]):
+                    yield from finish()
+                    held = []
+                if row["share"] != share:
+                    share, base = row["share"], 0
+                held.append(row)
+        yield from finish()
+
+    dealt = counts.where("share IS NOT NULL").repartition("share").sortWithinPartitions("share", "lang")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def extended(places: np.ndarray, phrases: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,79 +235,76 @@ def extended(places: np.ndarray, phrases: np.ndarray, words: np.ndarray, k: int)
     return places[met], phrases[met], words[at[met]]
 
 
-def longer(lists: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
-    """Lists of phrases of k + 1 words, and rows of their keys (phrase, next word) and counts, from lists of k words and the numbers (block, own, id) of those that are frequent."""
-    no = lambda name: F.lit(None).cast("binary").alias(name)
-    state = lists.select("block", F.lit(0).alias("kind"), "places", "phrases", "words", "names", F.lit(None).cast("int").alias("own"), F.lit(None).cast("long").alias("id"))
-    back = frequent.select("block", F.lit(1).alias("kind"), *map(no, ("places", "phrases", "words", "names")), "own", "id")
-    ordered = state.union(back).repartition("block").sortWithinPartitions("block", "kind")
-    result = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("phrases", pa.binary()), ("words", pa.binary()), ("names", pa.binary()), ("numbers", pa.list_(pa.int32())), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-
-    def row(**values: object) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in result], schema=result)
+def longer(level: DataFrame, found: DataFrame, k: int, shares: int) -> DataFrame:
+    """Lists of phrases of k + 1 words (``COUNTS``), and their counts by share, from lists of k words and the numbers of those that are frequent."""
+    lists = level.where("share IS NULL").select("block", F.lit(None).cast("int").alias("share"), "data")
+    ordered = lists.union(found.where("block IS NOT NULL").select("block", "share", "data")).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, own, ids = None, (), [], []
+        block, held, back = None, b"", []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if not own:
+            if not back:
                 return
-            places, phrases, words = unpacked(held[0]), np.frombuffer(held[1], "<i4"), np.frombuffer(held[2], "<i4")
+            if k == 1:
+                gaps, words = unpacked(held, "<i4", "<i4")
+                phrases = words
+            else:
+                gaps, phrases, words, names = unpacked(held, "<i4", "<i4", "<i4", "<i8")
             number = np.full(int(phrases.max()) + 1, -1, dtype=np.int64)
-            number[np.concatenate(own)] = np.concatenate(ids)
-            names = number if held[3] is None else np.frombuffer(held[3], "<i8")
+            for share, data in back:
+                own, mine = unpacked(data, "<i4", "<i4")
+                number[own] = (np.int64(share) << 32) + mine
+            if k == 1:
+                names = number
             kept = number[phrases] >= 0
-            places, phrases, words = extended(places[kept], phrases[kept], words[kept], k)
+            places, phrases, words = extended(np.cumsum(gaps, dtype=np.int64)[kept], phrases[kept], words[kept], k)
             if not len(places):
                 return
             keys, phrases, n = np.unique(phrases.astype(np.int64) * len(names) + words, return_inverse=True, return_counts=True)
-            yield row(block=block, places=packed(places), phrases=phrases.astype("<i4").tobytes(), words=words.astype("<i4").tobytes(), names=names.astype("<i8").tobytes())
+            yield _row(COUNTS, block=block, data=packed(_gaps(places), phrases.astype("<i4"), words.astype("<i4"), names.astype("<i8")))
             a, b = number[keys // len(names)], names[keys % len(names)]
-            for at in range(0, len(keys), KEYS):
-                part = slice(at, at + KEYS)
-                yield row(block=block, numbers=np.arange(at, min(at + KEYS, len(keys)), dtype=np.int32), a=a[part], b=b[part], n=n[part])
+            of = (mix64(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(shares + 1)).tolist()
+            for share, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if end > start:
+                    own = order[start:end]
+                    yield _row(COUNTS, block=block, share=share, data=packed(own.astype("<i4"), a[own], b[own], n[own].astype("<i8")))
 
         for batch in batches:
-            blocks, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1, [len(blocks)]]).tolist()
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                if kinds[start] == 0:
+            for own, share, data in zip(*(batch.column(c).to_pylist() for c in ("block", "share", "data")), strict=True):
+                if share is None:
                     yield from finish()
-                    block, own, ids = int(blocks[start]), [], []
-                    held = tuple(batch.column(c)[start].as_py() for c in ("places", "phrases", "words", "names"))
-                elif end > start:
-                    own.append(np.asarray(batch.column("own").slice(start, end - start)))
-                    ids.append(np.asarray(batch.column("id").slice(start, end - start)))
+                    block, held, back = own, data, []
+                else:
+                    back.append((share, data))
         yield from finish()
 
-    return ordered.mapInArrow(run, "block long, places binary, phrases binary, words binary, names binary, numbers array<int>, a array<long>, b array<long>, n array<long>")
+    return ordered.mapInArrow(run, COUNTS)
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, block: int, *, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to ``longest`` words with ``least`` occurrences; and (lang, n), the words of each language."""
-    first = written(word_lists(docs, text_col, lang_col, block), "phrase-words", **ZSTD)
-    named = first.where("names IS NOT NULL")
-    totals = written(named.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n")), "phrase-totals")
-    each = named.select("block", "lang", F.inline(F.arrays_zip(F.col("names").alias("phrase"), F.col("numbers").alias("own"), "n")))
-    words = written(each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", F.lit(1).alias("k"), "f"), "phrases-1")
-    back = each.select("block", "lang", "phrase", "own").join(words.select("lang", "phrase", "id"), ["lang", "phrase"]).select("block", "own", "id")
-    lists = first.where("names IS NULL").select("block", "places", F.col("words").alias("phrases"), "words", F.lit(None).cast("binary").alias("names"))
-    found, old = [words], first
+    shares = SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = written(word_lists(docs, text_col, lang_col, block, shares), "phrase-lists-1", **ZSTD)
+    found = written(added_up(level, least, True), "phrases-1", **ZSTD)
+    totals = found.where("total IS NOT NULL").groupBy("lang").agg(F.sum("total").alias("n"))
+    words = found.where("names IS NOT NULL").select("lang", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("names").alias("phrase"), "f")))
+    every = [words.select("id", "lang", "phrase", F.lit(1).alias("k"), "f")]
     for k in range(1, longest):
-        level = written(longer(lists, back, k), f"phrase-lists-{k + 1}", **ZSTD)
-        dropped(old)
-        lists, old = level.where("numbers IS NULL").select("block", "places", "phrases", "words", "names"), level
-        each = level.where("numbers IS NOT NULL").select("block", F.inline(F.arrays_zip(F.col("numbers").alias("own"), "a", "b", "n")))
-        counts = each.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        start, last = found[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("start")), words.select(F.col("id").alias("b"), F.col("phrase").alias("last"))
-        named = counts.join(start, "a").join(last, "b").select(F.monotonically_increasing_id().alias("id"), "a", "b", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), F.lit(k + 1).alias("k"), "f")
-        found.append(written(named, f"phrases-{k + 1}"))
-        back = each.select("block", "own", "a", "b").join(found[-1].select("a", "b", "id"), ["a", "b"]).select("block", "own", "id")
-    dropped(old)
-    every = found[0].select("lang", "phrase", "k", "f")
-    for own in found[1:]:
-        every = every.union(own.select("lang", "phrase", "k", "f"))
-    return every, totals
+        after = written(longer(level, found, k, shares), f"phrase-lists-{k + 1}", **ZSTD)
+        dropped(level)
+        level, found = after, written(added_up(after, least, False), f"phrases-{k + 1}", **ZSTD)
+        counts = found.where("a IS NOT NULL").select(F.inline(F.arrays_zip("a", "b", F.col("ids").alias("id"), "f")))
+        start, last = every[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("start")), words.select(F.col("id").alias("b"), F.col("phrase").alias("last"))
+        named = counts.join(start, "a").join(last, "b").select("id", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), F.lit(k + 1).alias("k"), "f")
+        every.append(written(named, f"phrases-named-{k + 1}"))
+    dropped(level)
+    out = every[0].select("lang", "phrase", "k", "f")
+    for own in every[1:]:
+        out = out.union(own.select("lang", "phrase", "k", "f"))
+    return out, totals
 
 
 def _joined(words: Column, start: int, count: int) -> Column:
@@ -248,8 +341,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, be
     lowest = cut.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("m"))
     scored = lowest.select("lang", "phrase", "a", "m.l", "m.r", "m.score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    share = W.partitionBy("lang", "share").orderBy(*order)
-    some = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= best).drop("share")
+    share = W.partitionBy("lang", "part").orderBy(*order)
+    some = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED))).withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= best).drop("part")
     ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

@@ -603,10 +603,17 @@ def test_expectation_maximisation_beats_the_majority():
     assert shares[0] > 0.5 and abs(learned[2] - 0.2) < 0.06 and abs(learned[0] - 0.9) < 0.06
 
 
-def planted(n, seed):
-    """Texts with spans that the method should add, and decoys: (text, [(start, end)])."""
+def planted(n, seed, listed=True):
+    """Texts with spans that the method should add, and decoys: (text, [(start, end)]).  Unless ``listed``, no name is in a gazetteer."""
     rng, out = random.Random(seed), []
-    pick = lambda words: rng.choice(sorted(words)).capitalize()
+
+    def pick(words):
+        if listed or "street" in words:
+            return rng.choice(sorted(words)).capitalize()
+        while (made := "".join(rng.choice("bdgklmnrstv") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))) in pii.GIVEN | pii.FAMILY:
+            pass
+        return made.capitalize()
+
     letters = "abcdef0123456789"
     for _ in range(n):
         text, spans = sentence(6), []
@@ -634,11 +641,12 @@ def planted(n, seed):
     return out
 
 
-def test_added_spans_of_planted_data(spark):
-    cases = planted(1_500, 5)
+@pytest.mark.parametrize("listed", [True, False])
+def test_added_spans_of_planted_data(spark, listed):
+    cases = planted(1_500, 5, listed)
     model = pii.fit(spark.createDataFrame([(t,) for t, _ in cases], "text string").repartition(3))
     personal, right, added, found, wanted = model.personal(), 0, 0, 0, 0
-    for text, spans in planted(500, 6):
+    for text, spans in planted(500, 6, listed):
         base, every = pii.all_spans(text, personal)
         own = {(a, b) for a, k, b in every if (a, k, b) not in base}
         found += sum(any(x < b and y > a for x, y in own) for a, b in spans)
@@ -646,8 +654,9 @@ def test_added_spans_of_planted_data(spark):
         added += len(own)
         wanted += sum(not any(x < b and y > a for x, _, y in base) for a, b in spans)
     precision, recall = right / added, found / wanted
-    print(f"added spans: precision {precision:.3f}, recall {recall:.3f}")
-    assert precision > 0.9 and recall > 0.9
+    print(f"added spans, names {'in' if listed else 'outside'} the lists: precision {precision:.3f}, recall {recall:.3f}")
+    # Without a list a bare name looks like any two capitalised words; what has a title, a number or a key is still found.
+    assert precision > 0.9 and recall > (0.9 if listed else 0.6)
 
 
 def plain_phrases(rows, least, best):
