@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -17,11 +18,19 @@ _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) one in the warehouse, which they share too."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset (tests), one in the warehouse, which they share too; being ours, it goes when the driver's JVM ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+        found = re.sub("^file:/+", "file:///", f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(found)
+        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
     return found.rstrip("/")
 
 
