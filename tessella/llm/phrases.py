@@ -52,7 +52,7 @@ _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _SPACE, _END = -2, -1
 ZSTD = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: Rows of a level: a block's lists (no share), or its counts in one share.
-COUNTS = "block long, share int, data binary, lang string, names array<string>"
+COUNTS = "block long, share int, data binary, lang string, names binary"
 #: Rows of a share: what goes back to a block, or frequent phrases by their words or parts, with numbers and counts.
 FOUND = "block long, share int, data binary, lang string, names array<string>, a array<long>, b array<long>, ids array<long>, f array<long>, total long"
 
@@ -79,8 +79,8 @@ def parts(text: str) -> Iterator[bytes]:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed value."""
-    raw = [x.tobytes() for x in arrays]
+    """Arrays of integers in one value: bytes of the same weight go together, as most of the high ones are zero, and are compressed."""
+    raw = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
     return np.array([len(x) for x in raw], "<i8").tobytes() + pa.compress(b"".join(raw), "zstd", asbytes=True)
 
 
@@ -88,11 +88,23 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = np.frombuffer(data, "<i8", count=len(kinds)).tolist()
     raw, at, out = pa.decompress(memoryview(data)[8 * len(kinds) :], sum(sizes), "zstd", asbytes=True), 0, []
     for kind, size in zip(kinds, sizes, strict=True):
-        out.append(np.frombuffer(raw, kind, count=size // np.dtype(kind).itemsize, offset=at))
+        planes = np.frombuffer(raw, np.uint8, count=size, offset=at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
 
+def packed_names(names: list[bytes]) -> bytes:
+    """Words in one value; a line feed is in none of them."""
+    raw = b"\n".join(names)
+    return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked_names(data: bytes) -> list[bytes]:
+    size = int(np.frombuffer(data, "<i8", count=1)[0])
+    return pa.decompress(memoryview(data)[8:], size, "zstd", asbytes=True).split(b"\n")
+
+
 def _gaps(places: np.ndarray) -> np.ndarray:
     """Ascending positions as gaps, which compress well."""
     return np.diff(places, prepend=0).astype("<i4")
@@ -130,12 +142,11 @@ def word_lists(docs: DataFrame, text_col: str, lang_col: str, block: int, shares
                 names, numbers = list(words)[2:], np.fromiter(list(words.values())[2:], np.int32)
                 of = np.fromiter(map(crc32, names), np.int64, count=len(names)) % shares
                 order = np.argsort(of, kind="stable")
-                every_name = pa.array(names, pa.binary()).cast(pa.string()).take(pa.array(order))
                 cuts = np.searchsorted(of[order], np.arange(shares + 1)).tolist()
                 for share, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if b > a:
-                        mine = numbers[order[a:b]]
-                        yield _row(COUNTS, block=task + made, share=share, lang=lang, names=every_name.slice(a, b - a), data=packed(mine.astype("<i4"), n[mine].astype("<i8")))
+                        mine = numbers[order[a:b]]  # ascending, as words are numbered in the order they are kept in
+                        yield _row(COUNTS, block=task + made, share=share, lang=lang, names=packed_names([names[i] for i in order[a:b].tolist()]), data=packed(_gaps(mine), n[mine].astype("<i8")))
 
         for batch in batches:
             for text, lang in zip(batch.column("t"), batch.column("lang").to_pylist(), strict=True):
@@ -176,7 +187,7 @@ def added_up(counts: DataFrame, least: int, first: bool) -> DataFrame:
             lang = held[0]["lang"]
             if first:
                 split = [unpacked(r["data"], "<i4", "<i8") for r in held]
-                encoded = pa.concat_arrays([r["names"] for r in held]).dictionary_encode()
+                encoded = pa.concat_arrays([pa.array(unpacked_names(r["names"]), pa.binary()) for r in held]).dictionary_encode()
                 n, group = np.concatenate([x[1] for x in split]), encoded.indices.to_numpy()
             else:
                 split = [unpacked(r["data"], "<i4", "<i8", "<i8", "<i8") for r in held]
@@ -195,7 +206,7 @@ def added_up(counts: DataFrame, least: int, first: bool) -> DataFrame:
             if len(kept):
                 ids = (np.int64(share) << 32) + number[kept]
                 if first:
-                    yield _row(FOUND, lang=lang, names=encoded.dictionary.take(pa.array(kept)), ids=ids, f=f[kept])
+                    yield _row(FOUND, lang=lang, names=encoded.dictionary.take(pa.array(kept)).cast(pa.string()), ids=ids, f=f[kept])
                 else:
                     firsts = order[new][kept]
                     yield _row(FOUND, a=a[firsts], b=b[firsts], ids=ids, f=f[kept])
@@ -204,13 +215,13 @@ def added_up(counts: DataFrame, least: int, first: bool) -> DataFrame:
                     mine = number[group[at : at + len(x[0])]]
                     at += len(x[0])
                     if (mine >= 0).any():
-                        yield _row(FOUND, block=r["block"], share=share, data=packed(x[0][mine >= 0], mine[mine >= 0].astype("<i4")))
+                        own = np.cumsum(x[0], dtype=np.int64)[mine >= 0]
+                        yield _row(FOUND, block=r["block"], share=share, data=packed(_gaps(own), mine[mine >= 0].astype("<i4")))
             base += len(kept)
 
         for batch in batches:
             for n in range(batch.num_rows):
-                row = {c: batch.column(c)[n].as_py() for c in ("block", "share", "lang", "data")}
-                row["names"] = batch.column("names")[n].values if first else None
+                row = {c: batch.column(c)[n].as_py() for c in ("block", "share", "lang", "data", "names")}
                 if held and (row["share"], row["lang"]) != (share, held[0]["lang"]):
                     yield from finish()
                     held = []
@@ -254,7 +265,7 @@ def longer(level: DataFrame, found: DataFrame, k: int, shares: int) -> DataFrame
             number = np.full(int(phrases.max()) + 1, -1, dtype=np.int64)
             for share, data in back:
                 own, mine = unpacked(data, "<i4", "<i4")
-                number[own] = (np.int64(share) << 32) + mine
+                number[np.cumsum(own, dtype=np.int64)] = (np.int64(share) << 32) + mine
             if k == 1:
                 names = number
             kept = number[phrases] >= 0
@@ -270,7 +281,7 @@ def longer(level: DataFrame, found: DataFrame, k: int, shares: int) -> DataFrame
             for share, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if end > start:
                     own = order[start:end]
-                    yield _row(COUNTS, block=block, share=share, data=packed(own.astype("<i4"), a[own], b[own], n[own].astype("<i8")))
+                    yield _row(COUNTS, block=block, share=share, data=packed(_gaps(own), a[own], b[own], n[own].astype("<i8")))
 
         for batch in batches:
             for own, share, data in zip(*(batch.column(c).to_pylist() for c in ("block", "share", "data")), strict=True):
