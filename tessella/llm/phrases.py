@@ -41,8 +41,8 @@ from tessella.llm._shared import dropped, mix64, text_or_empty, written
 
 LEAST, LONGEST, BEST, PERCENT = 30, 4, 2_000, 80
 SCALE = 2_000_000
-#: Words of a block, and bytes of a part of a text.
-BLOCK, PART = 1 << 21, 1 << 23
+#: Words of a block (the more, the fewer counts leave it; a task needs some 40 bytes for each), and bytes of a part of a text.
+BLOCK, PART = 6 << 20, 1 << 23
 #: Shares of the phrases for each shuffle partition, so that tasks get several and much the same.
 SHARES = 4
 #: First step of the ranking: parts of a language.
