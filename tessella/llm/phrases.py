@@ -51,6 +51,8 @@ RANKED = 16
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _SPACE, _END = -2, -1
 ZSTD = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+#: What goes from task to task is compressed harder than Spark would.
+ZIP = pa.Codec("zstd", compression_level=6)
 #: Rows of a level: a block's lists (no share), or its counts in one share.
 COUNTS = "block long, share int, data binary, lang string, names binary"
 #: Rows of a share: what goes back to a block, or frequent phrases by their words or parts, with numbers and counts.
@@ -81,7 +83,7 @@ def parts(text: str) -> Iterator[bytes]:
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of integers in one value: bytes of the same weight go together, as most of the high ones are zero, and are compressed."""
     raw = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
-    return np.array([len(x) for x in raw], "<i8").tobytes() + pa.compress(b"".join(raw), "zstd", asbytes=True)
+    return np.array([len(x) for x in raw], "<i8").tobytes() + ZIP.compress(b"".join(raw), asbytes=True)
 
 
 def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -97,7 +99,7 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
 def packed_names(names: list[bytes]) -> bytes:
     """Words in one value; a line feed is in none of them."""
     raw = b"\n".join(names)
-    return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+    return np.array([len(raw)], "<i8").tobytes() + ZIP.compress(raw, asbytes=True)
 
 
 def unpacked_names(data: bytes) -> list[bytes]:
