@@ -41,7 +41,7 @@ def chunk_paragraphs(text: Column, most: int = 2500, separator: str = r"\n{2,}",
 
     ``variant`` "job" parts sentences at white space after their end and joins
     them by one space; "batch" keeps each sentence's own ending, quote and
-    space, and knows the Urdu full stop.
+    space, and knows the Urdu full stop; "whole" leaves a longer paragraph as it is.
     """
     source = F.coalesce(text, F.lit(""))
     if variant == "batch":
@@ -49,6 +49,8 @@ def chunk_paragraphs(text: Column, most: int = 2500, separator: str = r"\n{2,}",
     paragraphs = _units(F.filter(F.transform(F.split(source, separator), trim_all), lambda p: p != ""))
 
     def long_ones(p: Column) -> Column:
+        if variant == "whole":
+            return F.array(p["s"])
         if variant == "batch":
             ends = r"[^.!?۔。！？]+[.!?۔。！？]+[\"'»」』]?" + SPACE + r"*|[^.!?۔。！？]+$"
             return F.filter(F.transform(pack(_units(F.regexp_extract_all(p["s"], F.lit(ends), F.lit(0))), most, ""), trim_all), lambda c: c != "")
