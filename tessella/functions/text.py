@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessella.functions.rules import AVOID, EXPLICIT, LATIN_TARGETS, NAMES, RTL, SCRIPTS, per_language, rule
 
 SPACE = r"[ \t\n\r\f\x0B]"
+_BLANKS = " \t\n\r\f\x0b"
 
 
 def once(value: Column, step) -> Column:
@@ -55,6 +56,11 @@ def sentences(text: Column) -> Column:
     return F.split(text, rf"(?<=[.!?。！？]){SPACE}+")
 
 
+def holds(low: Column, *words: str) -> Column:
+    """Whether a lower-cased text has any of some literals: a cheap look before a costly pattern."""
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+
+
 #: kind, pattern and what takes its place (fixed values; the internal marker is any upper-case name in angle brackets).
 ARTIFACTS = [
     ("paragraph_label_bracketed", rf"(?i){SPACE}*[【\[]{SPACE}*Paragraph(?:{SPACE}*#?{SPACE}*[0-9]+)?{SPACE}*[】\]]{SPACE}*", "\n"),
@@ -68,10 +74,20 @@ ARTIFACTS = [
 ]
 
 
+#: What a text must hold, in lower case, for a kind's pattern to match: one literal of each group.
+_NEEDED = {
+    "paragraph_label_bracketed": [("【", "["), ("paragraph",)], "paragraph_label_plain": [("paragraph",)], "sentence_label": [("sentence",)],
+    "meta_label": [(":", "："), ("translation", "output", "translated", "result", "final")], "internal_marker": [("<<<",)],
+    "model_commentary": [("translation", "sure", "note", "explanation"), (":", "translation", "here")],
+    "numbered_cjk_bracket": [("【",)], "chunk_label": [("【", "["), ("chunk", "segment", "part")],
+}
+
+
 def filter_artifacts(text: Column) -> Column:
     """The text without artifacts, kind by kind: a kind finds what earlier ones have left."""
-    out = reduce(lambda now, a: F.regexp_replace(now, a[1], a[2]), ARTIFACTS, text)
-    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+    # A text that no kind matches as it comes is left alone by all of them.
+    out = once(text, lambda t: F.when(has_artifacts(t), reduce(lambda now, a: F.regexp_replace(now, a[1], a[2]), ARTIFACTS, t)).otherwise(t))
+    return _few_breaks(out)
 
 
 def _log_step(kind: str, pattern: str, instead: str):
@@ -96,16 +112,25 @@ def artifact_log(text: Column) -> Column:
 
 def has_artifacts(text: Column) -> Column:
     """Whether the log would hold anything: the first kind to match sees the text as it came, so that test is enough."""
-    return reduce(lambda a, b: a | b, (text.rlike(pattern) for _, pattern, _ in ARTIFACTS))
 
+    def met(low: Column, kind: str, pattern: str) -> Column:
+        return reduce(lambda a, b: a & b, (holds(low, *words) for words in _NEEDED[kind])) & text.rlike(pattern)
 
-def normalize_punctuation(text: Column, lang: Column) -> Column:
-    plain = F.regexp_replace(text, r"[‎‏]", "")
+    return once(F.lower(text), lambda low: reduce(lambda a, b: a | b, (met(low, kind, pattern) for kind, pattern, _ in ARTIFACTS)))
 
-    def build(r: tuple) -> Column:
+
+def normalize_punctuation(text: Column, lang: Column) -> Column:
+    def build(plain: Column, r: tuple) -> Column:
         return plain if r[3] else F.translate(plain, "「『」』【】〔〕。、", f"{r[1]}{r[1]}{r[2]}{r[2]}()(){r[4][0]},")
 
-    return per_language(lang, build)
+    # Texts of ASCII alone have nothing to change, and are told by their length in bytes.
+    odd = lambda t: (F.octet_length(t) > F.length(t)) & t.rlike("[「『」』【】〔〕。、]")
+    return once(without_marks(text), lambda t: F.when(odd(t), per_language(lang, lambda r: build(t, r))).otherwise(t))
+
+
+def without_marks(text: Column) -> Column:
+    """The text without marks of direction."""
+    return F.replace(F.replace(text, F.lit("\u200e"), F.lit("")), F.lit("\u200f"), F.lit(""))
 
 
 def trim_end(text: Column) -> Column:
@@ -113,7 +138,11 @@ def trim_end(text: Column) -> Column:
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
+
+
+def is_blank(text: Column) -> Column:
+    return ~text.rlike(rf"[^{SPACE[1:]}")
 
 
 def joins_sentence(before: Column, after: Column) -> Column:
@@ -140,13 +169,28 @@ def assemble(parts: Column) -> Column:
     return F.array_join(F.filter(F.transform(parts, trim_all), lambda p: p != ""), "\n\n")
 
 
+#: Patterns of remarks about the work, each with a word that it needs.
+_META = [
+    ("generate", rf"(?i)\bready{SPACE}+to{SPACE}+generate{SPACE}+(?:the{SPACE}+)?output{SPACE}*[.!:]*{SPACE}*"), ("rule", rf"(?i)\bcheck(?:ing)?{SPACE}+qa{SPACE}+rules?{SPACE}*:{SPACE}*"),
+    ("translated", rf"(?i)\boutput{SPACE}+only{SPACE}+the{SPACE}+translated{SPACE}+text{SPACE}*[.!:]*{SPACE}*"), ("translation", rf"(?im)^{SPACE}*here(?:'s|{SPACE}+is){SPACE}+(?:the{SPACE}+)?translation{SPACE}*[.!:]*{SPACE}*"),
+]
+
+
 def strip_meta(text: Column, lang: Column) -> Column:
-    out = text
-    for pattern in (rf"(?i)\bready{SPACE}+to{SPACE}+generate{SPACE}+(?:the{SPACE}+)?output{SPACE}*[.!:]*{SPACE}*", rf"(?i)\bcheck(?:ing)?{SPACE}+qa{SPACE}+rules?{SPACE}*:{SPACE}*", rf"(?i)\boutput{SPACE}+only{SPACE}+the{SPACE}+translated{SPACE}+text{SPACE}*[.!:]*{SPACE}*", rf"(?im)^{SPACE}*here(?:'s|{SPACE}+is){SPACE}+(?:the{SPACE}+)?translation{SPACE}*[.!:]*{SPACE}*"):
-        out = F.regexp_replace(out, pattern, "")
-    kept = F.array_join(F.filter(F.split(out, "\n"), lambda line: (trim_all(line) == "") | (F.length(F.regexp_replace(trim_all(line), "[^A-Za-z]", "")) * 2 < F.length(trim_all(line)))), "\n")
-    out = F.when(rule(lang, "script") == "Latin", out).otherwise(kept)
-    return trim_all(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    # The words are looked for in the text as it comes: where none is there, no pattern changes it.
+    out = once(text, lambda t: F.when(holds(F.lower(t), *(word for word, _ in _META)), reduce(lambda now, m: F.regexp_replace(now, m[1], ""), _META, t)).otherwise(t))
+
+    def foreign(line: Column) -> Column:
+        return once(trim_all(line), lambda own: (own == "") | (F.length(F.regexp_replace(own, "[^A-Za-z]+", "")) * 2 < F.length(own)))
+
+    def kept(t: Column) -> Column:
+        return F.when(rule(lang, "script") == "Latin", t).otherwise(F.array_join(F.filter(F.split(t, "\n"), foreign), "\n"))
+
+    return trim_all(_few_breaks(once(out, kept)))
+
+
+def _few_breaks(text: Column) -> Column:
+    return once(text, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t))
 
 
 def strip_code_fence(text: Column) -> Column:
@@ -169,20 +213,25 @@ MARKET_RULES = [
     ("standard", "mild", r"(?i)\bdamn\b", "blast", None), ("standard", "mild", r"(?i)\bhell\b", "heck", None), ("family", "mild", r"(?i)\b(?:damn|hell)\b", "oh", None),
     ("family", "drink", r"(?i)\b(?:wine|beer)\b", "juice", None), ("conservative", "drink", r"(?i)\b(?:wine|beer)\b", "tea", ["ar", "ur", "ks"]),
 ]
+#: A text without any of these is changed by none of the rules.
+_MARKET_WORDS = ("damn", "hell", "wine", "beer")
 
 
 def cultural_filter(text: Column, lang: Column, market: str, compat: bool = False) -> Column:
     """A market's rules in order.  ``compat`` changes nothing, as the rules never matched there."""
-    out = text
-    for name, _, pattern, instead, langs in () if compat else MARKET_RULES:
-        if name == market:
-            done = F.regexp_replace(out, pattern, instead)
-            out = done if langs is None else F.when(lang.isin(langs), done).otherwise(out)
-    return out
+    def ruled(out: Column) -> Column:
+        for name, _, pattern, instead, langs in MARKET_RULES:
+            if name == market:
+                done = F.regexp_replace(out, pattern, instead)
+                out = done if langs is None else F.when(lang.isin(langs), done).otherwise(out)
+        return out
+
+    return text if compat else once(text, lambda t: F.when(holds(F.lower(t), *_MARKET_WORDS), ruled(t)).otherwise(t))
 
 
 def format_thought(text: Column, lang: Column) -> Column:
-    return F.when(lang.isin(RTL), F.regexp_replace(text, r"\*([^*]+)\*", "【$1】")).otherwise(F.regexp_replace(text, r"\*([^*]+)\*", "「$1」"))
+    marked = F.when(lang.isin(RTL), F.regexp_replace(text, r"\*([^*]+)\*", "【$1】")).otherwise(F.regexp_replace(text, r"\*([^*]+)\*", "「$1」"))
+    return F.when(F.contains(text, F.lit("*")), marked).otherwise(text)
 
 
 def format_quote(text: Column, lang: Column) -> Column:
@@ -318,7 +367,9 @@ def restore_terms(text: Column, locked: Column) -> Column:
     # Parts between tokens and tokens alternate; each token is looked up by its number.
     parts, tokens = F.split(text, token, -1), F.regexp_extract_all(text, F.lit(token), F.lit(0))
     number = lambda t: F.translate(F.regexp_replace(F.regexp_replace(t, r"(?i)^[_ \t]*PH", ""), r"[_ \t]", ""), "OQoqIil", "0000111").cast("int")
-    return F.array_join(F.concat(F.array(parts[0]), F.flatten(F.zip_with(tokens, F.slice(parts, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), lambda t, p: F.array(F.coalesce(F.get(locked, number(t)), t), F.coalesce(p, F.lit("")))))), "")
+    restored = F.array_join(F.concat(F.array(parts[0]), F.flatten(F.zip_with(tokens, F.slice(parts, F.lit(2), F.greatest(F.size(tokens), F.lit(1))), lambda t, p: F.array(F.coalesce(F.get(locked, number(t)), t), F.coalesce(p, F.lit("")))))), "")
+    # Every form of a token has this at its heart, and few texts do.
+    return F.when(text.rlike(r"(?i)PH[ \t]*[0-9OQIl]{1,3}(?:[ \t]*_|(?![A-Za-z0-9]))"), restored).otherwise(text)
 
 
 #: Heads of a target side: a language's name, or a word for one.
@@ -327,7 +378,7 @@ _LABELS = "|".join([*(name for lang, name in NAMES.items() if lang != "en"), "Ta
 
 def dictionary_to_prose(text: Column) -> Column:
     """Target sides of numbered source and target blocks; other texts stay."""
-    numbered = text.rlike(rf"(?i)(?:^|\n){SPACE}*[0-9]+{SPACE}*\.{SPACE}*\n{SPACE}*(?:English|Source){SPACE}*:{SPACE}*\n") & text.rlike(rf"(?i)(?:^|\n){SPACE}*(?:{_LABELS}){SPACE}*:{SPACE}*\n")
+    numbered = holds(F.lower(text), "english", "source") & text.rlike(rf"(?i)(?:^|\n){SPACE}*[0-9]+{SPACE}*\.{SPACE}*\n{SPACE}*(?:English|Source){SPACE}*:{SPACE}*\n") & text.rlike(rf"(?i)(?:^|\n){SPACE}*(?:{_LABELS}){SPACE}*:{SPACE}*\n")
     start = F.struct(F.array().cast("array<string>").alias("values"), F.lit("").alias("held"), F.lit(False).alias("inside"))
 
     def step(acc: Column, line: Column) -> Column:

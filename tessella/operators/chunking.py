@@ -10,11 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import SPACE, sentences, trim_all, word_count
+from tessella.functions.text import SPACE, once, sentences, trim_all, word_count
 from tessella.operators import scan
 
-_UNIT = "array<struct<s:string,w:int>>"
-
 
 def _units(pieces: Column) -> Column:
     return F.transform(pieces, lambda s: F.struct(s.alias("s"), word_count(s).alias("w")))
@@ -56,15 +54,21 @@ def chunk_paragraphs(text: Column, most: int = 2500, separator: str = r"\n{2,}",
             return F.filter(F.transform(pack(_units(F.regexp_extract_all(p["s"], F.lit(ends), F.lit(0))), most, ""), trim_all), lambda c: c != "")
         return pack(_units(sentences(p["s"])), most, " ")
 
-    # Runs of short paragraphs and single long ones, in order: a long paragraph closes the run before it.
-    runs = F.struct(F.array().cast(f"array<{_UNIT}>").alias("done"), F.array().cast(_UNIT).alias("open"))
+    # The fold over word counts says at which paragraphs chunks begin; a long one closes what is open and is closed by the next.
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"), F.lit(0).alias("w"))
 
     def step(acc: Column, u: Column) -> Column:
-        closed = F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-        return F.when(u["w"] > most, F.struct(F.array_append(closed, F.array(u)).alias("done"), F.array().cast(_UNIT).alias("open"))).otherwise(F.struct(acc["done"].alias("done"), F.array_append(acc["open"], u).alias("open")))
+        begins = (acc["i"] == 0) | (acc["w"] + u["w"] > most)
+        return F.struct(F.when(begins, F.array_append(acc["at"], acc["i"])).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"), F.when(begins, u["w"]).otherwise(acc["w"] + u["w"]).alias("w"))
+
+    def cut(units: Column) -> Column:
+        def one(at: Column, first: Column, k: Column) -> Column:
+            own = F.slice(units, first + 1, F.coalesce(F.get(at, k + 1), F.size(units)) - first)
+            return once(own, lambda g: F.when(g[0]["w"] > most, long_ones(g[0])).otherwise(F.array(F.array_join(F.transform(g, lambda u: u["s"]), "\n\n"))))
+
+        return once(F.aggregate(units, start, step, lambda acc: acc["at"]), lambda at: F.flatten(F.transform(at, lambda first, k: one(at, first, k))))
 
-    grouped = F.aggregate(paragraphs, runs, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
-    return F.flatten(F.transform(grouped, lambda g: F.when((F.size(g) == 1) & (g[0]["w"] > most), long_ones(g[0])).otherwise(pack(g, most, "\n\n"))))
+    return once(paragraphs, cut)
 
 
 def chunks(docs: DataFrame, most: int = 2500, separator: str = r"\n{2,}", variant: str = "job", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

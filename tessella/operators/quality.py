@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import rules
 from tessella.functions.text import (
-    SPACE, detect_explicit, has_artifacts, latin_words, looks_like_echo, once, profanities, qa_word_count, regexp_total, round_half_up, trim_all, word_count,
+    SPACE, detect_explicit, has_artifacts, holds, is_blank, latin_words, looks_like_echo, once, profanities, qa_word_count, regexp_total, round_half_up, trim_all, without_marks, word_count,
 )
 from tessella.operators.terms import glossary, tagged, with_hits
 
@@ -151,17 +151,20 @@ def qa_rollup(checks: DataFrame) -> DataFrame:
 
 def language_qa(lang: Column, source: Column, output: Column, least_script: float = 0.5, most_english: float = 0.25) -> Column:
     """(failures, score, script_ratio, length_ratio): the names of failed checks, in order."""
-    return once(F.regexp_replace(output, r"[‎‏]", ""), lambda t: _language_checks(lang, source, t, least_script, most_english))
+    return once(without_marks(output), lambda t: _language_checks(lang, source, t, least_script, most_english))
 
 
 def _measures(lang: Column, source: Column, t: Column) -> Column:
     """What the language checks look at, each made once."""
-    paragraphs = lambda x: F.filter(F.split(x, r"\n{2,}"), lambda p: trim_all(p) != "")
+    paragraphs = lambda x: F.filter(F.split(x, r"\n{2,}"), lambda p: ~is_blank(p))
+    # Letters of the script are taken in runs; English words count in other scripts alone.
+    in_script = lambda r: F.length(F.array_join(F.regexp_extract_all(t, F.lit(f"[{r[6]}]+"), F.lit(0)), ""))
+    foreign = lambda n: F.when(rules.rule(lang, "script") != "Latin", n).otherwise(0)
     return F.struct(
-        F.length(t).alias("n"), (trim_all(t) == "").alias("blank"), rules.per_language(lang, lambda r: regexp_total(t, f"[{r[6]}]")).alias("script"), regexp_total(t, r"\b[A-Za-z]{3,}\b").alias("english"),
-        regexp_total(t, r"[\p{L}\p{M}]+").alias("letters"), word_count(t).alias("words"), F.length(source).alias("source_n"), word_count(source).alias("source_words"),
+        F.length(t).alias("n"), is_blank(t).alias("blank"), rules.per_language(lang, in_script).alias("script"), foreign(regexp_total(t, r"\b[A-Za-z]{3,}\b")).alias("english"),
+        foreign(regexp_total(t, r"[\p{L}\p{M}]+")).alias("letters"), word_count(t).alias("words"), F.length(source).alias("source_n"), word_count(source).alias("source_words"),
         F.transform(paragraphs(t), lambda p: F.substring(trim_all(p), 1, 80)).alias("keys"), F.size(paragraphs(source)).alias("source_paragraphs"),
-        t.rlike(r"<<<\s*[A-Z]+_|SECTION_[AB]_").alias("leak"), has_artifacts(t).alias("artifacts"), F.contains(t, F.lit("�")).alias("replacement"),
+        (holds(t, "<<<", "SECTION_") & t.rlike(r"<<<\s*[A-Z]+_|SECTION_[AB]_")).alias("leak"), has_artifacts(t).alias("artifacts"), F.contains(t, F.lit("�")).alias("replacement"),
     )
 
 
