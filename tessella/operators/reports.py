@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.text import round_half_up
+from tessella.functions.text import once, round_half_up
 from tessella.operators import scan
 
 STATUSES = ["pending", "claimed", "retry_wait", "done", "failed", "needs_review"]
@@ -167,11 +167,14 @@ def merged_text(chunks: DataFrame) -> DataFrame:
     return done.select("project_id", "lang", F.array_join(F.col("c.text"), "\n\n").alias("text"), F.size("c").alias("chunks"))
 
 
+def tail(text: Column, sentences: int = 2) -> Column:
+    """The last sentences of a text."""
+    return once(F.split(text, r"(?<=[.!?])[ \t\n]+"), lambda s: F.when(F.size(s) < sentences, text).otherwise(F.array_join(F.slice(s, -sentences, sentences), " ")))
+
+
 def previous_tail(chunks: DataFrame, sentences: int = 2, width: int = scan.INDEXES) -> DataFrame:
     """Each chunk with the last sentences of the one before it, if that is done; a project and language may have any number of chunks."""
-    tail = F.array_join(F.slice(F.split("text", r"(?<=[.!?])[ \t\n]+"), -sentences, sentences), " ")
-    short = F.when(F.size(F.split("text", r"(?<=[.!?])[ \t\n]+")) < sentences, F.col("text")).otherwise(tail)
-    tails = chunks.withColumn("_tail", F.when(F.col("status") == "done", short))
+    tails = chunks.withColumn("_tail", F.when(F.col("status") == "done", tail(F.col("text"), sentences)))
     return scan.neighbour(tails, ["project_id", "lang"], scan.bucket_of(F.col("chunk_index"), width), ["chunk_index"], {"context": "_tail"}).drop("_tail")
 
 

@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import post_process, prompt
-from tessella.operators.chunking import chunks
+from tessella.functions.text import once, post_process, prompt
+from tessella.operators.chunking import chunk_paragraphs
 from tessella.operators.quality import language_qa
-from tessella.operators.reports import merged_text, previous_tail
+from tessella.operators.reports import merged_text, tail
 
 #: (prompt, source text, language) to a reply.
 Translator = Callable[[str, str, str], str]
@@ -41,9 +41,10 @@ def translated(rows: DataFrame, translator: Translator = stub) -> DataFrame:
 
 def localize(docs: DataFrame, languages: list[str], translator: Translator = stub, most: int = 2500, separator: str = r"\n{2,}") -> tuple[DataFrame, DataFrame]:
     """(checked chunks, merged texts) of documents in each of a short list of languages."""
-    cut = chunks(docs, most, separator).select(F.col("doc_id").alias("project_id"), "chunk_index", F.col("chunk").alias("source_text"))
-    fanned = cut.withColumn("lang", F.explode(F.array(*map(F.lit, languages))))
-    context = previous_tail(fanned.withColumn("text", F.col("source_text")).withColumn("status", F.lit("done"))).select("project_id", "lang", "chunk_index", "source_text", "context")
+    # A document's chunks come from one row, so each sees the one before it there; no rows need to meet.
+    pieces = once(chunk_paragraphs(F.col("text"), most, separator), lambda own: F.transform(own, lambda c, k: F.struct(c.alias("source_text"), tail(F.get(own, k - 1)).alias("context"))))
+    cut = docs.select(F.col("doc_id").alias("project_id"), F.posexplode(pieces).alias("chunk_index", "c")).select("project_id", "chunk_index", "c.source_text", "c.context")
+    context = cut.select("project_id", F.explode(F.array(*map(F.lit, languages))).alias("lang"), "chunk_index", "source_text", "context")
     replies = translated(context, translator).withColumn("text", post_process(F.coalesce("reply", F.lit("")), F.col("lang"), F.array().cast("array<string>")))
     checked = replies.withColumn("qa", language_qa(F.col("lang"), F.col("source_text"), F.col("text"))).withColumn("status", F.when(F.col("reply").isNull(), "failed").otherwise("done"))
     return checked, merged_text(checked)
