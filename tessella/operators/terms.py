@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Terms that an automaton holds.
 MOST = 50_000
+#: Rows of whole texts that travel to Python together.
+TOGETHER = 1_000
 HITS = "array<struct<tag:string,term:string,form:string>>"
 HIT = pa.list_(pa.struct([("tag", pa.string()), ("term", pa.string()), ("form", pa.string())]))
 
@@ -75,6 +76,13 @@ class Matcher:
         return list(found.values())
 
 
+def _few_rows(spark: SparkSession) -> None:
+    """Smaller batches of texts for Python, unless the session has a size of its own."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) == 10_000:
+        spark.conf.set(setting, str(TOGETHER))
+
+
 def with_hits(texts: DataFrame, terms: DataFrame, column: str = "source", key: Sequence[str] = (), most: int = MOST, salts: int | None = None) -> DataFrame:
     """``texts`` with ``hits``: the glossary's rows (see ``glossary``) whose term occurs in ``column`` as a whole word, by ``lang``.
 
@@ -82,12 +90,14 @@ def with_hits(texts: DataFrame, terms: DataFrame, column: str = "source", key: S
     """
     rows = [tuple(r) for r in terms.select("tag", "exact", "lang", "term", "form").limit(most + 1).collect()]
     if len(rows) <= most:
+        _few_rows(texts.sparkSession)
 
-        @F.pandas_udf(HITS)
-        def hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf(HITS)
+        def hits(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             own = Matcher(rows)
             for langs, values in batches:
-                yield pd.Series([own.find(a, b) for a, b in zip(langs, values, strict=True)], dtype=object)
+                # Text by text from Arrow's memory: a batch's texts are never all Python strings at once.
+                yield pa.array((own.find(a.as_py(), b.as_py()) for a, b in zip(langs, values, strict=True)), HIT)
 
         return texts.withColumn("hits", hits(F.col("lang").cast("string"), F.col(column)))
     if not key:
