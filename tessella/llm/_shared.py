@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,27 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def spelled(words: pa.ListArray, ids_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Ids of each list of words, one after another; ``ids_of`` has the ids of different words, one after another, and how many each has."""
+    ends, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+    flat, sizes = ids_of(coded.dictionary)
+    places = coded.indices.to_numpy()
+    lengths = sizes[places]
+    stops = np.concatenate([[0], np.cumsum(lengths)])
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[places] - stops[:-1], lengths) + np.arange(stops[-1])]
+    bounds = stops[ends].tolist()
+    return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def by_bytes(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Neighbouring texts of about ``most`` bytes together."""
+    group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield texts.slice(a, b - a)
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

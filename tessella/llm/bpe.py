@@ -44,6 +44,8 @@ CACHED_WORDS = 400_000
 
 #: White space as the pattern's \\s means it (Unicode's White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same for Arrow's regular expressions.
+ARROW_SPACE = re.sub(r"\\[xu]([0-9a-f]+)", r"\\x{\1}", SPACE)
 
 
 class _Known(dict):
@@ -68,14 +70,18 @@ class Codec:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.encode_to_array = encoding.encode_ordinary, encoding.encode_to_numpy
         self.pretoken = regex.compile(pattern)
         self.fixed = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])|(?<=\p{{L}})(?=\P{{L}})|(?<=\p{{N}})(?=\P{{N}})")
         self.run = re.compile(rf"[{SPACE}]{{2}}").search
+        #: Texts with white space at an end or next to other white space.
+        self.loose = f"^[{ARROW_SPACE}]|[{ARROW_SPACE}][{ARROW_SPACE}]|[{ARROW_SPACE}]$"
         top = max(ranks.values()) + 1
         self.bytes_of = [b""] * top
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.first_byte = np.array([token[0] if token else 0 for token in self.bytes_of], dtype=np.uint8)
         self.text_of = [str(i) for i in range(top)]
         self.first, self.after = _Known(self.encode, ""), _Known(self.encode, " ")
 

@@ -25,24 +25,27 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import text_or_empty, written
+from tessella.llm._shared import by_bytes, spelled, text_or_empty, written
 from tessella.llm.bpe import Codec, codec
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Pieces of a shard on average: bounds a task's memory (33 MB of ids at most); the loss at a shard's end is a few bins.
 SHARD = 4_000
-#: Words whose ids a worker remembers, of each kind, before it forgets them: time against memory.
+#: Words of texts with white space at an end whose ids a worker remembers, of each kind, before it forgets them: time against memory.
 KEPT_WORDS = 300_000
+#: Bytes of texts whose different words are encoded together: time against memory.
+TOGETHER = 8 << 20
 #: A bin costs its length times (1 + length / ATTENTION): attention grows with the square of it.
 ATTENTION = 65_536
 PIECES = "doc_id long, piece int, first_token long, n_tokens int, ids binary"
 #: Lists hold one entry a piece, in the order in which the pieces stand in the bin.
 SEQUENCES = "bin_id long, bin_capacity int, n_tokens int, doc_ids array<long>, pieces array<int>, first_tokens array<long>, lengths array<int>, ids array<int>"
+MADE = pa.schema([("bin_id", pa.int64()), ("bin_capacity", pa.int32()), ("n_tokens", pa.int32()), *((name, pa.list_(kind)) for name, kind in (("doc_ids", pa.int64()), ("pieces", pa.int32()), ("first_tokens", pa.int64()), ("lengths", pa.int32()), ("ids", pa.int32())))])
 
 
 def cost(capacity: int) -> float:
@@ -144,6 +147,25 @@ def id_type(code: Codec) -> np.dtype:
     return np.dtype("<u2") if len(code.bytes_of) <= 1 << 16 else np.dtype("<u4")
 
 
+def together(texts: pa.Array, code: Codec) -> list[np.ndarray]:
+    """Ids of texts whose white-space characters all stand alone and inside, from one encoding of their different words.
+
+    There a space begins the pre-token it stands in and a line feed is one, so texts may be cut before both, and words
+    that begin with either may be put in any order.  Each text gets a line feed in front, whose id is left out again.
+    """
+
+    def ids_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.binary_join_element_wise(pc.if_else(pc.starts_with(words, "\n"), "", " "), words, "")
+        ids = code.encode_to_array("".join(marked.to_pylist()), disallowed_special=())
+        starts = np.flatnonzero(np.isin(code.first_byte[ids], (32, 10)))
+        if len(starts) != len(words):
+            raise ValueError("words and their first ids do not match")
+        return ids.astype(id_type(code)), np.diff(starts, append=len(ids))
+
+    lines = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+    return [ids[1:] for ids in spelled(pc.split_pattern(lines, " "), ids_of)]
+
+
 def pieces(docs: DataFrame, longest: int, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
     """doc_id, piece, first_token, n_tokens, ids; one row without ids for a text without tokens."""
 
@@ -151,42 +173,52 @@ def pieces(docs: DataFrame, longest: int, ranks_path: str, pattern: str, id_col:
         code = codec(ranks_path, pattern)
         dtype, (first, after) = id_type(code), _raw(ranks_path, pattern, kept_words)
         step = longest * dtype.itemsize
+        def alone(text: str) -> bytes:
+            if code.run(text):
+                return np.array(code.encode(text), dtype=dtype).tobytes()
+            words = text.split(" ")
+            return b"".join(chain((first[words[0]],), map(after.__getitem__, words[1:])))
+
         for batch in batches:
-            rows = []
-            for i, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if code.run(text):
-                    ids = np.array(code.encode(text), dtype=dtype).tobytes()
-                else:
-                    words = text.split(" ")
-                    ids = b"".join(chain((first[words[0]],), map(after.__getitem__, words[1:]))) if text else b""
-                for k, at in enumerate(range(0, max(1, len(ids)), step)):
-                    own = ids[at : at + step]
-                    rows.append((i, k, k * longest, len(own) // dtype.itemsize, own))
+            rows, numbers = [], iter(batch.column("i").to_pylist())
+            for texts in by_bytes(batch.column("t"), TOGETHER):
+                loose = pc.match_substring_regex(texts, code.loose)
+                others, plain = iter(texts.filter(loose).to_pylist()), iter(together(texts.filter(pc.invert(loose)), code))
+                for odd in loose.to_pylist():
+                    ids = alone(next(others)) if odd else next(plain).tobytes()
+                    i = next(numbers)
+                    for k, at in enumerate(range(0, max(1, len(ids)), step)):
+                        own = ids[at : at + step]
+                        rows.append((i, k, k * longest, len(own) // dtype.itemsize, own))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["doc_id", "piece", "first_token", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, PIECES)
 
 
-def sequences(rows: pd.DataFrame, shard: int, lengths: Sequence[int], dtype: np.dtype) -> pd.DataFrame:
+def sequences(rows: pa.Table, shard: int, lengths: Sequence[int], dtype: np.dtype) -> pa.Table:
     """One row a bin from the pieces of a shard, and one a piece without tokens."""
-    full = rows[rows.n_tokens > 0].sort_values(["n_tokens", "doc_id", "piece", "number"], ascending=[False, True, True, True])
-    bins, final, _ = pack(full.n_tokens.to_numpy(), lengths)
+    full = rows.filter(pc.greater(rows["n_tokens"], 0)).sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("number", "ascending")])
+    bins, final, _ = pack(full["n_tokens"].to_numpy(), lengths)
     order = np.argsort(bins, kind="stable")  # pieces keep their order inside a bin
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(bins[order]) > 0, [True]])) if len(bins) else np.zeros(1, dtype=int)
-    columns = {c: full[c].to_numpy()[order] for c in ("doc_id", "piece", "first_token", "n_tokens", "ids")}
-    out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        own = {c: v[a:b] for c, v in columns.items()}
-        out.append(((shard << 32) + int(bins[order[a]]), int(final[order[a]]), int(own["n_tokens"].sum()), _longs(own["doc_id"]), own["piece"].tolist(), own["first_token"].tolist(), own["n_tokens"].tolist(), np.frombuffer(b"".join(own["ids"]), dtype=dtype).astype(np.int32)))
-    for i in _longs(rows[rows.n_tokens == 0].doc_id.to_numpy()):
-        out.append((None, None, 0, [i], [0], [0], [0], np.empty(0, dtype=np.int32)))
-    made = pd.DataFrame(out, columns=["bin_id", "bin_capacity", "n_tokens", "doc_ids", "pieces", "first_tokens", "lengths", "ids"])
-    return made.astype({"bin_id": "Int64", "bin_capacity": "Int32"})
-
-
-def _longs(ids: np.ndarray) -> list[int | None]:
-    return [None if pd.isna(i) else int(i) for i in ids]
+    cuts = np.append(np.flatnonzero(np.diff(bins[order], prepend=-1)), len(bins))  # where bins start, and the end
+    held = full.take(pa.array(order)).combine_chunks()
+    stops = np.concatenate([[0], np.cumsum(held["n_tokens"].to_numpy(), dtype=np.int64)])[cuts]
+    ids = np.frombuffer(b"".join(held["ids"].to_pylist()), dtype=dtype).astype(np.int32)
+    firsts = order[cuts[:-1]]
+    empty = rows["doc_id"].filter(pc.equal(rows["n_tokens"], 0))
+    lone, none = [np.arange(len(empty) + 1), np.zeros(len(empty), dtype=np.int64)], pa.nulls(len(empty))
+    kinds = dict(zip(MADE.names, MADE.types, strict=True))
+
+    def lists(name: str, values: pa.ChunkedArray | np.ndarray, ends: np.ndarray) -> pa.Array:
+        flat = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else pa.array(values)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.cast(kinds[name].value_type)).cast(kinds[name])
+
+    made = [
+        [(shard << 32) + bins[firsts], final[firsts], np.diff(stops), *(lists(name, held[c], cuts) for name, c in (("doc_ids", "doc_id"), ("pieces", "piece"), ("first_tokens", "first_token"), ("lengths", "n_tokens"))), lists("ids", ids, stops)],
+        [none, none, lone[1], lists("doc_ids", empty, lone[0]), *(lists(name, lone[1], lone[0]) for name in ("pieces", "first_tokens", "lengths")), lists("ids", ids[:0], np.zeros(len(empty) + 1))],
+    ]
+    return pa.concat_tables([pa.Table.from_arrays([pa.array(x).cast(kind) for x, kind in zip(columns, MADE.types, strict=True)], schema=MADE) for columns in made])
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacities: Sequence[int] = CAPACITIES, *, shard: int = SHARD, kept_words: int = KEPT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,10 +232,10 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacities: S
     shards = max(1, -(-rows.count() // shard))
     keyed = rows.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(shards)))
 
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        return sequences(own, int(key[0]), lengths, dtype)
+    def run(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        return sequences(own, key[0].as_py(), lengths, dtype)
 
-    return keyed.groupBy("shard").applyInPandas(run, SEQUENCES)
+    return keyed.groupBy("shard").applyInArrow(run, SEQUENCES)
 
 
 def placements(packed: DataFrame) -> DataFrame:
