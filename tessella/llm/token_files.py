@@ -25,25 +25,30 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._shared import fresh_path, text_or_empty, to_batch
+from tessella.llm._shared import by_bytes, fresh_path, spelled, text_or_empty, to_batch
 
 #: Words whose ids a worker remembers before it forgets them all; bounds its memory.
 CACHED_WORDS = 400_000
+#: Bytes of texts whose different words are looked up together: time against memory.
+TOGETHER = 8 << 20
 #: Stands between words that are encoded together; its byte occurs in no other character.
 SENTINEL = "\x01"
 NULL_ID = -(1 << 63)
 #: Latin letters that lower-casing maps one to one, then ASCII punctuation that begins no contraction.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([!-&(-/:-@\[-`{-~]*)")
+#: A Latin letter in lower case as far as ASCII goes, and such punctuation after it: white space between them changes nothing.
+JOINED = r"([a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}])([!-&(-/:-@\[-`{-~])"
 
 FILES = T.StructType([
     T.StructField("stem", T.StringType()), T.StructField("first_id", T.LongType()),
@@ -74,11 +79,16 @@ class WordEncoder:
             raise ValueError("an added token holds white space or the separating character")
         # In any case: a tokenizer may look for them after it has dropped case.
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE).search
+        # Texts whose case and punctuation are left alone: with added tokens, marks that join letters, or a sigma, whose small form depends on its place.
+        self.odd = "(?i:" + "|".join([*map(re.escape, added), SENTINEL]) + r")|\p{M}|\x{3a3}"
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
         self.plain = PLAIN.fullmatch
         self.merges = self.tokenizer.model.tokenize
         self.bytewise = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        suffix = self.tokenizer.model.end_of_word_suffix
+        #: By id: whether a word's last token; without such a mark words are encoded alone.
+        self.last = np.array([bool(t) and t.endswith(suffix) for t in map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))]) if suffix else None
         self.stop = self._ids(SENTINEL)
         if len(self.stop) != 1:
             raise ValueError("the tokenizer has no single id for the separating character")
@@ -95,6 +105,21 @@ class WordEncoder:
             word = "".join(piece for piece, _ in self.bytewise(word))
         return np.array([t.id for t in self.merges(word)], dtype=self.dtype).tobytes()
 
+    def _stems(self, words: list[str]) -> None:
+        """Ids of different such words, of which each is one pre-token, parted by their last tokens."""
+        for i in range(0, len(words), 5_000):
+            part = words[i : i + 5_000]
+            if self.last is None:
+                self.known.update((word, self._stem(word)) for word in part)
+                continue
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.dtype)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(ends) != len(part):
+                raise ValueError("words and their last ids do not match")
+            raw = ids.tobytes()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
     def _encode(self, words: list[str]) -> None:
         """Encode words together, parted by the separating character."""
         for i in range(0, len(words), 5_000):
@@ -109,7 +134,7 @@ class WordEncoder:
                 self.known[word] = raw[start:end]
                 start = end + size
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: Iterable[str]) -> None:
         """Ids of new words.
 
         Case is dropped and letters never join punctuation, so a word of plain
@@ -128,13 +153,36 @@ class WordEncoder:
             else:
                 whole.add(word)
         self._encode(list(whole))
+        self._stems(list({stem for _, stem, _ in plain if stem not in known}))
         for word, stem, tail in plain:
-            ids = known.get(stem)
-            if ids is None:
-                ids = known[stem] = self._stem(stem)
-            known[word] = ids + known[tail]
+            if tail or word != stem:
+                known[word] = known[stem] + known[tail]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        out = []
+        for own in by_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), TOGETHER):
+            odd = pc.match_substring_regex(own, self.odd)
+            others, plain = iter(self._by_text(own.filter(odd).to_pylist())), iter(self._together(own.filter(pc.invert(odd))))
+            out += [next(others) if x else next(plain).tobytes() for x in odd.to_pylist()]
+        return out
+
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts by their different words, letters and punctuation apart."""
+
+        def ids_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            if len(self.known) > CACHED_WORDS:
+                self.known = {"": b""}
+            every = words.to_pylist()
+            self._learn([w for w in every if w not in self.known])
+            made = list(map(self.known.__getitem__, every))
+            return np.frombuffer(b"".join(made), dtype=self.dtype), np.fromiter(map(len, made), np.int64, count=len(made)) // self.dtype.itemsize
+
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), JOINED, r"\1 \2")
+        for space in "\n\t\r":
+            apart = pc.replace_substring(apart, space, " ")
+        return spelled(pc.split_pattern(apart, " "), ids_of)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _by_text(self, texts: list[str]) -> list[bytes]:
         # Only ASCII white space is a boundary here; the tokenizer sees to the rest.
         out, size = [], 2_000
         for i in range(0, len(texts), size):
@@ -192,7 +240,7 @@ def write_token_files(
                 fs.create_dir(local, recursive=True)
                 out = fs.open_output_stream(f"{local}/{os.path.basename(stem)}.bin")
             ids.append(np.asarray(batch.column("i")))
-            for code in coder.encode(batch.column("t").to_pylist()):
+            for code in coder.encode(batch.column("t")):
                 out.write(code + end)
                 sizes.append(len(code) // size + 1)
         if out is None:
