@@ -145,7 +145,11 @@ def to_pcm(kind: str, payload: bytes | memoryview) -> np.ndarray:
 
 
 def store_media(docs: DataFrame, kind: str = "mulaw", *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes, padded, as a WAV file."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, padded, as a WAV file.
+
+    Inside a partition, texts go by their bytes a character and then by themselves: those of one alphabet and
+    language, and copies, stand together and compress better.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +159,9 @@ def store_media(docs: DataFrame, kind: str = "mulaw", *, id_col: str = "doc_id",
                 own = texts.slice(a, size).to_pylist()
                 yield pa.RecordBatch.from_arrays([ids.slice(a, size), pa.array([len(x) for x in own], pa.int64()), pa.array([wav(pad(x), kind) for x in own], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t"))
+    alphabet = F.round(F.octet_length("t") / F.greatest(F.length("t"), F.lit(1)) * 100)
+    return rows.sortWithinPartitions(alphabet, "t").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 DIGESTS = T.StructType([
