@@ -6,7 +6,9 @@ positions, with a gap where a piece of text ends.  A level works on every block
 itself: the lists of phrases of k words are merge-joined, one place on, with the
 lists of the words that end such phrases, which gives the lists of phrases of k + 1
 words (both ends of a frequent phrase are frequent).  The length of a list is the
-phrase's exact count in the block.
+phrase's exact count in the block.  Only the lists of words are stored: a level makes
+those of longer phrases again from them and the numbers below, which takes less
+disk than lists of pairs, most of which are not frequent.
 
 Spark deals these counts by a hash of the phrase into shares, one row a block and
 share, whatever its phrases; a task adds up a share, gives the frequent phrases
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm._shared import dropped, mix64, text_or_empty, written
+from tessella.llm._shared import dropped, mix64, shuffles_removed, text_or_empty, written
 
 LEAST, LONGEST, BEST, PERCENT = 30, 4, 2_000, 80
 SCALE = 2_000_000
@@ -53,7 +55,7 @@ _SPACE, _END = -2, -1
 ZSTD = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 #: What goes from task to task is compressed harder than Spark would.
 ZIP = pa.Codec("zstd", compression_level=6)
-#: Rows of a level: a block's lists (no share), or its counts in one share.
+#: A block's lists (no share), or its counts in one share.
 COUNTS = "block long, share int, data binary, lang string, names binary"
 #: Rows of a share: what goes back to a block, or frequent phrases by their words or parts, with numbers and counts.
 FOUND = "block long, share int, data binary, lang string, names array<string>, a array<long>, b array<long>, ids array<long>, f array<long>, total long"
@@ -248,34 +250,33 @@ def extended(places: np.ndarray, phrases: np.ndarray, words: np.ndarray, k: int)
     return places[met], phrases[met], words[at[met]]
 
 
-def longer(level: DataFrame, found: DataFrame, k: int, shares: int) -> DataFrame:
-    """Lists of phrases of k + 1 words (``COUNTS``), and their counts by share, from lists of k words and the numbers of those that are frequent."""
-    lists = level.where("share IS NULL").select("block", F.lit(None).cast("int").alias("share"), "data")
-    ordered = lists.union(found.where("block IS NOT NULL").select("block", "share", "data")).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("share"))
+def longer(lists: DataFrame, found: list[DataFrame], shares: int) -> DataFrame:
+    """Counts by share (``COUNTS``) of phrases of k + 1 words, from the lists of words and the numbers of frequent phrases of 1, ..., k words (``found``)."""
+    ordered = lists.where("share IS NULL").select("block", F.lit(0).alias("k"), "share", "data")
+    for k, own in enumerate(found, 1):
+        ordered = ordered.union(own.where("block IS NOT NULL").select("block", F.lit(k).alias("k"), "share", "data"))
+    ordered, levels = ordered.repartition("block").sortWithinPartitions("block", "k", "share"), len(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, back = None, b"", []
+        block, held, backs = None, b"", []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if not back:
+            if not backs or not all(backs):
                 return
-            if k == 1:
-                gaps, words = unpacked(held, "<i4", "<i4")
-                phrases = words
-            else:
-                gaps, phrases, words, names = unpacked(held, "<i4", "<i4", "<i4", "<i8")
-            number = np.full(int(phrases.max()) + 1, -1, dtype=np.int64)
-            for share, data in back:
-                own, mine = unpacked(data, "<i4", "<i4")
-                number[np.cumsum(own, dtype=np.int64)] = (np.int64(share) << 32) + mine
-            if k == 1:
-                names = number
-            kept = number[phrases] >= 0
-            places, phrases, words = extended(np.cumsum(gaps, dtype=np.int64)[kept], phrases[kept], words[kept], k)
-            if not len(places):
-                return
-            keys, phrases, n = np.unique(phrases.astype(np.int64) * len(names) + words, return_inverse=True, return_counts=True)
-            yield _row(COUNTS, block=block, data=packed(_gaps(places), phrases.astype("<i4"), words.astype("<i4"), names.astype("<i8")))
+            gaps, words = unpacked(held, "<i4", "<i4")
+            places, phrases, names = np.cumsum(gaps, dtype=np.int64), words, None
+            for k, back in enumerate(backs, 1):
+                number = np.full(int(phrases.max()) + 1, -1, dtype=np.int64)
+                for share, data in back:
+                    own, mine = unpacked(data, "<i4", "<i4")
+                    number[np.cumsum(own, dtype=np.int64)] = (np.int64(share) << 32) + mine
+                if k == 1:
+                    names = number
+                kept = number[phrases] >= 0
+                places, phrases, words = extended(places[kept], phrases[kept], words[kept], k)
+                if not len(places):
+                    return
+                keys, phrases, n = np.unique(phrases.astype(np.int64) * len(names) + words, return_inverse=True, return_counts=True)
             a, b = number[keys // len(names)], names[keys % len(names)]
             of = (mix64(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
             order = np.argsort(of, kind="stable")
@@ -286,12 +287,12 @@ def longer(level: DataFrame, found: DataFrame, k: int, shares: int) -> DataFrame
                     yield _row(COUNTS, block=block, share=share, data=packed(_gaps(own), a[own], b[own], n[own].astype("<i8")))
 
         for batch in batches:
-            for own, share, data in zip(*(batch.column(c).to_pylist() for c in ("block", "share", "data")), strict=True):
-                if share is None:
+            for own, k, share, data in zip(*(batch.column(c).to_pylist() for c in ("block", "k", "share", "data")), strict=True):
+                if k == 0:
                     yield from finish()
-                    block, held, back = own, data, []
+                    block, held, backs = own, data, [[] for _ in range(levels)]
                 else:
-                    back.append((share, data))
+                    backs[k - 1].append((share, data))
         yield from finish()
 
     return ordered.mapInArrow(run, COUNTS)
@@ -299,21 +300,21 @@ def longer(level: DataFrame, found: DataFrame, k: int, shares: int) -> DataFrame
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, block: int, *, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of up to ``longest`` words with ``least`` occurrences; and (lang, n), the words of each language."""
-    shares = SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    level = written(word_lists(docs, text_col, lang_col, block, shares), "phrase-lists-1", **ZSTD)
-    found = written(added_up(level, least, True), "phrases-1", **ZSTD)
-    totals = found.where("total IS NOT NULL").groupBy("lang").agg(F.sum("total").alias("n"))
-    words = found.where("names IS NOT NULL").select("lang", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("names").alias("phrase"), "f")))
-    every = [words.select("id", "lang", "phrase", F.lit(1).alias("k"), "f")]
-    for k in range(1, longest):
-        after = written(longer(level, found, k, shares), f"phrase-lists-{k + 1}", **ZSTD)
-        dropped(level)
-        level, found = after, written(added_up(after, least, False), f"phrases-{k + 1}", **ZSTD)
-        counts = found.where("a IS NOT NULL").select(F.inline(F.arrays_zip("a", "b", F.col("ids").alias("id"), "f")))
-        start, last = every[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("start")), words.select(F.col("id").alias("b"), F.col("phrase").alias("last"))
-        named = counts.join(start, "a").join(last, "b").select("id", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), F.lit(k + 1).alias("k"), "f")
-        every.append(written(named, f"phrases-named-{k + 1}"))
-    dropped(level)
+    spark = docs.sparkSession
+    shares = SHARES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_removed(spark):
+        lists = written(word_lists(docs, text_col, lang_col, block, shares), "phrase-lists", **ZSTD)
+        found = [written(added_up(lists, least, True), "phrases-1", **ZSTD)]
+        totals = found[0].where("total IS NOT NULL").groupBy("lang").agg(F.sum("total").alias("n"))
+        words = found[0].where("names IS NOT NULL").select("lang", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("names").alias("phrase"), "f")))
+        every = [words.select("id", "lang", "phrase", F.lit(1).alias("k"), "f")]
+        for k in range(1, longest):
+            found.append(written(added_up(longer(lists, found, shares), least, False), f"phrases-{k + 1}", **ZSTD))
+            counts = found[k].where("a IS NOT NULL").select(F.inline(F.arrays_zip("a", "b", F.col("ids").alias("id"), "f")))
+            start, last = every[-1].select(F.col("id").alias("a"), "lang", F.col("phrase").alias("start")), words.select(F.col("id").alias("b"), F.col("phrase").alias("last"))
+            named = counts.join(start, "a").join(last, "b").select("id", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), F.lit(k + 1).alias("k"), "f")
+            every.append(written(named, f"phrases-named-{k + 1}"))
+        dropped(lists, *found[1:])
     out = every[0].select("lang", "phrase", "k", "f")
     for own in every[1:]:
         out = out.union(own.select("lang", "phrase", "k", "f"))

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, centroids, hyperminhash, license_scan, packing, phrases, pii, simhash, suffix_dedup, telephony, token_files, topk, toxicity
+from tessella.llm._shared import shared_dir
 from tessella.llm.components import components
 from tessella.llm.repeats_kernel import anchors, window_hashes
 
@@ -732,6 +734,33 @@ def test_phrases(spark, none, block):
     assert phrases.collocations(none.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
 
+def test_phrases_keep_little_on_disk(spark, monkeypatch):
+    rng, write, stored = random.Random(6), phrases.written, []
+    texts = [(" ".join(f"w{rng.randint(1, 600)}" for _ in range(1_500)) + " of a kind", "en") for _ in range(40)]
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def size():
+        return sum(p.stat().st_size for p in shared.glob("phrase*/part-*"))
+
+    def shuffled():
+        return {p for d in folders for p in Path(d).rglob("shuffle_*")}
+
+    def measured(*a, **b):
+        out = write(*a, **b)
+        stored.append(size() - before)
+        return out
+
+    monkeypatch.setattr(phrases, "written", measured)
+    rows, before, old, setting = spark.createDataFrame(texts, "text string, lang string").repartition(4), size(), shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    every, _ = phrases.frequent_phrases(rows, 30, 4, 20_000, text_col="text", lang_col="lang")
+    # The lists of words and little else is stored: those of pairs, nearly all of them rare, would be larger.  No shuffle files are left.
+    assert max(stored) < 1.5 * stored[0]
+    assert not shuffled() - old
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert {r.phrase: r.f for r in every.where("k > 1").collect()} == dict.fromkeys(["of a", "a kind", "of a kind"], 40)
+
+
 def test_phrases_of_long_texts_are_cut_at_ends(monkeypatch):
     monkeypatch.setattr(phrases, "PART", 10)
     cut = list(phrases.parts("Abc def. ghi jkl mno pqr, stu! v"))
