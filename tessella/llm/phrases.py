@@ -194,8 +194,8 @@ def added_up(counts: DataFrame, least: int, first: bool) -> DataFrame:
                 encoded = pa.concat_arrays([pa.array(unpacked_names(r["names"]), pa.binary()) for r in held]).dictionary_encode()
                 n, group = np.concatenate([x[1] for x in split]), encoded.indices.to_numpy()
             else:
-                split = [unpacked(r["data"], "<i4", "<i8", "<i8", "<i8") for r in held]
-                a, b, n = (np.concatenate([x[c] for x in split]) for c in (1, 2, 3))
+                split = [unpacked(r["data"], "<i8", "<i8", "<i8") for r in held]
+                a, b, n = (np.concatenate([x[c] for x in split]) for c in (0, 1, 2))
                 order = np.lexsort((b, a))
                 new = np.ones(len(a), dtype=bool)
                 new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
@@ -219,7 +219,8 @@ def added_up(counts: DataFrame, least: int, first: bool) -> DataFrame:
                     mine = number[group[at : at + len(x[0])]]
                     at += len(x[0])
                     if (mine >= 0).any():
-                        own = np.cumsum(x[0], dtype=np.int64)[mine >= 0]
+                        # A word by its number in the block, a phrase by its place in this row, which the block makes again.
+                        own = np.cumsum(x[0], dtype=np.int64)[mine >= 0] if first else np.flatnonzero(mine >= 0)
                         yield _row(FOUND, block=r["block"], share=share, data=packed(_gaps(own), mine[mine >= 0].astype("<i4")))
             base += len(kept)
 
@@ -269,7 +270,8 @@ def longer(lists: DataFrame, found: list[DataFrame], shares: int) -> DataFrame:
                 number = np.full(int(phrases.max()) + 1, -1, dtype=np.int64)
                 for share, data in back:
                     own, mine = unpacked(data, "<i4", "<i4")
-                    number[np.cumsum(own, dtype=np.int64)] = (np.int64(share) << 32) + mine
+                    own = np.cumsum(own, dtype=np.int64)
+                    number[own if k == 1 else order[cuts[share] + own]] = (np.int64(share) << 32) + mine
                 if k == 1:
                     names = number
                 kept = number[phrases] >= 0
@@ -277,14 +279,14 @@ def longer(lists: DataFrame, found: list[DataFrame], shares: int) -> DataFrame:
                 if not len(places):
                     return
                 keys, phrases, n = np.unique(phrases.astype(np.int64) * len(names) + words, return_inverse=True, return_counts=True)
-            a, b = number[keys // len(names)], names[keys % len(names)]
-            of = (mix64(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(shares + 1)).tolist()
+                a, b = number[keys // len(names)], names[keys % len(names)]
+                of = (mix64(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(shares + 1)).tolist()
             for share, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if end > start:
                     own = order[start:end]
-                    yield _row(COUNTS, block=block, share=share, data=packed(_gaps(own), a[own], b[own], n[own].astype("<i8")))
+                    yield _row(COUNTS, block=block, share=share, data=packed(a[own], b[own], n[own].astype("<i8")))
 
         for batch in batches:
             for own, k, share, data in zip(*(batch.column(c).to_pylist() for c in ("block", "k", "share", "data")), strict=True):
