@@ -145,14 +145,19 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(rf"[^{SPACE[1:]}")
 
 
-def joins_sentence(before: Column, after: Column) -> Column:
-    """Whether a break between two parts cuts a sentence: no end before it, a small letter of a cased script after it."""
+#: Scripts whose parts are never joined, whatever their case.
+APART = r"[؀-ۿऀ-ॿঀ-৿Ѐ-ӿ぀-ヿ一-鿿]"
+
+
+def joins_sentence(before: Column, after: Column, apart: str | None = APART) -> Column:
+    """Whether a break between two parts cuts a sentence: no end before it, a small letter of a script not kept apart after it."""
     first = F.substring(after, 1, 1)
-    cased = (F.lower(first) == first) & (F.upper(first) != first) & ~first.rlike(r"[؀-ۿऀ-ॿঀ-৿Ѐ-ӿ぀-ヿ一-鿿]")
-    return ~before.rlike(r"[.!?…]$") & cased
+    cased = (F.lower(first) == first) & (F.upper(first) != first)
+    # ``\z``, as ``$`` would look past a last line separator.
+    return ~before.rlike(r"[.!?…]\z") & (cased & ~first.rlike(apart) if apart else cased)
 
 
-def complete_boundaries(parts: Column) -> Column:
+def complete_boundaries(parts: Column, apart: str | None = APART) -> Column:
     """Parts in order as one text: a space where a sentence goes on, else a blank line; blank parts are left out."""
     own = F.filter(F.transform(parts, trim_all), lambda p: p != "")
 
@@ -160,7 +165,7 @@ def complete_boundaries(parts: Column) -> Column:
     def joined(own: Column) -> Column:
         rest = F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))
         before = F.slice(own, F.lit(1), F.size(rest))
-        return F.array_join(F.concat(F.slice(own, 1, 1), F.zip_with(before, rest, lambda b, p: F.concat(F.when(joins_sentence(b, p), " ").otherwise("\n\n"), p))), "")
+        return F.array_join(F.concat(F.slice(own, 1, 1), F.zip_with(before, rest, lambda b, p: F.concat(F.when(joins_sentence(b, p, apart), " ").otherwise("\n\n"), p))), "")
 
     return once(own, joined)
 
